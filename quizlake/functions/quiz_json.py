@@ -60,8 +60,13 @@ def outer_object(text: Column) -> Column:
     """From the first ``{`` to the last ``}``; the whole text when there is no such span."""
     first = F.instr(text, "{")
     last = F.length(text) - F.instr(F.reverse(text), "}") + 1
+    is_span = F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}"))
     has_span = F.contains(text, F.lit("}")) & (first > 0) & (last > first)
-    return F.when(has_span, F.substring(text, first, last - first + 1)).otherwise(text)
+    return (
+        F.when(is_span, text)
+        .when(has_span, F.substring(text, first, last - first + 1))
+        .otherwise(text)
+    )
 
 
 def sealed_parse(document: Column) -> Column:

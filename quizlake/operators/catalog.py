@@ -117,7 +117,8 @@ def quiz_documents(
         .filter(F.col("_n") > per_document)
         .select("quiz_id", F.lit(True).alias("_oversize"))
     )
-    span = F.floor(F.col("question_id") / per_document).cast("bigint")
+    question_id = F.col("question_id")
+    span = ((question_id - F.pmod(question_id, F.lit(per_document))) / per_document).cast("bigint")
     question = F.struct(
         F.col("question_id"),
         F.col("question_text").alias("question"),

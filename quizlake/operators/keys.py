@@ -19,7 +19,7 @@ def assign_ids(
     position_column: str | None = None,
     existing: DataFrame | None = None,
     hex_digits: int = 3,
-    span: int = 65_536,
+    span_bits: int = 16,
 ) -> DataFrame:
     """Give each row ``max(existing) + 1, + 2, ...`` without gaps, and the same on every run.
 
@@ -27,18 +27,18 @@ def assign_ids(
     16**hex_digits even buckets (raise it with the data). Each bucket is numbered by its own
     task; what precedes a bucket comes from a running sum over the bucket counts, a table of
     at most 16**hex_digits rows times the number of position spans. Rows of one key keep the
-    order of ``position_column`` and are cut into spans of ``span`` positions, so a key that
-    holds a large share of the rows is numbered by many tasks.
+    order of ``position_column`` and are cut into spans of 2**span_bits positions, so a key
+    that holds a large share of the rows is numbered by many tasks.
 
     (key, position) must be unique; the ids are then independent of the partitioning, which a
     recomputed task may change.
     """
     text_key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key_columns]
-    position = F.col(position_column).cast("bigint") if position_column else F.lit(0)
+    position = (F.col(position_column) if position_column else F.lit(0)).cast("bigint")
     keyed = (
         rows.withColumn("_hash", F.md5(F.concat_ws("/", *text_key)))
         .withColumn("_bucket", F.substring("_hash", 1, hex_digits))
-        .withColumn("_span", F.floor(position / span).cast("bigint"))
+        .withColumn("_span", F.shiftright(position, span_bits))
     )
     buckets = ["_bucket", "_span"]
     before = (
@@ -60,16 +60,17 @@ def assign_ids(
 
 
 def number_within(
-    rows: DataFrame, key: str, unique_id: str, number_column: str, span: int = 65_536
+    rows: DataFrame, key: str, unique_id: str, number_column: str, span_bits: int = 16
 ) -> DataFrame:
     """Number the rows of each ``key`` from 1 in the order of the unique integer ``unique_id``.
 
     A window over the key alone would sort a hot key in one task. The window here is over
-    (key, span of ids): at most ``span`` rows, because ids are unique. Counts of the earlier
-    spans of the same key are added back; that side only has rows for keys that reach beyond
-    one span, so it stays small beside the data and joins on the partitioning already there.
+    (key, span of ids): at most 2**span_bits rows, because ids are unique. Counts of the
+    earlier spans of the same key are added back; that side only has rows for keys that reach
+    beyond one span, so it stays small beside the data and joins on the partitioning already
+    there.
     """
-    cut = rows.withColumn("_span", F.floor(F.col(unique_id) / span).cast("bigint"))
+    cut = rows.withColumn("_span", F.shiftright(F.col(unique_id).cast("bigint"), span_bits))
     before = (
         cut.groupBy(key, "_span")
         .agg(F.count("*").alias("_n"))

@@ -65,8 +65,8 @@ def quiz_headers(
     ``curated`` has request_id and questions; ``requests`` has request_id, user_id, module_id,
     notes_hash and difficulty.
     """
-    headers = curated.select("request_id").join(requests, "request_id")
-    return assign_ids(headers, "quiz_id", ["request_id"], existing=quizzes).select(
+    numbered = assign_ids(curated.select("request_id"), "quiz_id", ["request_id"], existing=quizzes)
+    return numbered.join(requests, "request_id").select(
         "request_id",
         "quiz_id",
         "user_id",

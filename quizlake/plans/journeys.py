@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quizlake.operators import catalog, notes, progress, responses, scoring, store
+from quizlake.session import store_once
 
 
 def prompts_from_parts(parts: DataFrame, files: DataFrame, settings: DataFrame) -> DataFrame:
@@ -35,8 +36,8 @@ def quizzes_from_responses(
     quizzes: DataFrame | None = None,
     questions: DataFrame | None = None,
 ) -> SavedQuizzes:
-    """Raw responses to new rows of quizzes and questions, both from one curated set."""
-    curated = responses.curated_quizzes(raw)
+    """Raw responses to new rows of quizzes and questions, both from one stored curated set."""
+    curated = store_once(responses.curated_quizzes(raw), "curated")
     headers = store.quiz_headers(curated, requests, quizzes, run_time)
     return SavedQuizzes(headers, store.question_rows(curated, headers, questions))
 

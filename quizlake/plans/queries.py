@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quizlake.functions.text import fingerprint, strip
 from quizlake.operators import catalog, notes, progress, responses, scoring, store, users
 from quizlake.plans.derived import QuizData
+from quizlake.plans.journeys import SavedQuizzes, quizzes_from_responses
 from quizlake.session import configure, scratch_path
 from quizlake.sources import note_files, tables
 from quizlake.streaming import submissions as feed
@@ -322,8 +323,7 @@ def quiz_export(data: QuizData) -> DataFrame:
     return responses.export_documents(responses.curated_quizzes(data.responses()))
 
 
-def _saved(data: QuizData) -> tuple[DataFrame, DataFrame]:
-    curated = responses.curated_quizzes(data.responses())
+def _saved(data: QuizData) -> SavedQuizzes:
     requests = data.questions().join(
         data.quizzes().select("quiz_id", "user_id", "module_id", "difficulty"), "quiz_id"
     ).select(
@@ -333,18 +333,19 @@ def _saved(data: QuizData) -> tuple[DataFrame, DataFrame]:
         fingerprint(F.col("question_text")).alias("notes_hash"),
         "difficulty",
     )
-    headers = store.quiz_headers(curated, requests, data.quizzes(), RUN_TIME)
-    return headers, store.question_rows(curated, headers, data.questions())
+    return quizzes_from_responses(
+        data.responses(), requests, RUN_TIME, data.quizzes(), data.questions()
+    )
 
 
 @_query
 def saved_quizzes(data: QuizData) -> DataFrame:
-    return _saved(data)[0]
+    return _saved(data).quizzes
 
 
 @_query
 def saved_questions(data: QuizData) -> DataFrame:
-    return _saved(data)[1].withColumn("options", F.to_json("options"))
+    return _saved(data).questions.withColumn("options", F.to_json("options"))
 
 
 # --- the submission feed ------------------------------------------------------------------------

@@ -68,3 +68,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so a lost executor does not replay what came before."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store_once(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and return its scan.
+
+    For a costly frame with several readers: it is computed once, readers see one set of
+    rows, and each scans only the columns it needs.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
