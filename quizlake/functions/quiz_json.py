@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quizlake.functions.text import strip_left, strip_or_empty, strip_right
+from quizlake.functions.text import strip_left, strip_right
 
 # The outcome of one attempt and the messages that go with it.
 OK = "ok"
@@ -40,9 +40,8 @@ def _after(text: Column, prefix: str) -> Column:
     return strip_left(F.substring(text, F.lit(len(prefix) + 1), F.length(text)))
 
 
-def without_leading_fence(raw: Column) -> Column:
-    """Trimmed text without one opening code fence, tagged json or untagged."""
-    text = strip_or_empty(raw)
+def without_leading_fence(text: Column) -> Column:
+    """Text, already trimmed, without one opening code fence, tagged json or untagged."""
     return (
         F.when(F.startswith(text, F.lit(_TAGGED_FENCE)), _after(text, _TAGGED_FENCE))
         .when(F.startswith(text, F.lit(_FENCE)), _after(text, _FENCE))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quizlake.functions import quiz_json
+from quizlake.functions.text import strip_or_empty
 from quizlake.session import configure
 
 # Fixed values.
@@ -30,7 +31,8 @@ def judge_responses(responses: DataFrame) -> DataFrame:
     attempt = ["request_id", "attempt"]
     # One select per step: a text used several times is computed once.
     return (
-        responses.select(*attempt, quiz_json.without_leading_fence(F.col("raw_text")).alias("_open"))
+        responses.select(*attempt, strip_or_empty(F.col("raw_text")).alias("_text"))
+        .select(*attempt, quiz_json.without_leading_fence(F.col("_text")).alias("_open"))
         .select(*attempt, quiz_json.without_trailing_fence(F.col("_open")).alias("_body"))
         .select(*attempt, quiz_json.outer_object(F.col("_body")).alias("_document"))
         .select(*attempt, quiz_json.sealed_parse(F.col("_document")).alias("_sealed"))
@@ -94,3 +96,11 @@ def export_documents(curated: DataFrame, pretty: bool = False) -> DataFrame:
     """
     options = {"ignoreNullFields": "false", "pretty": str(pretty).lower()}
     return curated.select("request_id", F.to_json(F.struct("questions"), options).alias("document"))
+
+
+def export_files(documents: DataFrame, headers: DataFrame) -> DataFrame:
+    """The documents under the file names of the quizzes they were saved as."""
+    name = F.concat(F.lit("quiz_"), F.col("quiz_id").cast("string"), F.lit(".json"))
+    return documents.join(headers.select("request_id", "quiz_id"), "request_id").select(
+        name.alias("file_name"), "document"
+    )

@@ -30,7 +30,7 @@ def decode_dropping_bad_bytes(content: Column) -> Column:
 
 
 def read_note_files(spark: SparkSession, path: str) -> DataFrame:
-    """path and content of every file below ``path``."""
+    """path and content of every file below ``path``. Spark lists no file of zero bytes."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -39,6 +39,12 @@ def read_note_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def with_empty_files(files: DataFrame, uploads: DataFrame) -> DataFrame:
+    """``files`` plus an empty file for every path of the upload log that was not listed."""
+    unlisted = uploads.select("path").join(files.select("path"), "path", "left_anti")
+    return files.unionByName(unlisted.withColumn("content", F.unhex(F.lit(""))))
+
+
 def notes_from_files(files: DataFrame) -> DataFrame:
     """path, file_name, route and what can be read here.
 

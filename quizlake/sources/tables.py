@@ -53,6 +53,6 @@ def save_quizzes(headers: DataFrame, questions: DataFrame, root: str) -> None:
     append_table(headers, root, "quizzes")
 
 
-def export_json(documents: DataFrame, path: str) -> None:
-    """One JSON document per line under ``path``."""
-    documents.select("document").write.mode("errorifexists").text(path)
+def export_json(files: DataFrame, path: str) -> None:
+    """file_name and document per line; one object per quiz would be too many small files."""
+    files.select("file_name", "document").write.mode("errorifexists").json(path)
