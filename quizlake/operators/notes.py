@@ -66,28 +66,31 @@ def note_route(file_name: Column) -> Column:
 
 
 def _cut_into_segments(max_bytes: int):
-    """Join consecutive parts of a sorted partition into pieces of about ``max_bytes``."""
+    """Join consecutive parts of a sorted partition into pieces of about ``max_bytes``.
+
+    The piece a note starts with is number 0. The partition number leads all others, so
+    pieces of later ranges come later.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        note, texts, size, number = None, [], 0, 0
+        note, number, texts, size, pieces = None, 0, [], 0, 0
+        columns = ["note_id", "segment", "text"]
         for batch in batches:
             done = []
             for row in batch.itertuples(index=False):
                 if texts and (row.note_id != note or size > max_bytes):
                     done.append((note, number, "\n".join(texts)))
                     texts, size = [], 0
-                    number += 1
-                note = row.note_id
-                # The partition number leads, so pieces of later ranges come later.
-                number = max(number, row.partition << 32)
+                if not texts:
+                    pieces += 1
+                    note = row.note_id
+                    number = 0 if row.starts else (row.partition << 32) + pieces
                 texts.append(row.text)
                 size += len(row.text)
             if done:
-                yield pd.DataFrame(done, columns=["note_id", "segment", "text"])
+                yield pd.DataFrame(done, columns=columns)
         if texts:
-            yield pd.DataFrame(
-                [(note, number, "\n".join(texts))], columns=["note_id", "segment", "text"]
-            )
+            yield pd.DataFrame([(note, number, "\n".join(texts))], columns=columns)
 
     return cut
 
@@ -97,9 +100,9 @@ def assemble_notes(parts: DataFrame, max_bytes: int = NOTE_BYTES) -> DataFrame:
 
     (note_id, part_no) is unique. A note is one row with segment 0, collected in one group of
     at most ``max_bytes``. Larger notes, which one task or cell might not hold, are sorted
-    across tasks by range and leave as several rows in ascending segment order; joined by
-    line feeds these are the whole note. Their ids number at most one per ``max_bytes`` of
-    input, which bounds the broadcast.
+    across tasks by range and leave as several rows, segment 0 first and then ascending;
+    joined by line feeds these are the whole note. Their ids number at most one per
+    ``max_bytes`` of input, which bounds the broadcasts.
     """
     filled = parts.select("note_id", "part_no", F.coalesce("text", F.lit("")).alias("text"))
     oversize = (
@@ -130,23 +133,28 @@ def _segmented(parts: DataFrame, oversize: DataFrame, max_bytes: int) -> DataFra
         .agg(F.min("part_no").alias("_first"), F.max("part_no").alias("_last"))
     )
     part, text = F.col("part_no"), F.col("text")
-    both = (part == F.col("_first")) & (part == F.col("_last"))
-    return (
+    starts, stops = part == F.col("_first"), part == F.col("_last")
+    segments = (
         large.join(F.broadcast(ends), "note_id")
         .filter(part.between(F.col("_first"), F.col("_last")))
+        .withColumn("starts", starts)
         .withColumn(
             "text",
-            F.when(both, strip(text))
-            .when(part == F.col("_first"), strip_left(text))
-            .when(part == F.col("_last"), strip_right(text))
+            F.when(starts & stops, strip(text))
+            .when(starts, strip_left(text))
+            .when(stops, strip_right(text))
             .otherwise(text),
         )
-        .select("note_id", "part_no", "text")
+        .select("note_id", "part_no", "text", "starts")
         .repartitionByRange("note_id", "part_no", "text")
         .sortWithinPartitions("note_id", "part_no", "text")
-        .select("note_id", F.spark_partition_id().cast("bigint").alias("partition"), "text")
+        .select("note_id", F.spark_partition_id().cast("bigint").alias("partition"), "text", "starts")
         .mapInPandas(_cut_into_segments(max_bytes), _SEGMENT_SCHEMA)
     )
+    blank = oversize.join(ends, "note_id", "left_anti").select(
+        "note_id", F.lit(0).cast("bigint").alias("segment"), F.lit("").alias("text")
+    )
+    return segments.unionByName(blank)
 
 
 def gate_notes(notes: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def _accept(open_rows: DataFrame, settle_rows: int) -> DataFrame:
                 .groupBy("_all")
                 .applyInPandas(_settle_in_order, open_rows.schema)
             )
-            return reduce(DataFrame.unionByName, accepted, settled)
+            return reduce(DataFrame.unionByName, accepted, cut_lineage(settled))
         winners = cut_lineage(_first_on_both_keys(open_rows))
         accepted.append(winners)
         open_rows = cut_lineage(
@@ -122,7 +122,7 @@ def import_users(
     )
     refused = cleaned.filter(F.col("refusal").isNotNull())
     valid = cleaned.filter(F.col("refusal").isNull()).drop("refusal")
-    accepted = cut_lineage(_accept(_without_keys_of(valid, users), settle_rows))
+    accepted = _accept(_without_keys_of(valid, users), settle_rows)
 
     # A name is taken for a row if a stored user has it or a row accepted earlier.
     taken = (

@@ -14,12 +14,12 @@ from quizlake.session import store_once
 def prompts_from_parts(parts: DataFrame, files: DataFrame, settings: DataFrame) -> DataFrame:
     """Note parts to prompts: assemble, gate, join the request settings, fill the template.
 
-    Notes too large for one cell keep their first segment for the prompt, which reads no
-    further than its first few thousand characters.
+    ``files`` has note_id and file_name, ``settings`` note_id, num_questions and difficulty.
+    Of a note too large for one cell the first segment is enough: a prompt reads no further
+    than its first few thousand characters.
     """
-    text = notes.assemble_notes(parts)
-    first = text.groupBy("note_id").agg(F.min("segment").alias("segment"))
-    gated = notes.gate_notes(files.join(text.join(first, ["note_id", "segment"]), "note_id"))
+    text = notes.assemble_notes(parts).filter(F.col("segment") == 0).drop("segment")
+    gated = notes.gate_notes(files.join(text, "note_id"))
     return notes.build_prompts(notes.accepted_notes(gated).join(settings, "note_id"))
 
 

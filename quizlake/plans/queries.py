@@ -365,8 +365,7 @@ def streamed_attempts(data: QuizData) -> DataFrame:
     events.write.parquet(f"{root}/events")
     feed.start_scoring(
         feed.submission_stream(spark, f"{root}/events"),
-        data.quizzes(),
-        data.questions(),
+        lambda: (data.quizzes(), data.questions()),
         f"{root}/out",
         f"{root}/progress",
         on_missing="wrong",

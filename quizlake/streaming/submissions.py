@@ -1,13 +1,16 @@
 """The submission feed: files of submitted forms -> scored attempts and stored answers.
 
-Each micro-batch writes its own folders, ``batch=<id>`` under ``performance``,
-``user_answers`` and ``rejected``. A replayed batch overwrites exactly its own folders, so a
-restart after a loss at any point leaves the same tables. Old answers are not rewritten:
-current_answers keeps the last submission per user and quiz when reading.
+Each micro-batch writes its own folders, ``batch=<id>`` under ``received`` (every new form and,
+if refused, the reason), ``user_answers`` and ``performance``. A replayed batch overwrites
+exactly its own folders, so a restart after a loss at any point leaves the same tables. Old
+answers are not rewritten: current_answers keeps the last submission per user and quiz when
+reading.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -99,41 +102,41 @@ def process_batch(
 ) -> None:
     """Score one micro-batch with the batch operators and write its folders.
 
-    performance is written last: it is the record of what has been scored.
+    The judged forms are stored first and read back, so both tables come from the same rows
+    whatever is recomputed. performance is written last: it records what has been scored.
     """
     spark = events.sparkSession
     stored = _other_batches(spark, f"{out}/performance", batch_id)
-    judged = split_submissions(_new_events(events, stored), quizzes, questions, on_missing)
-    judged = judged.persist()
-    try:
-        accepted = judged.filter(F.col("reason").isNull()).drop("reason")
-        headers, choices = submission_headers(accepted), submission_choices(accepted)
 
-        def write(rows: DataFrame, name: str) -> None:
-            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+    def write(rows: DataFrame, name: str) -> str:
+        path = f"{out}/{name}/batch={batch_id}"
+        rows.write.mode("overwrite").parquet(path)
+        return path
 
-        write(
-            judged.filter(F.col("reason").isNotNull()).select("submission_id", "quiz_id", "reason"),
-            "rejected",
-        )
-        write(user_answer_rows(grade_answers(headers, choices, questions)), "user_answers")
-        write(performance_rows(score_submissions(headers, choices, questions)), "performance")
-    finally:
-        judged.unpersist()
+    judged = split_submissions(_new_events(events, stored), quizzes, questions, on_missing)
+    received = spark.read.schema(judged.schema).parquet(write(judged, "received"))
+    accepted = received.filter(F.col("reason").isNull()).drop("reason")
+    headers, choices = submission_headers(accepted), submission_choices(accepted)
+    write(user_answer_rows(grade_answers(headers, choices, questions)), "user_answers")
+    write(performance_rows(score_submissions(headers, choices, questions)), "performance")
 
 
 def start_scoring(
     events: DataFrame,
-    quizzes: DataFrame,
-    questions: DataFrame,
+    read_quizzes: Callable[[], tuple[DataFrame, DataFrame]],
     out: str,
     checkpoint: str,
     on_missing: str = "reject",
     **trigger,
 ) -> StreamingQuery:
-    """Run the feed into ``out``; by default until what is there now has been processed."""
+    """Run the feed into ``out``; by default until what is there now has been processed.
+
+    ``read_quizzes`` returns the quizzes and questions tables. It is called for every batch, so
+    quizzes saved while the feed runs are found.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        quizzes, questions = read_quizzes()
         process_batch(batch, batch_id, quizzes, questions, out, on_missing)
 
     return (

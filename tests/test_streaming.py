@@ -39,7 +39,8 @@ def run(spark, tmp_path, quizzes, questions, upto=len(BATCHES)):
     for batch in BATCHES[:upto]:
         spark.createDataFrame(batch, schemas.SUBMISSION_EVENTS).coalesce(1).write.mode("append").parquet(source)
         events = feed.submission_stream(spark, source)
-        feed.start_scoring(events, quizzes, questions, out, str(tmp_path / "progress")).awaitTermination()
+        progress = str(tmp_path / "progress")
+        feed.start_scoring(events, lambda: (quizzes, questions), out, progress).awaitTermination()
     return out
 
 
@@ -53,8 +54,10 @@ def test_feed(spark, tmp_path, quizzes, questions, rows_of):
         (6, 0, 0, 0.0),
         (7, 3, 3, 100.0),
     ]
-    rejected = {r["submission_id"]: r["reason"] for r in spark.read.parquet(f"{out}/rejected").collect()}
-    assert rejected == {2: "Please answer all questions. Missing: 1", 3: "Quiz not found"}
+    received = spark.read.parquet(f"{out}/received")
+    assert received.count() == 7
+    refused = {r["submission_id"]: r["reason"] for r in received.filter("reason is not null").collect()}
+    assert refused == {2: "Please answer all questions. Missing: 1", 3: "Quiz not found"}
     answers = feed.current_answers(spark.read.parquet(f"{out}/user_answers"))
     assert rows_of(answers) == [
         (7, 1, 10, 0, 1), (7, 1, 11, 1, 1), (7, 1, 12, 0, 0),
@@ -77,11 +80,11 @@ def test_feed_equals_batch(spark, tmp_path, quizzes, questions, rows_of):
 
 def test_replayed_batch_changes_nothing(spark, tmp_path, quizzes, questions, rows_of):
     out = run(spark, tmp_path, quizzes, questions)
-    names = ("performance", "user_answers", "rejected")
-    before = {n: rows_of(spark.read.parquet(f"{out}/{n}")) for n in names}
+    names = {"performance": ["*"], "user_answers": ["*"], "received": ["submission_id", "reason", "batch"]}
+    before = {n: rows_of(spark.read.parquet(f"{out}/{n}"), *c) for n, c in names.items()}
     again = spark.createDataFrame(BATCHES[1], schemas.SUBMISSION_EVENTS)
     feed.process_batch(again, 1, quizzes, questions, out)
-    assert {n: rows_of(spark.read.parquet(f"{out}/{n}")) for n in names} == before
+    assert {n: rows_of(spark.read.parquet(f"{out}/{n}"), *c) for n, c in names.items()} == before
 
 
 def test_unanswered_as_wrong(spark, tmp_path, quizzes, questions, rows_of):
@@ -89,3 +92,19 @@ def test_unanswered_as_wrong(spark, tmp_path, quizzes, questions, rows_of):
     events = spark.createDataFrame(BATCHES[0], schemas.SUBMISSION_EVENTS)
     feed.process_batch(events, 0, quizzes, questions, out, on_missing="wrong")
     assert rows_of(spark.read.parquet(f"{out}/performance"), "performance_id", "score") == [(1, 3), (2, 2)]
+
+
+def test_quizzes_saved_while_the_feed_runs_are_found(spark, tmp_path, quizzes, questions):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for form_row in (form(1, 1, 0, 0, 1, 2), form(2, 2, 0, 0, 1, 2)):
+        rows = spark.createDataFrame([form_row], schemas.SUBMISSION_EVENTS)
+        rows.coalesce(1).write.mode("append").parquet(source)
+    known = []
+
+    def read_quizzes():
+        known.append(len(known) + 1)
+        return quizzes.filter(F.col("quiz_id") <= known[-1]), questions
+
+    events = feed.submission_stream(spark, source, files_per_batch=1)
+    feed.start_scoring(events, read_quizzes, out, str(tmp_path / "progress")).awaitTermination()
+    assert spark.read.parquet(f"{out}/performance").count() == 2
