@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizlake.functions.text import iso_seconds
-from quizlake.operators.keys import number_within
+from quizlake.operators.keys import hot_keys, number_within
 
 # List lengths.
 QUIZZES_LISTED = 50
@@ -16,6 +16,12 @@ MODULES_LISTED = 15
 QUESTIONS_PER_DOCUMENT = 100_000
 
 
+_QUESTION_LIST = (
+    "array<struct<question_id:bigint,question:string,options:array<string>,"
+    "answer:int,explanation:string>>"
+)
+
+
 def module_list(modules: DataFrame, user_id: int) -> DataFrame:
     """One user's modules by name (byte order)."""
     return (
@@ -108,15 +114,9 @@ def quiz_documents(
 
     A quiz is one document with part 0. Only a quiz with more than ``per_document`` questions
     is cut, into spans of question ids, so no collected list is longer than that; its parts
-    in order are the whole quiz. Such quizzes number at most one in ``per_document``
-    questions, which bounds the broadcast list of their ids.
+    in order are the whole quiz.
     """
-    oversize = (
-        questions.groupBy("quiz_id")
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > per_document)
-        .select("quiz_id", F.lit(True).alias("_oversize"))
-    )
+    oversize = F.broadcast(hot_keys(questions, "quiz_id", per_document))
     question_id = F.col("question_id")
     span = ((question_id - F.pmod(question_id, F.lit(per_document))) / per_document).cast("bigint")
     question = F.struct(
@@ -127,12 +127,12 @@ def quiz_documents(
         F.coalesce("explanation", F.lit("")).alias("explanation"),
     )
     parts = (
-        questions.join(F.broadcast(oversize), "quiz_id", "left")
-        .withColumn("part", F.when(F.col("_oversize"), span).otherwise(F.lit(0)))
+        questions.join(oversize, "quiz_id", "left")
+        .withColumn("part", F.when(F.col("_hot"), span).otherwise(F.lit(0)))
         .groupBy("quiz_id", "part")
         .agg(F.array_sort(F.collect_list(question)).alias("questions"))
     )
-    no_questions = F.filter(F.array(question_literal()), lambda q: F.lit(False))
+    no_questions = F.from_json(F.lit("[]"), _QUESTION_LIST)
     return (
         quizzes.select("quiz_id", "difficulty", "timestamp")
         .join(parts, "quiz_id", "left")
@@ -146,14 +146,6 @@ def quiz_documents(
     )
 
 
-def question_literal():
-    """A typed null question, for the element type of an empty list."""
-    return F.lit(None).cast(
-        "struct<question_id:bigint,question:string,options:array<string>,"
-        "answer:int,explanation:string>"
-    )
-
-
 def load_quiz(quizzes: DataFrame, questions: DataFrame, quiz_id: int) -> DataFrame:
     """One quiz as a nested document; no row for an unknown quiz. Both scans are filtered."""
     return quiz_documents(

@@ -38,7 +38,9 @@ def test_python_only_where_stated(plans):
 
 
 def test_explicit_broadcasts_are_the_bounded_ones(plans):
-    assert {n for n, p in plans.items() if "BroadcastHashJoin" in p} == {"quiz_documents", "notes_assembled"}
+    assert {n for n, p in plans.items() if "BroadcastHashJoin" in p} == {
+        "quiz_documents", "notes_assembled", "question_numbers", "review_lines",
+    }
 
 
 def test_rank_limits_run_before_the_shuffle(plans):
