@@ -353,7 +353,7 @@ def saved_questions(data: QuizData) -> DataFrame:
 
 @_query
 def streamed_attempts(data: QuizData) -> DataFrame:
-    """All submissions written as a feed, scored by the stream, read back."""
+    """All submissions written as a feed, scored by the stream against stored tables, read back."""
     given = F.map_from_entries(F.collect_list(F.struct("question_id", "choice")))
     events = (
         data.choices()
@@ -363,9 +363,11 @@ def streamed_attempts(data: QuizData) -> DataFrame:
     spark = data.spark
     root = scratch_path(spark, "submission-feed")
     events.write.parquet(f"{root}/events")
+    tables.write_table(data.quizzes(), root, "quizzes")
+    tables.write_table(data.questions(), root, "questions")
     feed.start_scoring(
         feed.submission_stream(spark, f"{root}/events"),
-        lambda: (data.quizzes(), data.questions()),
+        lambda: (tables.read_table(spark, root, "quizzes"), tables.read_table(spark, root, "questions")),
         f"{root}/out",
         f"{root}/progress",
         on_missing="wrong",

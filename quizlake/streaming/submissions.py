@@ -1,10 +1,10 @@
 """The submission feed: files of submitted forms -> scored attempts and stored answers.
 
-Each micro-batch writes its own folders, ``batch=<id>`` under ``received`` (every new form and,
-if refused, the reason), ``user_answers`` and ``performance``. A replayed batch overwrites
-exactly its own folders, so a restart after a loss at any point leaves the same tables. Old
-answers are not rewritten: current_answers keeps the last submission per user and quiz when
-reading.
+Each micro-batch writes its own folders, ``batch=<id>`` under ``received`` (every new form),
+``refused`` (with the reason), ``user_answers`` and ``performance``. A replayed batch
+overwrites exactly its own folders, so a restart after a loss at any point leaves the same
+tables. Old answers are not rewritten: current_answers keeps the last submission per user and
+quiz when reading.
 """
 
 from __future__ import annotations
@@ -69,27 +69,42 @@ def split_submissions(
     )
 
 
-def _other_batches(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+def _scored_before(events: DataFrame, out: str, batch_id: int) -> DataFrame | None:
+    """submission_id of the batch's events that another batch has scored, None if none has.
+
+    Ids grow with time, so the id range of the batch, pushed to the scan, skips almost all of
+    the history; what is left is reduced by the batch's ids, the side Spark ships if it
+    measures it small.
+    """
+    spark = events.sparkSession
     try:
-        return spark.read.parquet(path).filter(F.col("batch") != batch_id)
+        stored = spark.read.parquet(f"{out}/performance").filter(F.col("batch") != batch_id)
     except AnalysisException:  # nothing written yet
         return None
+    low, high = events.agg(F.min("submission_id"), F.max("submission_id")).first()
+    return (
+        stored.filter(F.col("performance_id").between(low, high))
+        .select(F.col("performance_id").alias("submission_id"))
+        .join(events.select("submission_id"), "submission_id", "left_semi")
+    )
 
 
-def _new_events(events: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """One event per submission_id, without those an earlier batch has scored.
+def _new_events(events: DataFrame, out: str, batch_id: int) -> DataFrame:
+    """One event per submission_id, without those already scored."""
+    once = events.dropDuplicates(["submission_id"])
+    seen = _scored_before(events, out, batch_id)
+    return once if seen is None else once.join(seen, "submission_id", "left_anti")
+
+
+def _of_quizzes(table: DataFrame, received: DataFrame) -> DataFrame:
+    """The rows of ``table`` for the quizzes of a batch.
 
-    The stored side is first reduced by the batch's ids, so the small batch, not the whole
-    history, is what Spark ships when its measured size allows.
+    The range of quiz ids reaches the scan; the batch, a stored table of known size, is the
+    side to ship.
     """
-    once = events.dropDuplicates(["submission_id"])
-    if stored is None:
-        return once
-    ids = once.select("submission_id")
-    seen = stored.select(F.col("performance_id").alias("submission_id")).join(
-        ids, "submission_id", "left_semi"
-    )
-    return once.join(seen, "submission_id", "left_anti")
+    low, high = received.agg(F.min("quiz_id"), F.max("quiz_id")).first()
+    wanted = received.select("quiz_id").distinct()
+    return table.filter(F.col("quiz_id").between(low, high)).join(wanted, "quiz_id", "left_semi")
 
 
 def process_batch(
@@ -102,21 +117,24 @@ def process_batch(
 ) -> None:
     """Score one micro-batch with the batch operators and write its folders.
 
-    The judged forms are stored first and read back, so both tables come from the same rows
+    The new forms are stored first and read back, so all tables come from the same rows
     whatever is recomputed. performance is written last: it records what has been scored.
     """
     spark = events.sparkSession
-    stored = _other_batches(spark, f"{out}/performance", batch_id)
 
     def write(rows: DataFrame, name: str) -> str:
         path = f"{out}/{name}/batch={batch_id}"
         rows.write.mode("overwrite").parquet(path)
         return path
 
-    judged = split_submissions(_new_events(events, stored), quizzes, questions, on_missing)
-    received = spark.read.schema(judged.schema).parquet(write(judged, "received"))
-    accepted = received.filter(F.col("reason").isNull()).drop("reason")
+    stored = write(_new_events(events, out, batch_id), "received")
+    received = spark.read.schema(SUBMISSION_EVENTS).parquet(stored)
+    quizzes, questions = _of_quizzes(quizzes, received), _of_quizzes(questions, received)
+    judged = split_submissions(received, quizzes, questions, on_missing)
+    refused = judged.filter(F.col("reason").isNotNull())
+    accepted = judged.filter(F.col("reason").isNull()).drop("reason")
     headers, choices = submission_headers(accepted), submission_choices(accepted)
+    write(refused.select("submission_id", "quiz_id", "reason"), "refused")
     write(user_answer_rows(grade_answers(headers, choices, questions)), "user_answers")
     write(performance_rows(score_submissions(headers, choices, questions)), "performance")
 

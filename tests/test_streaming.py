@@ -54,9 +54,8 @@ def test_feed(spark, tmp_path, quizzes, questions, rows_of):
         (6, 0, 0, 0.0),
         (7, 3, 3, 100.0),
     ]
-    received = spark.read.parquet(f"{out}/received")
-    assert received.count() == 7
-    refused = {r["submission_id"]: r["reason"] for r in received.filter("reason is not null").collect()}
+    assert spark.read.parquet(f"{out}/received").count() == 7
+    refused = {r["submission_id"]: r["reason"] for r in spark.read.parquet(f"{out}/refused").collect()}
     assert refused == {2: "Please answer all questions. Missing: 1", 3: "Quiz not found"}
     answers = feed.current_answers(spark.read.parquet(f"{out}/user_answers"))
     assert rows_of(answers) == [
@@ -80,7 +79,8 @@ def test_feed_equals_batch(spark, tmp_path, quizzes, questions, rows_of):
 
 def test_replayed_batch_changes_nothing(spark, tmp_path, quizzes, questions, rows_of):
     out = run(spark, tmp_path, quizzes, questions)
-    names = {"performance": ["*"], "user_answers": ["*"], "received": ["submission_id", "reason", "batch"]}
+    names = {n: ["*"] for n in ("performance", "user_answers", "refused")}
+    names["received"] = ["submission_id", "batch"]
     before = {n: rows_of(spark.read.parquet(f"{out}/{n}"), *c) for n, c in names.items()}
     again = spark.createDataFrame(BATCHES[1], schemas.SUBMISSION_EVENTS)
     feed.process_batch(again, 1, quizzes, questions, out)
