@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Numbering is done in groups of at most 2**SPAN_BITS rows.
+SPAN_BITS = 20
+
 
 def _shift_left_sum(bucket_columns: list[str], within: list[str]) -> Column:
     window = Window.partitionBy(*within) if within else Window
@@ -19,7 +22,7 @@ def assign_ids(
     position_column: str | None = None,
     existing: DataFrame | None = None,
     hex_digits: int = 3,
-    span_bits: int = 16,
+    span_bits: int = SPAN_BITS,
 ) -> DataFrame:
     """Give each row ``max(existing) + 1, + 2, ...`` without gaps, and the same on every run.
 
@@ -60,22 +63,18 @@ def assign_ids(
 
 
 def hot_keys(rows: DataFrame, key: str, limit: int) -> DataFrame:
-    """Keys with more than ``limit`` rows, marked ``_hot``.
+    """Keys with more than ``limit`` rows, marked ``_hot``, few enough to broadcast.
 
-    At most one in ``limit`` rows can bear the name of such a key, so the frame is that much
-    smaller than ``rows`` and may be broadcast. Counting reads the key column only and sums
-    up before the shuffle.
+    At most one in ``limit`` rows can bear the name of such a key: a million keys in 10**12
+    rows for a limit of 2**20. Counting reads the key column only and sums up before the
+    shuffle.
     """
-    return (
-        rows.groupBy(key)
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > limit)
-        .select(key, F.lit(True).alias("_hot"))
-    )
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    return counts.filter(F.col("_n") > limit).select(key, F.lit(True).alias("_hot"))
 
 
 def number_within(
-    rows: DataFrame, key: str, unique_id: str, number_column: str, span_bits: int = 16
+    rows: DataFrame, key: str, unique_id: str, number_column: str, span_bits: int = SPAN_BITS
 ) -> DataFrame:
     """Number the rows of each ``key`` from 1 in the order of the unique integer ``unique_id``.
 

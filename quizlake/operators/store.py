@@ -127,34 +127,36 @@ def replace_answers(
 def audit_foreign_keys(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows whose foreign key finds no parent: fk, child_id, missing_key.
 
-    Each child table is read once and unpivoted to one row per non-null foreign key, each
-    parent's ids once, and a single anti join settles all nine keys. A null key is allowed.
+    Each child table is read once and unpivoted to one narrow row per non-null foreign key,
+    each parent's ids once, and a single anti join settles all nine keys. A null key is
+    allowed. Links and parents travel as numbers; names are put back on what is found.
     """
-    children = []
+    parents = list(dict.fromkeys((parent, key) for *_, parent, key in FOREIGN_KEYS))
+    names = F.array(*[F.lit(f"{child}.{column}") for child, _, column, *_ in FOREIGN_KEYS])
+    references = []
     for table in dict.fromkeys(child for child, *_ in FOREIGN_KEYS):
-        links = [fk for fk in FOREIGN_KEYS if fk[0] == table]
-        references = F.array(
-            *[
-                F.struct(
-                    F.lit(f"{child}.{column}").alias("fk"),
-                    F.lit(parent).alias("parent"),
-                    F.col(column).cast("bigint").alias("missing_key"),
-                )
-                for child, _, column, parent, _ in links
-            ]
-        )
-        children.append(
+        links = [
+            F.struct(
+                F.lit(number).alias("link"),
+                F.lit(parents.index((parent, key))).alias("parent"),
+                F.col(column).cast("bigint").alias("missing_key"),
+                F.col(child_key).cast("bigint").alias("child_id"),
+            )
+            for number, (child, child_key, column, parent, key) in enumerate(FOREIGN_KEYS)
+            if child == table
+        ]
+        references.append(
             tables[table]
-            .select(F.col(links[0][1]).alias("child_id"), F.explode(references).alias("r"))
-            .select("r.fk", "r.parent", "child_id", "r.missing_key")
+            .select(F.explode(F.array(*links)).alias("r"))
+            .select("r.*")
             .filter(F.col("missing_key").isNotNull())
         )
-    parents = [
-        tables[parent].select(F.lit(parent).alias("parent"), F.col(key).alias("missing_key"))
-        for parent, key in dict.fromkeys((fk[3], fk[4]) for fk in FOREIGN_KEYS)
+    known = [
+        tables[parent].select(F.col(key).cast("bigint").alias("missing_key"), F.lit(number).alias("parent"))
+        for number, (parent, key) in enumerate(parents)
     ]
     return (
-        reduce(DataFrame.unionByName, children)
-        .join(reduce(DataFrame.unionByName, parents), ["parent", "missing_key"], "left_anti")
-        .select("fk", "child_id", "missing_key")
+        reduce(DataFrame.unionByName, references)
+        .join(reduce(DataFrame.unionByName, known), ["missing_key", "parent"], "left_anti")
+        .select(F.get(names, F.col("link")).alias("fk"), "child_id", "missing_key")
     )
