@@ -451,7 +451,7 @@ FROM first_ok f LEFT JOIN (SELECT request_id, string_agg(to_json({'question': qu
     ',' ORDER BY position) AS body FROM curated GROUP BY request_id) d USING (request_id)""",
     "saved_quizzes": "SELECT * FROM saved_headers",
     "saved_questions": """SELECT (SELECT max(question_id) FROM questions) + row_number() OVER (
-    ORDER BY substr(md5(cast(c.request_id as varchar)), 1, 3), c.position // 65536,
+    ORDER BY substr(md5(cast(c.request_id as varchar)), 1, 3), c.position // 1048576,
              md5(cast(c.request_id as varchar)), c.request_id, c.position) AS question_id,
   h.quiz_id, c.question AS question_text, c.options, c.answer AS correct_answer, c.explanation
 FROM curated c JOIN saved_headers h USING (request_id)""",
