@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from quizlake.functions.text import EMAIL_PATTERN
 from quizlake.operators import users
 from tests.plans import count, final_plan, initial_plan
 
@@ -46,22 +47,25 @@ def test_identity_lookup_is_an_equi_join(spark, sql_settings):
 
 
 def one_by_one(batch, people):
-    names, emails = {u[1] for u in people}, {u[2] for u in people}
+    """Insert row after row into two sets."""
+    taken_names, taken_emails = {u[1] for u in people}, {u[2] for u in people}
     verdicts = {}
-    for seq, name, email in sorted(batch):
-        name, email = (name or "").strip(), (email or "").strip().lower()
-        if not name:
-            verdicts[seq] = users.NAME_MISSING
-        elif not re.match(r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$", email):
-            verdicts[seq] = users.BAD_EMAIL
-        elif name in names:
-            verdicts[seq] = users.NAME_TAKEN
-        elif email in emails:
-            verdicts[seq] = users.EMAIL_TAKEN
-        else:
-            names.add(name)
-            emails.add(email)
-            verdicts[seq] = users.ACCEPTED
+    for seq, raw_name, raw_email in sorted(batch):
+        name = raw_name.strip() if raw_name else ""
+        email = raw_email.strip().lower() if raw_email else ""
+        verdict = users.ACCEPTED
+        if email in taken_emails:
+            verdict = users.EMAIL_TAKEN
+        if name in taken_names:
+            verdict = users.NAME_TAKEN
+        if not re.search(EMAIL_PATTERN, email):
+            verdict = users.BAD_EMAIL
+        if name == "":
+            verdict = users.NAME_MISSING
+        if verdict == users.ACCEPTED:
+            taken_names.add(name)
+            taken_emails.add(email)
+        verdicts[seq] = verdict
     return verdicts
 
 
