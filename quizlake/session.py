@@ -49,16 +49,11 @@ def shared_dir(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-        return named
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="quizlake-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    context.setCheckpointDir(folder)
-    return folder
+    if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quizlake-"))
+    return named or context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
