@@ -10,21 +10,22 @@ from quizlake.llm import language_id, line_dedup, ngram_join, packing, toxicity
 from quizlake.session import store_once
 
 
-def _row(docs: DataFrame):
-    return F.struct(*[F.col(name) for name in docs.columns])
+def _columns(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from rows that carried them along."""
+    return found.select(*["text" if name == "text" else F.col(f"others.{name}") for name in docs.columns])
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the classifier can name; ``und`` and ambiguous ones go."""
-    found = language_id.predict(docs, language_id.train(docs), keep=_row(docs))
-    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("ambiguous")).select("kept.*")
+    found = language_id.predict(docs, language_id.train(docs), carry=True)
+    return _columns(found.filter((F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("ambiguous")), docs)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not predict toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score(docs, toxicity.train(docs, labels), keep=_row(docs))
-    return scored.filter("predicted = 0").select("kept.*")
+    scored = toxicity.score(docs, toxicity.train(docs, labels), carry=True)
+    return _columns(scored.filter("predicted = 0"), docs)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

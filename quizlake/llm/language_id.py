@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizlake.llm.arrays import chunks
+from quizlake.llm.pieces import kept_in_worker
 
 UNKNOWN = "und"
 ORDERS = (2, 3)
@@ -169,9 +170,11 @@ def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return order[:, 0], order[:, 1], share[np.arange(len(order)), order[:, 0]]
 
 
-def _predict_batches(batches, model: Model):
+def _predict_batches(batches, model: Model, carry: bool):
+    kept_in_worker(("language",), dict)
     for batch in batches:
         texts = batch.column(1)
+        rest = [k for k in range(batch.num_columns) if carry or k != 1]
         margins = np.zeros((len(texts), model.codes.shape[1]))
         grams = np.zeros(len(texts))
         for first, data, bounds in chunks(texts, 1_000_000):
@@ -191,12 +194,12 @@ def _predict_batches(batches, model: Model):
         names = np.array(model.langs, object)
         yield pa.RecordBatch.from_arrays(
             [
-                *[batch.column(k) for k in range(batch.num_columns) if k != 1],
+                *[batch.column(k) for k in rest],
                 pa.array(names[best], pa.string()),
                 pa.array(names[second], pa.string()),
                 pa.array(score, pa.float64()),
             ],
-            [*[batch.schema.names[k] for k in range(batch.num_columns) if k != 1], "best", "second", "share"],
+            [*[batch.schema.names[k] for k in rest], "best", "second", "share"],
         )
 
 
@@ -206,36 +209,36 @@ def predict(
     doc_id: str = "doc_id",
     text: str = "text",
     ambiguous_below: float = 0.5,
-    keep: Column | None = None,
+    carry: bool = False,
 ) -> DataFrame:
     """Per row: doc_id, lang_pred, score, second language and whether the choice is ambiguous.
 
     Only the text decides. A text that is null or has no letter is ``und`` with score 0, as
     is every text if no language was learned. ``ambiguous`` marks a best language with less
-    than ``ambiguous_below`` of the score. Empty tables give no rows. ``keep`` is one more
-    column to carry along, as ``kept``.
+    than ``ambiguous_below`` of the score. Empty tables give no rows. With ``carry`` every row also
+    brings its text as ``text`` and its other columns in the struct ``others``.
     """
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    others = [F.col(name) for name in docs.columns if name != text]
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
-        F.when(lettered, F.col(text)).alias("text"),
+        (F.col(text) if carry else F.when(lettered, F.col(text))).alias("text"),
         lettered.alias("lettered"),
-        (F.lit(0) if keep is None else keep).alias("kept"),
+        *([F.struct(*others).alias("others")] if carry else []),
     )
+    own = rows.columns if carry else ["doc_id", "lettered"]
     if model.langs:
-        kind = rows.schema["kept"].dataType.simpleString()
-        schema = f"doc_id long, lettered boolean, kept {kind}, best string, second string, share double"
-        rows = rows.mapInArrow(partial(_predict_batches, model=model), schema)
+        kinds = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in own)
+        predict_batches = partial(_predict_batches, model=model, carry=carry)
+        rows = rows.mapInArrow(predict_batches, f"{kinds}, best string, second string, share double")
     else:
-        rows = rows.select(
-            "doc_id", F.lit(False).alias("lettered"), "kept", *[F.lit(None).cast("string").alias(c) for c in ("best", "second")],
-            F.lit(0.0).alias("share"),
-        )
+        nothing = {"lettered": F.lit(False), "share": F.lit(0.0)}
+        rows = rows.withColumns(nothing | {name: F.lit(None).cast("string") for name in ("best", "second")})
     return rows.select(
         "doc_id",
         F.when(F.col("lettered"), F.col("best")).otherwise(UNKNOWN).alias("lang_pred"),
         F.when(F.col("lettered"), F.col("share")).otherwise(0.0).alias("score"),
         F.when(F.col("lettered"), F.col("second")).alias("second"),
         (F.col("lettered") & (F.col("share") < ambiguous_below)).alias("ambiguous"),
-        "kept",
+        *(["text", "others"] if carry else []),
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quizlake.llm.arrays import Spans, chunks, mixed, word_bounds
 from quizlake.llm.columns import text_of
+from quizlake.llm.pieces import kept_in_worker
 from quizlake.session import cut_lineage, store_once
 
 NGRAM = 5
@@ -77,6 +78,7 @@ def _ngram_sets(texts: pa.Array, size: int):
 
 def _signature_batches(batches, size: int, bands: int, rows: int):
     factors = _multipliers(bands * rows + 2)
+    kept_in_worker(("signatures",), dict)
     for batch in batches:
         out = []
         for first, grams, ends in _ngram_sets(batch.column(1), size):

@@ -25,7 +25,7 @@ _OTHER_BLANKS = r"[\x00-\x09\x0b-\x1f\x85\xa0\x{1680}\x{180e}\x{2000}-\x{200b}\x
 _UNEVEN = _OTHER_BLANKS + r"|[ \n][ \n]|\A[ \n]|[ \n]\z"
 _START, _LINE = "\x02", "\n"
 _CHUNK = 6_000_000
-_ENTRIES = 300_000
+_ENTRIES = 150_000
 # A letter or digit of the Latin blocks at the end.
 _WORD_END = r"[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]\z"
 
@@ -37,10 +37,12 @@ def worker_state() -> dict:
 
 
 def kept_in_worker(key: tuple, make: Callable):
+    """What ``make`` gives, kept over tasks. A worker holds one such thing: a new key frees the last."""
     state = worker_state()
-    if key not in state:
-        state[key] = make()
-    return state[key]
+    if state.get("key") != key:
+        state.pop("value", None)
+        state["key"], state["value"] = key, make()
+    return state["value"]
 
 
 class Recent:

@@ -15,7 +15,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quizlake.llm.arrays import Spans, chunks, word_bounds
@@ -289,12 +289,13 @@ def _logistic(row, column, label, width: int, steps: int = 1000, rate: float = 0
     return theta[:-1], float(theta[-1])
 
 
-def _score_batches(batches, model: Model):
+def _score_batches(batches, model: Model, carry: bool):
     read = restorer(model.costs)
     weights = np.zeros(1 << _BITS)
     weights[model.features] = model.weights
     for batch in batches:
-        texts = read.all(batch.column(1))
+        given = batch.column(1).fill_null("")
+        texts = read.all(given)
         margin = np.full(len(texts), model.bias)
         for own, feature in _features(texts):
             found = np.flatnonzero(weights.take(feature))
@@ -302,8 +303,8 @@ def _score_batches(batches, model: Model):
                 pairs = np.unique(own[found] * (1 << _BITS) + feature[found])
                 np.add.at(margin, pairs >> _BITS, weights[pairs & ((1 << _BITS) - 1)])
         score = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-        changed = np.asarray(pc.not_equal(texts, batch.column(1)))
-        rest = [k for k in range(batch.num_columns) if k != 1]
+        changed = np.asarray(pc.not_equal(texts, given))
+        rest = [k for k in range(batch.num_columns) if carry or k != 1]
         yield pa.RecordBatch.from_arrays(
             [*[batch.column(k) for k in rest], pa.array(score), pa.array(changed)],
             [*[batch.schema.names[k] for k in rest], "score", "restored"],
@@ -311,20 +312,29 @@ def _score_batches(batches, model: Model):
 
 
 def score(
-    docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: Column | None = None
+    docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", carry: bool = False
 ) -> DataFrame:
     """Per row: doc_id, score, predicted (1 from one half on), and whether a word was restored.
 
     Only the text decides. Null texts count as empty; empty texts get the model's bias. Rows
-    pass one by one, repeated ones too; an empty table gives no rows. ``keep`` is one more
-    column to carry along, as ``kept``.
+    pass one by one, repeated ones too; an empty table gives no rows. With
+    ``carry`` every row also brings its text as ``text`` and its other columns in ``others``.
     """
+    others = [F.col(name) for name in docs.columns if name != text]
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
-        (F.lit(0) if keep is None else keep).alias("kept"),
+        F.col(text).alias("text"),
+        *([F.struct(*others).alias("others")] if carry else []),
+    )
+    own = rows.columns if carry else ["doc_id"]
+    kinds = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in own)
+    scored = rows.mapInArrow(
+        partial(_score_batches, model=model, carry=carry), f"{kinds}, score double, restored boolean"
+    )
+    return scored.select(
+        "doc_id",
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "restored",
+        *(["text", "others"] if carry else []),
     )
-    kind = rows.schema["kept"].dataType.simpleString()
-    schema = f"doc_id long, kept {kind}, score double, restored boolean"
-    scored = rows.mapInArrow(partial(_score_batches, model=model), schema)
-    return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "restored", "kept")
