@@ -6,16 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizlake.functions.text import iso_seconds
-from quizlake.operators.keys import hot_keys, number_within
+from quizlake.operators.keys import number_within
 
 # List lengths.
 QUIZZES_LISTED = 50
 MODULES_LISTED = 15
 
-# A quiz with more questions than this is loaded as several documents, in order.
-QUESTIONS_PER_DOCUMENT = 100_000
-
-
 _QUESTION_LIST = (
     "array<struct<question_id:bigint,question:string,options:array<string>,"
     "answer:int,explanation:string>>"
@@ -107,18 +103,8 @@ def number_questions(questions: DataFrame) -> DataFrame:
     return number_within(questions, "quiz_id", "question_id", "question_number")
 
 
-def quiz_documents(
-    quizzes: DataFrame, questions: DataFrame, per_document: int = QUESTIONS_PER_DOCUMENT
-) -> DataFrame:
-    """Every quiz as a nested document, questions in id order.
-
-    A quiz is one document with part 0. Only a quiz with more than ``per_document`` questions
-    is cut, into spans of question ids, so no collected list is longer than that; its parts
-    in order are the whole quiz.
-    """
-    oversize = F.broadcast(hot_keys(questions, "quiz_id", per_document))
-    question_id = F.col("question_id")
-    span = ((question_id - F.pmod(question_id, F.lit(per_document))) / per_document).cast("bigint")
+def quiz_documents(quizzes: DataFrame, questions: DataFrame) -> DataFrame:
+    """Every quiz as one nested document, questions in id order; none is an empty list."""
     question = F.struct(
         F.col("question_id"),
         F.col("question_text").alias("question"),
@@ -126,22 +112,15 @@ def quiz_documents(
         F.col("correct_answer").alias("answer"),
         F.coalesce("explanation", F.lit("")).alias("explanation"),
     )
-    parts = (
-        questions.join(oversize, "quiz_id", "left")
-        .withColumn("part", F.when(F.col("_hot"), span).otherwise(F.lit(0)))
-        .groupBy("quiz_id", "part")
-        .agg(F.array_sort(F.collect_list(question)).alias("questions"))
+    listed = questions.groupBy("quiz_id").agg(
+        F.array_sort(F.collect_list(question)).alias("questions")
     )
     no_questions = F.from_json(F.lit("[]"), _QUESTION_LIST)
     return (
         quizzes.select("quiz_id", "difficulty", "timestamp")
-        .join(parts, "quiz_id", "left")
+        .join(listed, "quiz_id", "left")
         .select(
-            "quiz_id",
-            "difficulty",
-            "timestamp",
-            F.coalesce("part", F.lit(0)).alias("part"),
-            F.coalesce("questions", no_questions).alias("questions"),
+            "quiz_id", "difficulty", "timestamp", F.coalesce("questions", no_questions).alias("questions")
         )
     )
 

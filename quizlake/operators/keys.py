@@ -62,34 +62,19 @@ def assign_ids(
     )
 
 
-def hot_keys(rows: DataFrame, key: str, limit: int) -> DataFrame:
-    """Keys with more than ``limit`` rows, marked ``_hot``, few enough to broadcast.
-
-    At most one in ``limit`` rows can bear the name of such a key: a million keys in 10**12
-    rows for a limit of 2**20. Counting reads the key column only and sums up before the
-    shuffle.
-    """
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    return counts.filter(F.col("_n") > limit).select(key, F.lit(True).alias("_hot"))
-
-
 def number_within(
     rows: DataFrame, key: str, unique_id: str, number_column: str, span_bits: int = SPAN_BITS
 ) -> DataFrame:
     """Number the rows of each ``key`` from 1 in the order of the unique integer ``unique_id``.
 
-    A window over the key alone would sort a hot key in one task. Keys of more than
-    2**span_bits rows are cut into spans of that many ids, and ids are unique, so no window
-    group is larger than that. Counts of the earlier spans of a hot key are added back; they
-    join on the partitioning the window already has.
+    A window over the key alone would sort a hot key in one task. Every key is cut into spans
+    of 2**span_bits ids, and ids are unique, so no window group is larger than that. Counts of
+    the earlier spans of a key are added back; they join on the partitioning the window
+    already has.
     """
-    hot = F.broadcast(hot_keys(rows, key, 1 << span_bits))
-    span = F.shiftright(F.col(unique_id).cast("bigint"), span_bits)
-    cut = rows.join(hot, key, "left").withColumn("_span", F.when(F.col("_hot"), span).otherwise(0))
+    cut = rows.withColumn("_span", F.shiftright(F.col(unique_id).cast("bigint"), span_bits))
     before = (
-        rows.select(key, span.alias("_span"))
-        .join(hot, key, "left_semi")
-        .groupBy(key, "_span")
+        cut.groupBy(key, "_span")
         .agg(F.count("*").alias("_n"))
         .select(key, "_span", _shift_left_sum(["_span"], [key]).alias("_before"))
     )
@@ -100,5 +85,5 @@ def number_within(
         .withColumn(
             number_column, (F.coalesce("_before", F.lit(0)) + F.col("_in_span")).cast("bigint")
         )
-        .drop("_hot", "_span", "_in_span", "_before")
+        .drop("_span", "_in_span", "_before")
     )

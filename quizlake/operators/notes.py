@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +10,7 @@ from quizlake.functions.text import (
     fingerprint,
     preview,
     strip,
-    strip_left,
     strip_or_empty,
-    strip_right,
     thousands,
 )
 
@@ -50,12 +45,6 @@ NOTES:
 {notes}
 """
 
-# A note of more bytes than this does not become one cell but several, in order.
-NOTE_BYTES = 64 * 1024 * 1024
-
-_SEGMENT_SCHEMA = "note_id bigint, segment bigint, text string"
-
-
 def note_route(file_name: Column) -> Column:
     """Which extractor a file goes to, by lower-cased extension; anything unknown is text."""
     name = F.lower(file_name)
@@ -65,96 +54,19 @@ def note_route(file_name: Column) -> Column:
     return route.otherwise(TEXT)
 
 
-def _cut_into_segments(max_bytes: int):
-    """Join consecutive parts of a sorted partition into pieces of about ``max_bytes``.
-
-    The piece a note starts with is number 0. The partition number leads all others, so
-    pieces of later ranges come later.
-    """
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        note, number, texts, size, pieces = None, 0, [], 0, 0
-        columns = ["note_id", "segment", "text"]
-        for batch in batches:
-            done = []
-            for row in batch.itertuples(index=False):
-                if texts and (row.note_id != note or size > max_bytes):
-                    done.append((note, number, "\n".join(texts)))
-                    texts, size = [], 0
-                if not texts:
-                    pieces += 1
-                    note = row.note_id
-                    number = 0 if row.starts else (row.partition << 32) + pieces
-                texts.append(row.text)
-                size += len(row.text)
-            if done:
-                yield pd.DataFrame(done, columns=columns)
-        if texts:
-            yield pd.DataFrame([(note, number, "\n".join(texts))], columns=columns)
-
-    return cut
-
-
-def assemble_notes(parts: DataFrame, max_bytes: int = NOTE_BYTES) -> DataFrame:
-    """Parts (note_id, part_no, text) to text: joined by line feeds in order, then stripped.
+def assemble_notes(parts: DataFrame) -> DataFrame:
+    """Parts (note_id, part_no, text) to one text a note: joined by line feeds in order, stripped.
 
-    (note_id, part_no) is unique. A note is one row with segment 0, collected in one group of
-    at most ``max_bytes``. Larger notes, which one task or cell might not hold, are sorted
-    across tasks by range and leave as several rows, segment 0 first and then ascending;
-    joined by line feeds these are the whole note. Their ids number at most one per
-    ``max_bytes`` of input, which bounds the broadcasts.
+    (note_id, part_no) is unique. A note is one cell, as every reader of it needs it whole.
     """
-    filled = parts.select("note_id", "part_no", F.coalesce("text", F.lit("")).alias("text"))
-    oversize = (
-        filled.groupBy("note_id")
-        .agg(F.sum(F.octet_length("text") + 1).alias("_bytes"))
-        .filter(F.col("_bytes") > max_bytes)
-        .select("note_id")
+    in_order = F.array_sort(
+        F.collect_list(F.struct("part_no", F.coalesce("text", F.lit("")).alias("text")))
     )
-    in_order = F.array_sort(F.collect_list(F.struct("part_no", "text")))
-    whole = (
-        filled.join(F.broadcast(oversize), "note_id", "left_anti")
-        .groupBy("note_id")
+    return (
+        parts.groupBy("note_id")
         .agg(in_order.alias("_parts"))
-        .select(
-            "note_id",
-            F.lit(0).cast("bigint").alias("segment"),
-            strip(F.array_join(F.col("_parts.text"), "\n")).alias("text"),
-        )
-    )
-    return whole.unionByName(_segmented(filled, oversize, max_bytes))
-
-
-def _segmented(parts: DataFrame, oversize: DataFrame, max_bytes: int) -> DataFrame:
-    large = parts.join(F.broadcast(oversize), "note_id", "left_semi")
-    ends = (
-        large.filter(strip(F.col("text")) != "")
-        .groupBy("note_id")
-        .agg(F.min("part_no").alias("_first"), F.max("part_no").alias("_last"))
-    )
-    part, text = F.col("part_no"), F.col("text")
-    starts, stops = part == F.col("_first"), part == F.col("_last")
-    segments = (
-        large.join(F.broadcast(ends), "note_id")
-        .filter(part.between(F.col("_first"), F.col("_last")))
-        .withColumn("starts", starts)
-        .withColumn(
-            "text",
-            F.when(starts & stops, strip(text))
-            .when(starts, strip_left(text))
-            .when(stops, strip_right(text))
-            .otherwise(text),
-        )
-        .select("note_id", "part_no", "text", "starts")
-        .repartitionByRange("note_id", "part_no", "text")
-        .sortWithinPartitions("note_id", "part_no", "text")
-        .select("note_id", F.spark_partition_id().cast("bigint").alias("partition"), "text", "starts")
-        .mapInPandas(_cut_into_segments(max_bytes), _SEGMENT_SCHEMA)
-    )
-    blank = oversize.join(ends, "note_id", "left_anti").select(
-        "note_id", F.lit(0).cast("bigint").alias("segment"), F.lit("").alias("text")
+        .select("note_id", strip(F.array_join(F.col("_parts.text"), "\n")).alias("text"))
     )
-    return segments.unionByName(blank)
 
 
 def gate_notes(notes: DataFrame) -> DataFrame:

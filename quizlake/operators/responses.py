@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 from quizlake.functions import quiz_json
 from quizlake.functions.text import strip_or_empty
-from quizlake.session import configure
+from quizlake.session import store_once
 
 # Fixed values.
 MAX_ATTEMPTS = 3
 READY, FAILED = "ready", "failed"
 
+_DUPLICATES = "spark.sql.variant.allowDuplicateKeys"
+_WIDE = 1 << 32
+
 
 def judge_responses(responses: DataFrame) -> DataFrame:
     """Status, message and, if ok, the normalised questions of every attempt."""
-    configure(responses.sparkSession)
+    if responses.sparkSession.conf.get(_DUPLICATES, "false") != "true":
+        raise RuntimeError(f"set {_DUPLICATES} to true: the last of duplicate keys counts")
     status = (
         F.when(~quiz_json.is_json(F.col("_sealed")), quiz_json.INVALID_JSON)
         .when(~F.col("_valid"), quiz_json.INVALID_STRUCTURE)
@@ -52,34 +56,43 @@ def judge_responses(responses: DataFrame) -> DataFrame:
 def first_valid(judged: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """One row per request: the first valid attempt of the first ``max_attempts``, or a failure.
 
-    The aggregate keeps one attempt per task and request before the shuffle.
+    Only numbers are aggregated: an attempt together with its count of questions, or with its
+    kind of error, in one long. The payload stays out of the shuffle; ``curated_quizzes``
+    fetches it for the winners.
     """
     usable = F.col("status") == quiz_json.OK
-    chosen = F.min(F.when(usable, F.struct("attempt", "questions")))
-    last_error = F.max(F.when(~usable, F.struct("attempt", "message")))
+    attempt = F.col("attempt").cast("bigint") * _WIDE
+    bad_structure = (F.col("status") == quiz_json.INVALID_STRUCTURE).cast("bigint")
+    chosen = F.min(F.when(usable, attempt + F.size("questions")))
+    last_error = F.max(F.when(~usable, attempt + bad_structure))
+    message = F.when(F.col("_error") % _WIDE == 1, quiz_json.MESSAGES[quiz_json.INVALID_STRUCTURE]).otherwise(
+        quiz_json.MESSAGES[quiz_json.INVALID_JSON]
+    )
+    failed = F.col("_chosen").isNull()
     return (
         judged.filter(F.col("attempt") <= max_attempts)
         .groupBy("request_id")
         .agg(chosen.alias("_chosen"), last_error.alias("_error"))
         .select(
             "request_id",
-            F.when(F.col("_chosen").isNotNull(), READY).otherwise(FAILED).alias("status"),
-            F.col("_chosen.attempt").alias("attempt"),
-            F.when(
-                F.col("_chosen").isNull(),
-                F.concat(
-                    F.lit(f"Failed after {max_attempts} attempts: "), F.col("_error.message")
-                ),
-            ).alias("error"),
-            F.col("_chosen.questions").alias("questions"),
+            F.when(failed, FAILED).otherwise(READY).alias("status"),
+            F.floor(F.col("_chosen") / _WIDE).cast("int").alias("attempt"),
+            F.when(failed, F.concat(F.lit(f"Failed after {max_attempts} attempts: "), message)).alias("error"),
+            (F.col("_chosen") % _WIDE).cast("int").alias("n_questions"),
         )
     )
 
 
 def curated_quizzes(responses: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """request_id, attempt, questions of every request that got a valid quiz."""
-    chosen = first_valid(judge_responses(responses), max_attempts)
-    return chosen.filter(F.col("status") == READY).select("request_id", "attempt", "questions")
+    """request_id, attempt, questions of every request that got a valid quiz.
+
+    The judged attempts are stored once: the winners are found on their narrow columns, and
+    the questions are read for winners only.
+    """
+    judged = judge_responses(responses).filter(F.col("status") == quiz_json.OK)
+    judged = store_once(judged.select("request_id", "attempt", "status", "questions"), "judged")
+    chosen = first_valid(judged, max_attempts).select("request_id", "attempt")
+    return judged.join(chosen, ["request_id", "attempt"]).select("request_id", "attempt", "questions")
 
 
 def curated_questions(curated: DataFrame) -> DataFrame:

@@ -58,14 +58,22 @@ def get_or_create_modules(requests: DataFrame, modules: DataFrame, run_time: str
 
 
 def quiz_headers(
-    curated: DataFrame, requests: DataFrame, quizzes: DataFrame | None, run_time: str
+    curated: DataFrame,
+    requests: DataFrame,
+    quizzes: DataFrame | None,
+    run_time: str,
+    questions: DataFrame | None = None,
 ) -> DataFrame:
     """Quiz rows for generated quizzes, keeping request_id to tie questions to them.
 
     ``curated`` has request_id and questions; ``requests`` has request_id, user_id, module_id,
     notes_hash and difficulty.
     """
-    numbered = assign_ids(curated.select("request_id"), "quiz_id", ["request_id"], existing=quizzes)
+    # Questions are written first: a save that ended between the two left ids in them alone.
+    known = None if quizzes is None else quizzes.select("quiz_id")
+    if known is not None and questions is not None:
+        known = known.unionByName(questions.select("quiz_id"))
+    numbered = assign_ids(curated.select("request_id"), "quiz_id", ["request_id"], existing=known)
     return numbered.join(requests, "request_id").select(
         "request_id",
         "quiz_id",

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quizlake.functions.text import ascii_lower, is_email, strip_or_empty
+from quizlake.operators.keys import assign_ids
 from quizlake.session import cut_lineage
 
 # Fixed values.
@@ -19,9 +19,6 @@ BAD_EMAIL = "Invalid email format."
 NAME_TAKEN = "Username already exists."
 EMAIL_TAKEN = "Email already registered."
 
-# Up to this many undecided import rows are settled in arrival order by one task.
-SETTLE_ROWS = 50_000
-
 
 def identity_directory(users: DataFrame) -> DataFrame:
     """One row per folded identifier, name or email, with the smallest user id bearing it."""
@@ -56,16 +53,6 @@ def resolve_identifiers(lookups: DataFrame, users: DataFrame) -> DataFrame:
     return resolved.unionByName(blank)
 
 
-def _settle_in_order(rows: pd.DataFrame) -> pd.DataFrame:
-    names, emails, winners = set(), set(), []
-    for row in rows.sort_values("seq").itertuples(index=False):
-        if row.username not in names and row.email not in emails:
-            names.add(row.username)
-            emails.add(row.email)
-            winners.append((row.seq, row.username, row.email))
-    return pd.DataFrame(winners, columns=["seq", "username", "email"])
-
-
 def _first_on_both_keys(open_rows: DataFrame) -> DataFrame:
     """Rows no earlier undecided row can block: the first of their name and of their email."""
     by_name = open_rows.groupBy("username").agg(F.min("seq").alias("seq"))
@@ -79,34 +66,25 @@ def _without_keys_of(rows: DataFrame, taken: DataFrame) -> DataFrame:
     )
 
 
-def _accept(open_rows: DataFrame, settle_rows: int) -> DataFrame:
+def _accept(open_rows: DataFrame) -> DataFrame:
     """The rows a one-by-one insert would accept.
 
     Each round accepts what is first on both keys and drops what that blocks; a row that was
-    itself dropped blocks nobody. Every round decides at least the earliest open row. What
-    little is left after a round (size checked) is settled in order by one task.
+    itself dropped blocks nobody. Every round decides at least the earliest open row of each
+    cluster of rivals, so the number of rounds follows the longest chain of rivals.
     """
     open_rows = cut_lineage(open_rows.select("seq", "username", "email"))
     accepted = []
-    while True:
-        left = open_rows.limit(settle_rows + 1).count()
-        if left <= settle_rows:
-            settled = (
-                open_rows.withColumn("_all", F.lit(0))
-                .groupBy("_all")
-                .applyInPandas(_settle_in_order, open_rows.schema)
-            )
-            return reduce(DataFrame.unionByName, accepted, cut_lineage(settled))
+    while open_rows.limit(1).count():
         winners = cut_lineage(_first_on_both_keys(open_rows))
         accepted.append(winners)
         open_rows = cut_lineage(
             _without_keys_of(open_rows, winners).select("seq", "username", "email")
         )
+    return reduce(DataFrame.unionByName, accepted, open_rows)
 
 
-def import_users(
-    batch: DataFrame, users: DataFrame, settle_rows: int = SETTLE_ROWS
-) -> DataFrame:
+def import_users(batch: DataFrame, users: DataFrame) -> DataFrame:
     """Check new users (seq, username, email) in arrival order against each other and ``users``.
 
     Returns seq, cleaned username and email, accepted and the message of a one-by-one
@@ -122,7 +100,7 @@ def import_users(
     )
     refused = cleaned.filter(F.col("refusal").isNotNull())
     valid = cleaned.filter(F.col("refusal").isNull()).drop("refusal")
-    accepted = _accept(_without_keys_of(valid, users), settle_rows)
+    accepted = _accept(_without_keys_of(valid, users))
 
     # A name is taken for a row if a stored user has it or a row accepted earlier.
     taken = (
@@ -152,3 +130,15 @@ def import_users(
             "seq", "username", "email", F.lit(False).alias("accepted"), F.col("refusal").alias("message")
         )
     )
+
+
+def imported_users(verdicts: DataFrame, users: DataFrame, run_time: str) -> DataFrame:
+    """User rows of the accepted ``verdicts`` of ``import_users``, ids above the stored ones."""
+    new = verdicts.filter("accepted").select("seq", "username", "email")
+    return assign_ids(new, "user_id", ["seq"], existing=users).select(
+        "user_id",
+        "username",
+        "email",
+        F.to_timestamp_ntz(F.lit(run_time)).alias("created_at"),
+        F.lit(1).alias("email_verified"),
+    )

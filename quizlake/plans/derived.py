@@ -230,7 +230,7 @@ class QuizData:
         kind = request % 16
         # Narrow rows fan out to long texts below; a fixed count keeps AQE from merging them.
         tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        lines = self._lines().repartition(tasks, "question_id").select(
+        lines = self._lines().repartition(tasks, "part", "supp").select(
             "question_id", F.col("part").cast("string").alias("p"), F.col("supp").cast("string").alias("s"),
             (F.col("part") % 4).cast("string").alias("a"),
         )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quizlake.operators import catalog, notes, progress, responses, scoring, store
 from quizlake.session import store_once
@@ -15,11 +14,8 @@ def prompts_from_parts(parts: DataFrame, files: DataFrame, settings: DataFrame)
     """Note parts to prompts: assemble, gate, join the request settings, fill the template.
 
     ``files`` has note_id and file_name, ``settings`` note_id, num_questions and difficulty.
-    Of a note too large for one cell the first segment is enough: a prompt reads no further
-    than its first few thousand characters.
     """
-    text = notes.assemble_notes(parts).filter(F.col("segment") == 0).drop("segment")
-    gated = notes.gate_notes(files.join(text, "note_id"))
+    gated = notes.gate_notes(files.join(notes.assemble_notes(parts), "note_id"))
     return notes.build_prompts(notes.accepted_notes(gated).join(settings, "note_id"))
 
 
@@ -38,7 +34,7 @@ def quizzes_from_responses(
 ) -> SavedQuizzes:
     """Raw responses to new rows of quizzes and questions, both from one stored curated set."""
     curated = store_once(responses.curated_quizzes(raw), "curated")
-    headers = store.quiz_headers(curated, requests, quizzes, run_time)
+    headers = store.quiz_headers(curated, requests, quizzes, run_time, questions)
     return SavedQuizzes(headers, store.question_rows(curated, headers, questions))
 
 

@@ -310,6 +310,31 @@ _FK_AUDIT = "\nUNION ALL\n".join(
     ]
 )
 
+_IMPORT_CHECK = r"""SELECT seq, username, email, accepted, message FROM (
+  WITH RECURSIVE cleaned AS (
+    SELECT seq, trim(username, E' \t') AS username, lower(trim(email)) AS email,
+           row_number() OVER (ORDER BY seq) AS n FROM import_batch),
+  checked AS (
+    SELECT *, CASE WHEN username = '' THEN 'Username and password required.'
+      WHEN NOT regexp_full_match(email, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}')
+      THEN 'Invalid email format.' END AS refusal,
+      username IN (SELECT username FROM users) AS old_name,
+      email IN (SELECT email FROM users) AS old_email FROM cleaned),
+  walk AS (
+    SELECT 0::bigint AS n, 0::bigint AS seq, '' AS username, '' AS email, '' AS message,
+           []::varchar[] AS names, []::varchar[] AS emails
+    UNION ALL
+    SELECT n, seq, username, email, message,
+      CASE WHEN message LIKE 'Account%' THEN list_append(names, username) ELSE names END,
+      CASE WHEN message LIKE 'Account%' THEN list_append(emails, email) ELSE emails END
+    FROM (SELECT c.n, c.seq, c.username, c.email, w.names, w.emails,
+      CASE WHEN refusal IS NOT NULL THEN refusal
+        WHEN old_name OR list_contains(w.names, c.username) THEN 'Username already exists.'
+        WHEN old_email OR list_contains(w.emails, c.email) THEN 'Email already registered.'
+        ELSE 'Account created successfully! You can now login.' END AS message
+      FROM walk w JOIN checked c ON c.n = w.n + 1))
+  SELECT seq, username, email, message LIKE 'Account%' AS accepted, message FROM walk WHERE n > 0)"""
+
 _SQL: dict[str, str] = {
     "users_table": "SELECT user_id, username, email FROM users",
     "modules_table": "SELECT module_id, user_id, module_name, created_at FROM modules",
@@ -366,13 +391,13 @@ WHERE place <= 3 GROUP BY l.user_id, l.module_id""",
   strftime("timestamp", '%Y-%m-%dT%H:%M:%S'), ' • ', difficulty) AS label FROM quizzes""",
     "question_numbers": """SELECT quiz_id, question_id,
   row_number() OVER (PARTITION BY quiz_id ORDER BY question_id) AS question_number FROM questions""",
-    "quiz_documents": """SELECT z.quiz_id, z.difficulty, z."timestamp", 0::bigint AS part,
+    "quiz_documents": """SELECT z.quiz_id, z.difficulty, z."timestamp",
   concat('[', coalesce(d.body, ''), ']') AS questions
 FROM quizzes z LEFT JOIN (SELECT quiz_id, string_agg(to_json({'question_id': question_id,
     'question': question_text, 'options': cast(options::json as varchar[]),
     'answer': correct_answer, 'explanation': coalesce(explanation, '')})::varchar, ','
     ORDER BY question_id) AS body FROM questions GROUP BY quiz_id) d USING (quiz_id)""",
-    "notes_assembled": f"""SELECT conv_id AS note_id, 0::bigint AS segment, trim(string_agg(
+    "notes_assembled": f"""SELECT conv_id AS note_id, trim(string_agg(
   CASE WHEN (conv_id*7 + turn) % 9 <> 0 THEN text ELSE '' END, chr(10) ORDER BY turn), {_BLANK}) AS text
 FROM conversations GROUP BY conv_id""",
     "note_gate": """SELECT note_id, file_name, route, sha256(text) AS text, status, message FROM gated""",
@@ -383,6 +408,11 @@ WHERE status <> 'ok'""",
   concat(substr(text, 1, 1500), CASE WHEN length(text) > 1500 THEN '...' ELSE '' END) AS preview,
   concat('Total: ', format('{:,}', length(text)), ' characters') AS caption FROM good_notes""",
     "notes_decoded": f"SELECT note_id, trim(text, {_BLANK}) AS text FROM raw_notes",
+    "prompts_from_notes": f"""SELECT note_id, num_questions, difficulty, true AS settings_ok,
+  {_prompt_sql()} AS prompt
+FROM (SELECT conv_id AS note_id, 10 AS num_questions, 'Medium' AS difficulty, trim(string_agg(
+    CASE WHEN (conv_id*7 + turn) % 9 <> 0 THEN text ELSE '' END, chr(10) ORDER BY turn), {_BLANK}) AS text
+  FROM conversations GROUP BY conv_id) n WHERE length(text) >= 50""",
     "prompts": f"""SELECT note_id, num_questions, difficulty, settings_ok,
   CASE WHEN settings_ok THEN {_prompt_sql()} END AS prompt
 FROM (SELECT *, num_questions BETWEEN 1 AND 50 AND difficulty IN ('Easy','Medium','Hard') AS settings_ok
@@ -397,30 +427,10 @@ FROM (SELECT lookup_id, {_FOLD.format("trim(identifier, " + _BLANK + ")")} AS fo
 LEFT JOIN all_users u ON folded <> ''
   AND ({_FOLD.format("u.username")} = folded OR {_FOLD.format("u.email")} = folded)
 GROUP BY lookup_id, folded""",
-    "user_import_check": r"""SELECT seq, username, email, accepted, message FROM (
-  WITH RECURSIVE cleaned AS (
-    SELECT seq, trim(username, E' \t') AS username, lower(trim(email)) AS email,
-           row_number() OVER (ORDER BY seq) AS n FROM import_batch),
-  checked AS (
-    SELECT *, CASE WHEN username = '' THEN 'Username and password required.'
-      WHEN NOT regexp_full_match(email, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}')
-      THEN 'Invalid email format.' END AS refusal,
-      username IN (SELECT username FROM users) AS old_name,
-      email IN (SELECT email FROM users) AS old_email FROM cleaned),
-  walk AS (
-    SELECT 0::bigint AS n, 0::bigint AS seq, '' AS username, '' AS email, '' AS message,
-           []::varchar[] AS names, []::varchar[] AS emails
-    UNION ALL
-    SELECT n, seq, username, email, message,
-      CASE WHEN message LIKE 'Account%' THEN list_append(names, username) ELSE names END,
-      CASE WHEN message LIKE 'Account%' THEN list_append(emails, email) ELSE emails END
-    FROM (SELECT c.n, c.seq, c.username, c.email, w.names, w.emails,
-      CASE WHEN refusal IS NOT NULL THEN refusal
-        WHEN old_name OR list_contains(w.names, c.username) THEN 'Username already exists.'
-        WHEN old_email OR list_contains(w.emails, c.email) THEN 'Email already registered.'
-        ELSE 'Account created successfully! You can now login.' END AS message
-      FROM walk w JOIN checked c ON c.n = w.n + 1))
-  SELECT seq, username, email, message LIKE 'Account%' AS accepted, message FROM walk WHERE n > 0)""",
+    "user_import_check": _IMPORT_CHECK,
+    "imported_users": f"""SELECT (SELECT max(user_id) FROM users) + row_number() OVER (ORDER BY md5(seq::varchar))
+  AS user_id, username, email, TIMESTAMP '2024-01-01 00:00:00' AS created_at, 1 AS email_verified
+FROM ({_IMPORT_CHECK}) v WHERE accepted""",
     "module_upsert": """SELECT w.request_id, w.user_id, w.module_name,
   coalesce(m.module_id, c.module_id) AS module_id, c.module_id IS NOT NULL AS created
 FROM wanted w LEFT JOIN modules m ON m.user_id = w.user_id AND m.module_name = w.module_name

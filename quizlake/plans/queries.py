@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quizlake.functions.text import fingerprint, strip
 from quizlake.operators import catalog, notes, progress, responses, scoring, store, users
 from quizlake.plans.derived import QuizData
-from quizlake.plans.journeys import SavedQuizzes, quizzes_from_responses
+from quizlake.plans.journeys import SavedQuizzes, prompts_from_parts, quizzes_from_responses
 from quizlake.session import configure, scratch_path
 from quizlake.sources import note_files, tables
 from quizlake.streaming import submissions as feed
@@ -248,6 +248,22 @@ def user_import_check(data: QuizData) -> DataFrame:
     return users.import_users(data.import_batch(), data.users())
 
 
+@_query
+def imported_users(data: QuizData) -> DataFrame:
+    verdicts = users.import_users(data.import_batch(), data.users())
+    return users.imported_users(verdicts, data.users(), RUN_TIME)
+
+
+@_query
+def prompts_from_notes(data: QuizData) -> DataFrame:
+    """Parts to prompts: assembled, gated, stripped, filled in; refused notes get none."""
+    files = data.note_parts().select("note_id").distinct().select(
+        "note_id", F.concat(F.lit("n"), F.col("note_id").cast("string"), F.lit(".pdf")).alias("file_name")
+    )
+    settings = files.select("note_id", F.lit(10).alias("num_questions"), F.lit("Medium").alias("difficulty"))
+    return prompts_from_parts(data.note_parts(), files, settings)
+
+
 @_query
 def module_upsert(data: QuizData) -> DataFrame:
     return store.get_or_create_modules(data.module_requests(), data.modules(), RUN_TIME)
@@ -305,10 +321,7 @@ def response_status(data: QuizData) -> DataFrame:
 @_query
 def first_valid_attempt(data: QuizData) -> DataFrame:
     chosen = responses.first_valid(responses.judge_responses(data.responses()))
-    return chosen.select(
-        "request_id", "status", "attempt", "error",
-        F.coalesce(F.size("questions"), F.lit(0)).alias("n_questions"),
-    )
+    return chosen.withColumn("n_questions", F.coalesce("n_questions", F.lit(0)))
 
 
 @_query

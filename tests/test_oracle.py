@@ -8,6 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from quizlake.plans.oracle import oracle_queries
+from quizlake.plans.queries import registered
 
 FOLDER = "/root/testdata/sf0.001"
 KINDS = {
@@ -18,24 +20,25 @@ KINDS = {
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given tables not present")
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def duck():
-    connection = duckdb.connect()
-    for path in glob.glob(f"{FOLDER}/*.parquet"):
-        name = os.path.basename(path).removesuffix(".parquet")
-        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
-    return connection
+    """A connection per test: an error in one statement leaves the others alone."""
+    with duckdb.connect() as connection:
+        for path in glob.glob(f"{FOLDER}/*.parquet"):
+            name = os.path.basename(path).removesuffix(".parquet")
+            connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
+        yield connection
 
 
 def test_every_query_has_sql():
-    assert entry_point.queries().keys() == entry_point.oracle_sql().keys()
+    assert registered().keys() == oracle_queries().keys()
 
 
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", list(entry_point.queries()))
+@pytest.mark.parametrize("name", list(registered()))
 def test_query_equals_sql(spark, duck, name):
     frame = entry_point.queries()[name](spark, FOLDER)
     sql = entry_point.oracle_sql()[name]

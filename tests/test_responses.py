@@ -213,7 +213,7 @@ def test_first_valid_attempt(spark, rows_of):
         schemas.RESPONSES,
     )
     chosen = responses.first_valid(responses.judge_responses(raw))
-    assert rows_of(chosen, "request_id", "status", "attempt", "error", F.size("questions")) == [
+    assert rows_of(chosen, "request_id", "status", "attempt", "error", "n_questions") == [
         (1, "ready", 3, None, 1),
         (2, "failed", None, "Failed after 3 attempts: Model returned invalid quiz structure", None),
         (3, "failed", None, "Failed after 3 attempts: Invalid JSON from model", None),
@@ -251,4 +251,4 @@ def test_options_round_trip(spark):
 def test_curation_runs_no_python(spark):
     plan = initial_plan(responses.first_valid(responses.judge_responses(frame(spark, ["{}"]))))
     assert "Python" not in plan
-    assert count(plan, "Exchange") == 1
+    assert count(plan, "Exchange") == 1 and count(plan, "SortAggregate") == 0

@@ -60,7 +60,6 @@ def test_saved_quizzes_load_as_generated(spark, saved):
     documents = catalog.quiz_documents(quizzes, questions).collect()
     texts = sorted([q["question"] for q in d["questions"]] for d in documents)
     assert texts == [[], ["only"], ["z", "a", "m"]]
-    assert all(d["part"] == 0 for d in documents)
     assert {q["explanation"] for d in documents for q in d["questions"]} == {""}
     one = documents[0]["quiz_id"]
     assert catalog.load_quiz(quizzes, questions, one).count() == 1
@@ -82,15 +81,19 @@ def test_second_save_continues_the_ids(spark, saved):
     assert store.audit_foreign_keys(frames).count() == 0
 
 
-def test_large_quiz_becomes_parts(spark):
-    rows = [(q, 1, f"Q{q}", ["a", "b", "c", "d"], 0, None) for q in range(1, 96)]
-    rows += [(200, 2, "x", ["a", "b", "c", "d"], 0, None)]
-    quizzes = spark.createDataFrame([(1, 1, 1, T0, None, "Easy"), (2, 1, 1, T0, None, "Easy")], schemas.QUIZZES)
-    got = catalog.quiz_documents(quizzes, spark.createDataFrame(rows, schemas.QUESTIONS), per_document=10)
-    parts = sorted((d for d in got.collect() if d["quiz_id"] == 1), key=lambda d: d["part"])
-    assert max(len(d["questions"]) for d in parts) <= 10
-    assert [q["question_id"] for d in parts for q in d["questions"]] == list(range(1, 96))
-    assert [d["part"] for d in got.collect() if d["quiz_id"] == 2] == [0]
+def test_a_failed_save_mixes_no_quizzes(spark, saved):
+    """Questions written, headers not: the next save takes ids above both tables."""
+    root, raw, requests = saved
+    lost = quizzes_from_responses(
+        raw, requests, NOW, *(tables.read_table(spark, root, n) for n in ("quizzes", "questions"))
+    )
+    tables.append_table(lost.questions, root, "questions")
+    before = [tables.read_table(spark, root, n) for n in ("quizzes", "questions")]
+    new = quizzes_from_responses(raw, requests, NOW, *before)
+    tables.save_quizzes(new.quizzes, new.questions, root)
+    documents = catalog.quiz_documents(*(tables.read_table(spark, root, n) for n in ("quizzes", "questions")))
+    texts = sorted([q["question"] for q in d["questions"]] for d in documents.collect())
+    assert texts == [[], [], ["only"], ["only"], ["z", "a", "m"], ["z", "a", "m"]]
 
 
 def test_lists_and_defaults(spark):

@@ -69,18 +69,17 @@ def one_by_one(batch, people):
     return verdicts
 
 
-def import_verdicts(spark, batch, people, **options):
+def import_verdicts(spark, batch, people):
     got = users.import_users(
-        spark.createDataFrame(batch, BATCH), spark.createDataFrame(people, USERS), **options
+        spark.createDataFrame(batch, BATCH), spark.createDataFrame(people, USERS)
     ).collect()
     assert len(got) == len(batch)
     assert all(r["accepted"] == (r["message"] == users.ACCEPTED) for r in got)
     return {r["seq"]: r["message"] for r in got}
 
 
-@pytest.mark.parametrize("settle_rows", [50_000, 3, 0])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_import_equals_one_by_one(spark, seed, settle_rows):
+def test_import_equals_one_by_one(spark, seed):
     random.seed(seed)
     people = [(i, f"n{i}", f"e{i}@x.org") for i in range(5)]
     batch = [
@@ -91,13 +90,12 @@ def test_import_equals_one_by_one(spark, seed, settle_rows):
         )
         for seq in range(200)
     ]
-    assert import_verdicts(spark, batch, people, settle_rows=settle_rows) == one_by_one(batch, people)
+    assert import_verdicts(spark, batch, people) == one_by_one(batch, people)
 
 
-@pytest.mark.parametrize("settle_rows", [50_000, 0])
-def test_a_refused_rival_blocks_nobody(spark, settle_rows):
+def test_a_refused_rival_blocks_nobody(spark):
     batch = [(1, "a", "a@x.org"), (2, "a", "b@x.org"), (3, "c", "b@x.org"), (4, "c", "d@x.org"), (5, "e", "d@x.org")]
-    verdicts = import_verdicts(spark, batch, [], settle_rows=settle_rows)
+    verdicts = import_verdicts(spark, batch, [])
     assert verdicts == one_by_one(batch, [])
     assert verdicts[3] == verdicts[5] == users.ACCEPTED
 
