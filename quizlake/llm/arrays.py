@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 # An odd base, its inverse modulo 2^64, and an odd multiplier for mixing.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -33,6 +35,13 @@ def chunks(texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, np.ndarray
         start = stop
 
 
+def give_back() -> None:
+    """Return memory that this worker has freed to the system; the next task may be another operator's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mixed(hashes: np.ndarray) -> np.ndarray:
     hashes = (hashes ^ (hashes >> np.uint64(32))) * _MIX
     hashes ^= hashes >> np.uint64(29)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quizlake.llm.arrays import chunks
+from quizlake.llm.arrays import chunks, give_back
 from quizlake.llm.pieces import kept_in_worker
 
 UNKNOWN = "und"
@@ -201,6 +201,7 @@ def _predict_batches(batches, model: Model, carry: bool):
             ],
             [*[batch.schema.names[k] for k in rest], "best", "second", "share"],
         )
+    give_back()
 
 
 def predict(

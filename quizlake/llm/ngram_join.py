@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlake.llm.arrays import Spans, chunks, mixed, word_bounds
+from quizlake.llm.arrays import Spans, chunks, give_back, mixed, word_bounds
 from quizlake.llm.columns import text_of
 from quizlake.llm.pieces import kept_in_worker
 from quizlake.session import cut_lineage, store_once
@@ -19,7 +19,7 @@ from quizlake.session import cut_lineage, store_once
 NGRAM = 5
 SIMILARITY = 0.8
 RECALL = 0.999
-GROUP = 1_500_000
+GROUP = 600_000
 TILE = 512
 # The ASCII blanks that part words.
 _BLANK = np.zeros(256, bool)
@@ -112,6 +112,7 @@ def _signature_batches(batches, size: int, bands: int, rows: int):
                 )
             )
         yield from out
+    give_back()
 
 
 _SIGNATURE = "doc_id long, text_mark long, mark_1 long, mark_2 long, n_grams long, bands array<long>"
@@ -211,6 +212,8 @@ def _link_group(frame: pd.DataFrame, size: int, similarity: float) -> pd.DataFra
             if p != q:
                 parent[max(p, q)] = min(p, q)
     ids = frame["node"].to_numpy()
+    del sets, left, right, bands
+    give_back()
     least = np.array([root(k) for k in range(len(frame))], np.int64)
     return pd.DataFrame({"node": ids, "other": ids[least], "links": links, "near_classes": distinct})
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quizlake.llm.arrays import give_back
 from quizlake.llm.columns import text_of
 from quizlake.llm.pieces import kept_in_worker, spaced_words
 from quizlake.session import store_once
@@ -39,6 +40,7 @@ def _piece_batches(batches, path: str, end_id: int, capacity: int):
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(c), t) for c, t in zip(columns, types)], ["doc_id", "piece", "start", "length", "ids_crc32"]
         )
+    give_back()
 
 
 def token_pieces(

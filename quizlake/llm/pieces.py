@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from quizlake.llm.arrays import give_back
+
 # Marks that a run at a word's end may consist of, none of which can start a
 # contraction or combine with the letter before it.
 _MARKS = ".,;:!?|$%*&#"
@@ -25,7 +27,7 @@ _OTHER_BLANKS = r"[\x00-\x09\x0b-\x1f\x85\xa0\x{1680}\x{180e}\x{2000}-\x{200b}\x
 _UNEVEN = _OTHER_BLANKS + r"|[ \n][ \n]|\A[ \n]|[ \n]\z"
 _START, _LINE = "\x02", "\n"
 _CHUNK = 6_000_000
-_ENTRIES = 150_000
+_ENTRIES = 100_000
 # A letter or digit of the Latin blocks at the end.
 _WORD_END = r"[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]\z"
 
@@ -41,6 +43,7 @@ def kept_in_worker(key: tuple, make: Callable):
     state = worker_state()
     if state.get("key") != key:
         state.pop("value", None)
+        give_back()
         state["key"], state["value"] = key, make()
     return state["value"]
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlake.llm.arrays import Spans, chunks, word_bounds
+from quizlake.llm.arrays import Spans, chunks, give_back, word_bounds
 from quizlake.llm.language_id import held_out
 from quizlake.llm.pieces import Recent, kept_in_worker
 from quizlake.session import store_once
@@ -309,6 +309,7 @@ def _score_batches(batches, model: Model, carry: bool):
             [*[batch.column(k) for k in rest], pa.array(score), pa.array(changed)],
             [*[batch.schema.names[k] for k in rest], "score", "restored"],
         )
+    give_back()
 
 
 def score(
