@@ -48,10 +48,15 @@ def trend(performance: DataFrame) -> DataFrame:
 
 
 def history(performance: DataFrame) -> DataFrame:
-    """The history report with minute precision and display headings."""
-    return performance.select(
+    """The history report with minute precision and display headings, in the order of ``trend``.
+
+    The attempt's id stays as the key, since minutes alone do not tell attempts apart.
+    """
+    ordered = performance.orderBy("user_id", "module_id", "timestamp", "performance_id")
+    return ordered.select(
         "user_id",
         "module_id",
+        "performance_id",
         iso_minutes(F.col("timestamp")).alias("timestamp"),
         "score",
         "total",

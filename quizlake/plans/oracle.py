@@ -370,11 +370,11 @@ FROM performance GROUP BY user_id, module_id""",
 FROM performance GROUP BY user_id, module_id""",
     "performance_trend": """SELECT user_id, module_id, performance_id, "timestamp", percentage
 FROM performance""",
-    "performance_history": """SELECT user_id, module_id,
+    "performance_history": """SELECT user_id, module_id, performance_id,
   strftime("timestamp", '%Y-%m-%d %H:%M') AS "Date & Time", score AS "Score", total AS "Total",
   percentage AS "Percentage (%)" FROM performance""",
     "performance_sql": """SELECT user_id, module_id, "timestamp", score, total, percentage
-FROM performance""",
+FROM performance WHERE percentage BETWEEN 25 AND 75""",
     "latest_quizzes_per_module": "SELECT * FROM listed WHERE place <= 3",
     "module_quizzes": "SELECT * FROM listed WHERE place <= 50",
     "modules_per_user": """SELECT user_id, module_id, module_name, place FROM (
@@ -467,6 +467,9 @@ FROM first_ok f LEFT JOIN (SELECT request_id, string_agg(to_json({'question': qu
 FROM curated c JOIN saved_headers h USING (request_id)""",
     "streamed_attempts": """SELECT performance_id, user_id, module_id, "timestamp", score, total, percentage
 FROM performance""",
+    "streamed_refusals": """SELECT submission_id, quiz_id,
+  concat('Please answer all questions. Missing: ', missing) AS reason FROM scored WHERE missing > 0
+UNION ALL SELECT -submission_id, -1 - quiz_id, 'Quiz not found' FROM scored WHERE quiz_id % 5 = 0""",
 }
 
 

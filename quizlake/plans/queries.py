@@ -143,7 +143,7 @@ def performance_sql(data: QuizData) -> DataFrame:
         data.spark,
         "SELECT user_id, module_id, timestamp, score, total, percentage FROM {performance} "
         "WHERE percentage BETWEEN :low AND :high ORDER BY timestamp, performance_id",
-        {"low": 0.0, "high": 100.0},
+        {"low": 25.0, "high": 75.0},
         performance=_performance(data),
     )
 
@@ -364,15 +364,17 @@ def saved_questions(data: QuizData) -> DataFrame:
 # --- the submission feed ------------------------------------------------------------------------
 
 
-@_query
-def streamed_attempts(data: QuizData) -> DataFrame:
-    """All submissions written as a feed, scored by the stream against stored tables, read back."""
+def _events(data: QuizData) -> DataFrame:
     given = F.map_from_entries(F.collect_list(F.struct("question_id", "choice")))
-    events = (
+    return (
         data.choices()
         .groupBy("submission_id", "user_id", "module_id", "quiz_id", "submitted_at")
         .agg(given.alias("choices"))
     )
+
+
+def _fed(data: QuizData, events: DataFrame, on_missing: str) -> str:
+    """The folder of what the feed makes of ``events`` against stored tables."""
     spark = data.spark
     root = scratch_path(spark, "submission-feed")
     events.write.parquet(f"{root}/events")
@@ -383,6 +385,24 @@ def streamed_attempts(data: QuizData) -> DataFrame:
         lambda: (tables.read_table(spark, root, "quizzes"), tables.read_table(spark, root, "questions")),
         f"{root}/out",
         f"{root}/progress",
-        on_missing="wrong",
+        on_missing=on_missing,
     ).awaitTermination()
-    return spark.read.parquet(f"{root}/out/performance").drop("batch")
+    return f"{root}/out"
+
+
+@_query
+def streamed_attempts(data: QuizData) -> DataFrame:
+    """All submissions written as a feed, scored by the stream against stored tables, read back."""
+    out = _fed(data, _events(data), "wrong")
+    return data.spark.read.parquet(f"{out}/performance").drop("batch")
+
+
+@_query
+def streamed_refusals(data: QuizData) -> DataFrame:
+    """What the feed refuses: incomplete forms, and forms for quizzes that are not stored."""
+    events = _events(data)
+    lost = events.filter(F.col("quiz_id") % 5 == 0).withColumns(
+        {"submission_id": -F.col("submission_id"), "quiz_id": -1 - F.col("quiz_id")}
+    )
+    out = _fed(data, events.unionByName(lost), "reject")
+    return data.spark.read.parquet(f"{out}/refused").drop("batch")

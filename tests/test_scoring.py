@@ -152,7 +152,7 @@ def test_progress(spark):
     tiles = {r["module_id"]: r for r in progress.progress_metrics(shown.summary).collect()}
     assert (tiles[1]["average_score"], tiles[2]["best_score"]) == ("69.4%", "0.0%")
     assert [r["performance_id"] for r in shown.trend.collect()] == [2, 3, 1, 4]
-    assert shown.history.columns[2:] == ["Date & Time", "Score", "Total", "Percentage (%)"]
+    assert shown.history.columns[2:] == ["performance_id", "Date & Time", "Score", "Total", "Percentage (%)"]
     assert {r["Date & Time"] for r in shown.history.collect()} == {"2024-05-01 09:30", "2024-05-02 09:30"}
 
 
