@@ -1,11 +1,11 @@
 """Adaptive context-mixing range coder for blocks of token ids, many blocks in lockstep.
 
 A block's model starts empty and learns id by id. Order 2 and order 1 each predict the id last
-seen after the same two ids or one id, with a confidence. How far each prediction is to be
-trusted is mixed from what their joint confidence was worth so far in the block: a three-way
-choice (order 2 right, order 1 right, neither) with adaptive weights per confidence context.
-Only if neither is right, the id itself follows under order-0 frequencies, estimated anew from
-the block so far at fixed places. Every choice narrows one arithmetic-coding interval.
+seen after the same two ids or one id, and remember whether their last two predictions there were
+right. Order 0 predicts by the frequencies of the last 4,096 ids of the block, with a share for
+ids not among them, which follow as they are. The three are mixed into one arithmetic-coding
+interval: how much of it order 2 and order 1 get is what such a state was worth so far in the
+block. These shares and the frequencies are counted anew at fixed places.
 
 The steps of one block depend on each other, the blocks do not: numpy advances all blocks
 ("lanes") by one id at a time.
@@ -17,77 +17,122 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"ACM1"
-_BITS_1, _BITS_2 = 12, 13
-_STEP, _LIMIT = np.uint64(24), np.uint64(1 << 14)
-_GAIN = 32
-_RENORM = np.uint64(1 << 32)
-_HALF, _ZERO, _ONE = np.uint64(32), np.uint64(0), np.uint64(1)
-_EVERY = 4096
+MAGIC = b"ACM2"
+_EVERY, _WINDOW = 1024, 4096
+_EARLY = (0, 16, 64, 256, 512)
+_BITS_1, _BITS_2 = 10, 11
+_SEEN = (1 << _BITS_1) + (1 << _BITS_2)
+# An interval is cut into 2^20 parts, of which order 0 has at least 2^14; its own cut is 2^13.
+_CUT, _LEAST, _SLOT = 20, 14, 13
+# Intervals have 24 to 56 bits; 32 of them leave at a time, and a carry waits in bit 56 until then.
+_RENORM, _TOP = 1 << 24, 1 << 56
 
 
-class _Lanes:
-    """The models of ``count`` blocks, reset; the first ``n`` of them are in use."""
+class _Model:
+    """What the blocks so far say of their next ids; longer blocks come first."""
 
-    def __init__(self, count: int, vocabulary: int):
-        self.vocabulary, self.n = vocabulary, count
-        self.one, self.two = np.zeros(count, np.int64), np.zeros(count, np.int64)
-        # A prediction and, in the two low bits, its confidence.
-        self.guesses = [np.zeros(count << bits, np.int64) for bits in (_BITS_1, _BITS_2)]
-        # Weights by context in rows of four: neither, order 1, order 2, unused.
-        self.weights = np.tile(np.array([2, 1, 1, 0], np.uint64), count * 32)
-        self.below = np.tile(np.arange(vocabulary + 1, dtype=np.uint32), count)
-        self.places = np.arange(count, dtype=np.int64)
+    def __init__(self, count: int, vocabulary: int, longest: int):
+        self.vocabulary, self.counted = vocabulary, 0
+        self.one = self.two = np.zeros(count, np.int32)
+        # The id last seen after a context and, in the two low bits, whether it was predicted:
+        # of every block those after one id, then those after two.
+        self.after = np.zeros(count * _SEEN, np.int32)
+        self.lane = np.arange(count)
+        self.tally = np.zeros(count << 6, np.int64)
+        self.marks = np.zeros((longest, count), np.uint8)
+        self.shrink(count)
 
     def shrink(self, n: int) -> None:
-        self.n, self.one, self.two, self.places = n, self.one[:n], self.two[:n], self.places[:n]
+        """Go on with the first ``n`` blocks."""
+        self.n, self.one, self.two, self.lane = n, self.one[:n], self.two[:n], self.lane[:n]
+        self.row, self.row_1 = self.lane << 4, self.lane * _SEEN
+        self.row_2 = self.row_1 + (1 << _BITS_1)
+        self.at, self.zero = np.empty((2, n), np.int64), np.zeros(n, np.uint64)
 
-    def predict(self) -> None:
-        """What the contexts of every lane predict, and the mixed weights."""
-        mixed = self.one * 40503
-        self.at_1 = ((mixed >> 4) & ((1 << _BITS_1) - 1)) + (self.places << _BITS_1)
-        mixed += self.two * 60493
-        self.at_2 = ((mixed >> 3) & ((1 << _BITS_2) - 1)) + (self.places << _BITS_2)
-        self.entry_1, self.entry_2 = self.guesses[0].take(self.at_1), self.guesses[1].take(self.at_2)
-        self.guess_1, self.guess_2 = self.entry_1 >> 2, self.entry_2 >> 2
-        self.trust_1, self.trust_2 = self.entry_1 & 3, self.entry_2 & 3
-        context = (self.places << 7) + (self.trust_2 << 5) + (self.trust_1 << 3)
-        context += (self.guess_1 == self.guess_2) * 4
-        self.context = context
-        self.weight_2 = self.weights.take(context + 2)
-        self.upto_1 = self.weight_2 + self.weights.take(context + 1)
-        self.total = self.upto_1 + self.weights.take(context)
-
-    def interval(self, right_2, right_1):
-        start = np.where(right_2, _ZERO, np.where(right_1, self.weight_2, self.upto_1))
-        stop = np.where(right_2, self.weight_2, np.where(right_1, self.upto_1, self.total))
-        return start, stop - start
-
-    def learn(self, ids, right_2, right_1) -> None:
-        at = self.context + right_2 * 2 + right_1
-        self.weights[at] = self.weights.take(at) + _STEP
-        if (self.total > _LIMIT).any():
-            full = self.context[self.total > _LIMIT]
-            for k in range(3):
-                self.weights[full + k] = (self.weights[full + k] >> _ONE) + _ONE
-        fresh = ids << 2
-        for order, at, entry, trust, right in (
-            (0, self.at_1, self.entry_1, self.trust_1, self.guess_1 == ids),
-            (1, self.at_2, self.entry_2, self.trust_2, right_2),
-        ):
-            self.guesses[order][at] = np.where(right, entry + (trust < 3), np.where(trust == 0, fresh, entry - 1))
-        self.two, self.one = self.one, ids
+    def estimate(self, at_step: int, done: np.ndarray) -> None:
+        """Shares and frequencies anew; ``done`` are the ids of every block in the window."""
+        n, step = done.shape
+        marks = self.marks[self.counted : at_step, :n] + (self.lane << 6)
+        self.tally = self.tally[: n << 6] + np.bincount(marks.ravel(), minlength=n << 6)
+        self.counted = at_step
+        neither, first, second, _ = self.tally.reshape(-1, 4).T
+        whole = (neither + first + second) * 8 + 16
+        share = (1 << _CUT) - (1 << _LEAST)
+        self.share_2 = (share * (second * 8 + 1) // whole).astype(np.uint64)
+        self.share_12 = self.share_2 + (share * (first * 8 + 1) // whole).astype(np.uint64)
+
+        ranked = np.sort(done, axis=1)
+        fresh = np.ones((n, step), bool)
+        fresh[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
+        at = np.flatnonzero(fresh)
+        counts = np.diff(at, append=n * step)
+        lane = at // max(step, 1)
+        once = np.bincount(lane[counts == 1], minlength=n)
+        slots = 1 << _SLOT
+        unseen = np.minimum(slots * (once + 1) // (step + 2) + 1, slots - step)
+        size = counts * (slots - unseen)[lane] // max(step, 1)
+        # A block's ids in order, then one entry for all ids not seen.
+        self.ends = np.cumsum(np.bincount(lane, minlength=n) + 1) - 1
+        self.begins = np.concatenate([[0], self.ends[:-1] + 1])
+        place = np.arange(len(at)) + lane
+        self.sizes = np.empty(len(at) + n, np.int64)
+        self.sizes[place] = size
+        self.sizes[self.ends] = slots - np.bincount(lane, weights=size, minlength=n).astype(np.int64)
+        starts = (np.cumsum(self.sizes) - self.sizes) & (slots - 1)
+        self.names = np.full(len(self.sizes), self.vocabulary, np.int64)
+        self.names[place] = ranked.ravel()[at]
+        self.entries = (self.names << 32 | starts << 16 | self.sizes).astype(np.uint64)
+
+    def entries_of(self, ids: np.ndarray) -> np.ndarray:
+        """The entries of the blocks' next ``ids``, a row a step."""
+        found = np.empty(ids.shape, np.uint64)
+        table = np.zeros(self.vocabulary, np.uint64)
+        begin = 0
+        for lane, end in enumerate(self.ends.tolist()):
+            names = self.names[begin:end]
+            table[names] = self.entries[begin:end]
+            table.take(ids[lane], out=found[lane], mode="clip")
+            table[names] = 0
+            begin = end + 1
+        return np.ascontiguousarray(np.where(found == 0, self.entries[self.ends][:, None], found).T)
+
+    def entry_by_slot(self) -> np.ndarray:
+        """The entry that each slot of a block lies in, counted from the block's first."""
+        own = np.arange(len(self.sizes)) - np.repeat(self.begins, np.diff(self.ends, prepend=-1))
+        return np.repeat(own.astype(np.uint16), self.sizes)
 
-    def estimate(self, done: np.ndarray) -> None:
-        """Order-0 frequencies of every lane from the ids ``done`` in each."""
-        wide = self.vocabulary + 1
-        for lane in range(self.n):
-            counts = np.bincount(done[lane], minlength=self.vocabulary)
-            np.cumsum(counts * _GAIN + 1, out=self.below[lane * wide + 1 : (lane + 1) * wide], dtype=np.uint32)
+    def predict(self) -> None:
+        np.add(self.one & ((1 << _BITS_1) - 1), self.row_1, out=self.at[0])
+        np.add((self.one * 40503 + self.two) & ((1 << _BITS_2) - 1), self.row_2, out=self.at[1])
+        self.last = self.after.take(self.at, mode="clip")
+        self.guesses = self.last >> 2
+        trust = self.last & 3
+        self.state = (trust[1] << 2) + trust[0]
+        at = self.row + self.state
+        self.upto_2, self.upto_1 = self.share_2.take(at, mode="clip"), self.share_12.take(at, mode="clip")
+        self.rest = (1 << _CUT) - self.upto_1
 
+    def interval(self, entry, right_2, right_1):
+        """Start and size of the part that the ids have."""
+        start = entry >> 16 & 0xFFFF
+        stop = self.rest * (start + (entry & 0xFFFF))
+        stop >>= _SLOT
+        stop += self.upto_1
+        start *= self.rest
+        start >>= _SLOT
+        start += self.upto_1
+        start = np.where(right_2, self.zero, np.where(right_1, self.upto_2, start))
+        stop = np.where(right_2, self.upto_2, np.where(right_1, self.upto_1, stop))
+        stop -= start
+        return start, stop
 
-def _estimate_at(step: int) -> bool:
-    return step in (256, 1024) or step > 0 and step % _EVERY == 0
+    def learn(self, step: int, ids, hits, right_2, right_1) -> None:
+        seen = self.last << 1 & 2
+        seen += ids << 2
+        seen += hits
+        self.after[self.at] = seen
+        self.marks[step, : self.n] = (self.state << 2) + ((right_2.view(np.uint8) << 1) + right_1.view(np.uint8))
+        self.two, self.one = self.one, ids
 
 
 def _arranged(lengths: np.ndarray):
@@ -95,131 +140,141 @@ def _arranged(lengths: np.ndarray):
     return order, lengths[order]
 
 
+def _places(longest: int) -> dict[int, int]:
+    """Steps at which to estimate, each with the next one."""
+    places = [place for place in (*_EARLY, *range(_EVERY, longest, _EVERY)) if place < longest]
+    return dict(zip(places, [*places[1:], longest]))
+
+
 def _code(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     lengths = np.array([len(block) for block in blocks])
     order, sizes = _arranged(lengths)
-    count, longest, wide = len(blocks), int(sizes[0]), vocabulary + 1
-    ids = np.zeros((count, longest), np.int64)
+    count, longest = len(blocks), int(sizes[0])
+    ids = np.zeros((count, longest), np.int32)
     for lane, k in enumerate(order):
         ids[lane, : lengths[k]] = blocks[k]
-    by_step = np.ascontiguousarray(ids.T)
-    lanes = _Lanes(count, vocabulary)
-    low, span = np.zeros(count, np.uint64), np.full(count, 1 << 63, np.uint64)
-    out, used = np.zeros((count, longest * 5 // 4 + 8), np.uint32), np.zeros(count, np.int64)
-
-    def carry(which):
-        at = used[which] - 1
-        while len(which):
-            out[which, at] += 1
-            over = out[which, at] == 0
-            which, at = which[over], at[over] - 1
-
-    def emit():
-        which = np.flatnonzero(span[: lanes.n] < _RENORM)
-        if len(which):
-            rest = low[which]
-            out[which, used[which]] = rest >> _HALF
-            used[which] += 1
-            low[which] = rest << _HALF
-            span[which] <<= _HALF
+    model, places = _Model(count, vocabulary, longest), _places(longest)
+    low, span = np.zeros(count, np.uint64), np.full(count, _TOP, np.uint64)
+    # An id narrows its interval by less than 40 bits: words of 32 bits, behind one that takes no carry.
+    width = longest * 3 // 2 + 8
+    out, used = np.zeros(count * width, np.uint32), np.arange(count) * width + 1
+
+    def emit(which):
+        at, rest = used[which], low[which]
+        if len(over := (rest >= _TOP).nonzero()[0]):
+            back = at[over]
+            while len(back):
+                back = back - 1
+                out[back] += 1
+                back = back[out[back] == 0]
+        out[at] = rest >> 24 & 0xFFFFFFFF
+        used[which] = at + 1
+        low[which] = (rest & (_RENORM - 1)) << 32
+        span[which] <<= 32
 
     for step in range(longest):
-        while sizes[lanes.n - 1] <= step:
-            lanes.shrink(lanes.n - 1)
-        if _estimate_at(step):
-            lanes.estimate(ids[:, :step])
-        now = by_step[step, : lanes.n]
-        lanes.predict()
-        right_2 = now == lanes.guess_2
-        right_1 = (now == lanes.guess_1) & ~right_2
-        start, size = lanes.interval(right_2, right_1)
-        own_low, own_span = low[: lanes.n], span[: lanes.n]
-        own_span //= lanes.total
+        while sizes[model.n - 1] <= step:
+            model.shrink(model.n - 1)
+        n = model.n
+        if step in places:
+            model.estimate(step, ids[:n, max(0, step - _WINDOW) : step])
+            first, stop = step, places[step]
+            entries = model.entries_of(ids[:n, step:stop])
+            by_step = np.ascontiguousarray(ids[:n, step:stop].T)
+        now, entry = by_step[step - first, :n], entries[step - first, :n]
+        model.predict()
+        hits = model.guesses == now
+        right_2 = hits[1]
+        right_1 = hits[0] > right_2
+        start, size = model.interval(entry, right_2, right_1)
+        own_span = span[:n]
+        own_span >>= _CUT
         start *= own_span
-        own_low += start
+        low[:n] += start
         own_span *= size
-        if (over := own_low < start).any():
-            carry(np.flatnonzero(over))
-        emit()
-        missed = np.flatnonzero(~(right_2 | right_1))
-        if len(missed):
-            at = missed * wide
-            own = at + now[missed]
-            below = lanes.below.take(own).astype(np.uint64)
-            above = lanes.below.take(own + 1)
-            unit = span[missed] // lanes.below.take(at + vocabulary)
-            moved = below * unit
-            new_low = low[missed] + moved
-            low[missed] = new_low
-            span[missed] = (above - below) * unit
-            if (over := new_low < moved).any():
-                carry(missed[over])
-            emit()
-        lanes.learn(now, right_2, right_1)
+        if len(which := (own_span < _RENORM).nonzero()[0]):
+            emit(which)
+        unseen = ((entry >= vocabulary << 32) & ~(right_2 | right_1)).nonzero()[0]
+        if len(unseen):
+            unit = span[unseen] // vocabulary
+            low[unseen] += now[unseen].astype(np.uint64) * unit
+            span[unseen] = unit
+            if len(which := unseen[unit < _RENORM]):
+                emit(which)
+        model.learn(step, now, hits, right_2, right_1)
+    emit(np.arange(count))
+    emit(np.arange(count))
     coded: list[bytes] = [b""] * count
     for lane, k in enumerate(order):
-        ending = np.array([low[lane] >> _HALF, low[lane] & np.uint64(0xFFFFFFFF)], "<u4")
-        coded[k] = out[lane, : used[lane]].astype("<u4").tobytes() + ending.tobytes()
+        coded[k] = out[lane * width + 1 : used[lane]].astype("<u4").tobytes()
     return coded
 
 
 def _decode(coded: list[bytes], lengths: np.ndarray, vocabulary: int) -> list[np.ndarray]:
     order, sizes = _arranged(lengths)
-    count, longest, wide = len(coded), int(sizes[0]), vocabulary + 1
+    count, longest = len(coded), int(sizes[0])
     width = max(len(data) for data in coded) // 4 + 3
     words = np.zeros((count, width), np.uint32)
     for lane, k in enumerate(order):
         got = np.frombuffer(coded[k], "<u4")
         words[lane, : len(got)] = got
-    lanes = _Lanes(count, vocabulary)
-    left = (words[:, 0].astype(np.uint64) << _HALF) | words[:, 1]
-    span, used = np.full(count, 1 << 63, np.uint64), np.full(count, 2, np.int64)
+    model, places = _Model(count, vocabulary, longest), _places(longest)
+    # Words as they come in: 24 bits of one and 8 of the next, after the first 56 bits.
+    left = (words[:, 0].astype(np.uint64) << 24) | (words[:, 1] >> 8)
+    words[:, :-1] = (words[:, :-1] << 24) | (words[:, 1:] >> 8)
+    coming, next_word = words.ravel(), np.arange(count) * width + 1
+    final = next_word + width - 2
+    span = np.full(count, _TOP, np.uint64)
     ids = np.zeros((longest, count), np.int32)
-    halves = [1 << k for k in reversed(range(vocabulary.bit_length()))]
+    first_slot, last = np.arange(count) << _SLOT, (1 << _SLOT) - 1
 
-    def read():
-        which = np.flatnonzero(span[: lanes.n] < _RENORM)
-        if len(which):
-            at = used[which]
-            left[which] = (left[which] << _HALF) | words[which, np.minimum(at, width - 1)]
-            used[which] = at + 1
-            span[which] <<= _HALF
+    def read(which):
+        at = next_word[which]
+        left[which] = (left[which] << 32) | coming[np.minimum(at, final[which])]
+        next_word[which] = at + 1
+        span[which] <<= 32
 
     for step in range(longest):
-        while sizes[lanes.n - 1] <= step:
-            lanes.shrink(lanes.n - 1)
-        if _estimate_at(step):
-            lanes.estimate(np.ascontiguousarray(ids[:step].T))
-        lanes.predict()
-        own_left, own_span = left[: lanes.n], span[: lanes.n]
-        own_span //= lanes.total
-        value = np.minimum(own_left // own_span, lanes.total - _ONE)
-        right_2 = value < lanes.weight_2
-        right_1 = (value < lanes.upto_1) & ~right_2
-        start, size = lanes.interval(right_2, right_1)
+        while sizes[model.n - 1] <= step:
+            model.shrink(model.n - 1)
+        n = model.n
+        if step in places:
+            model.estimate(step, np.ascontiguousarray(ids[max(0, step - _WINDOW) : step, :n].T))
+            by_slot = model.entry_by_slot()
+        model.predict()
+        own_left, own_span = left[:n], span[:n]
+        own_span >>= _CUT
+        value = np.minimum(own_left // own_span, (1 << _CUT) - 1)
+        right_2 = value < model.upto_2
+        right_1 = (value < model.upto_1) > right_2
+        # The last slot that starts at or below the value. The quotient of two integers this
+        # small is never rounded up to a whole number. Where order 0 was not used, any slot does.
+        value -= model.upto_1
+        value += 1
+        value <<= _SLOT
+        value -= 1
+        slot = np.minimum((value / model.rest).astype(np.int64), last)
+        slot += first_slot[:n]
+        entry = model.entries.take(by_slot.take(slot, mode="clip") + model.begins[:n], mode="clip")
+        start, size = model.interval(entry, right_2, right_1)
         start *= own_span
         own_left -= start
         own_span *= size
-        read()
-        now = np.where(right_2, lanes.guess_2, lanes.guess_1)
-        missed = np.flatnonzero(~(right_2 | right_1))
-        if len(missed):
-            floor = missed * wide
-            total = lanes.below.take(floor + vocabulary)
-            unit = span[missed] // total
-            value = np.minimum(left[missed] // unit, total - np.uint32(1)).astype(np.uint32)
-            found = floor.copy()
-            last = floor + (vocabulary - 1)
-            for half in halves:
-                tried = np.minimum(found + half, last)
-                found = np.where(lanes.below.take(tried) <= value, tried, found)
-            below = lanes.below.take(found).astype(np.uint64)
-            left[missed] -= below * unit
-            span[missed] = (lanes.below.take(found + 1) - below) * unit
-            read()
-            now[missed] = found - floor
-        ids[step, : lanes.n] = now
-        lanes.learn(now, right_2, right_1)
+        if len(which := (own_span < _RENORM).nonzero()[0]):
+            read(which)
+        now = np.where(right_1, model.guesses[0], (entry >> 32).astype(np.int32))
+        now = np.where(right_2, model.guesses[1], now)
+        unseen = (now == vocabulary).nonzero()[0]
+        if len(unseen):
+            unit = span[unseen] // vocabulary
+            value = np.minimum(left[unseen] // unit, vocabulary - 1)
+            left[unseen] -= value * unit
+            span[unseen] = unit
+            if len(which := unseen[unit < _RENORM]):
+                read(which)
+            now[unseen] = value
+        ids[step, :n] = now
+        model.learn(step, now, model.guesses == now, right_2, right_1)
     by_lane = np.ascontiguousarray(ids.T)
     decoded: list[np.ndarray] = [by_lane[0, :0]] * count
     for lane, k in enumerate(order):

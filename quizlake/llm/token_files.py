@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +17,8 @@ from quizlake.llm.pieces import bare_words, kept_in_worker
 from quizlake.llm.range_coder import decode_blocks, encode_blocks
 from quizlake.session import scratch_path
 
-BLOCK = 8192
-LANES = 384
+BLOCK = 4096
+LANES = 1536
 SMALLEST = -9_223_372_036_854_775_808
 _FILE = "part int, block int, first long, n_ids int, data binary"
 # Of each document in a block: id, whether the id is null, place of its first id in the part,
@@ -26,25 +26,30 @@ _FILE = "part int, block int, first long, n_ids int, data binary"
 _FIELDS = 6
 
 
-def _crc_moved(crc: int, n_bytes: int) -> int:
-    """What ``crc`` adds to the checksum when ``n_bytes`` follow: times x^(8n) in the CRC's field."""
+def _times(a: int, b: int) -> int:
+    """Product in the CRC's field."""
     # Fixed value: the reflected CRC-32 polynomial.
     poly = 0xEDB88320
+    product = 0
+    for bit in range(31, -1, -1):
+        if a >> bit & 1:
+            product ^= b
+        b = b >> 1 ^ (poly if b & 1 else 0)
+    return product
+
 
-    def times(a: int, b: int) -> int:
-        product = 0
-        for bit in range(31, -1, -1):
-            if a >> bit & 1:
-                product ^= b
-            b = b >> 1 ^ (poly if b & 1 else 0)
-        return product
+@lru_cache(64)
+def _power(k: int) -> int:
+    """x to the power of 8 times 2^k."""
+    return _times(_power(k - 1), _power(k - 1)) if k else 1 << 23
 
-    power, square, n = 1 << 31, 1 << 23, n_bytes
-    while n:
-        if n & 1:
-            power = times(square, power)
-        square, n = times(square, square), n >> 1
-    return times(power, crc)
+
+def _crc_moved(crc: int, n_bytes: int) -> int:
+    """What ``crc`` adds to the checksum when ``n_bytes`` follow: times x^(8n) in the CRC's field."""
+    for k in range(n_bytes.bit_length()):
+        if n_bytes >> k & 1:
+            crc = _times(_power(k), crc)
+    return crc
 
 
 def _pack_parts(batches, path: str, end_id: int, vocabulary: int, block: int, lanes: int):
@@ -60,11 +65,11 @@ def _pack_parts(batches, path: str, end_id: int, vocabulary: int, block: int, la
         stop = min(len(ids), n_blocks * block)
         pieces = [ids[k * block : min((k + 1) * block, stop)] for k in range(n_blocks)]
         docs = np.array(state["docs"], np.int64).reshape(-1, 4)
+        begins, ends = docs[:, 2], docs[:, 2] + docs[:, 3]
         rows = []
         for k, data in enumerate(encode_blocks(pieces, vocabulary) if pieces else []):
             low, high = first + k * block, first + k * block + len(pieces[k])
-            begins, ends = docs[:, 2], docs[:, 2] + docs[:, 3]
-            own = docs[(begins < high) & (ends > low)]
+            own = docs[np.searchsorted(ends, low, "right") : np.searchsorted(begins, high)]
             before = np.maximum(low - own[:, 2], 0)
             inside = np.minimum(own[:, 2] + own[:, 3], high) - np.maximum(own[:, 2], low)
             index = np.column_stack([own[:, 0], own[:, 1], own[:, 2], before, inside, own[:, 3]]).astype("<i8").tobytes()
