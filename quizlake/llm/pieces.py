@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import operator
 import os
+import re
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -27,7 +28,10 @@ _OTHER_BLANKS = r"[\x00-\x09\x0b-\x1f\x85\xa0\x{1680}\x{180e}\x{2000}-\x{200b}\x
 _UNEVEN = _OTHER_BLANKS + r"|[ \n][ \n]|\A[ \n]|[ \n]\z"
 _START, _LINE = "\x02", "\n"
 _CHUNK = 6_000_000
+_TOGETHER = 64
 _ENTRIES = 100_000
+# Small letters of Latin-1.
+_SMALL_LETTERS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
 # A letter or digit of the Latin blocks at the end.
 _WORD_END = r"[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]\z"
 
@@ -61,20 +65,19 @@ class Recent:
         return self.all([key])[0]
 
     def all(self, keys: list) -> list:
-        young, old = self.young, self.old
-        values = [*map(young.get, keys)]
+        values = [*map(self.young.get, keys)]
         absent = [k for k, value in enumerate(values) if value is None]
-        for k in absent:
-            values[k] = old.get(keys[k])
-        new = [keys[k] for k in absent if values[k] is None]
-        made = dict(zip(new, self.make(new))) if new else {}
-        for k in absent:
-            key = keys[k]
-            if values[k] is None:
-                values[k] = made[key]
-            if len(self.young) >= self.entries:
-                self.old, self.young = self.young, {}
-            self.young[key] = values[k]
+        if not absent:
+            return values
+        asked = [keys[k] for k in absent]
+        found = dict(zip(asked, map(self.old.get, asked)))
+        new = [key for key, value in found.items() if value is None]
+        found.update(zip(new, self.make(new) if new else []))
+        for k, key in zip(absent, asked):
+            values[k] = found[key]
+        if len(self.young) + len(found) > self.entries:
+            self.old, self.young = self.young, {}
+        self.young.update(found)
         return values
 
 
@@ -169,14 +172,19 @@ def _strings(words: pa.Array) -> list[str]:
     return words.to_numpy(zero_copy_only=False).tolist()
 
 
-def library_ids(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Ids by the ``tokenizers`` library, as little-endian unsigned 32-bit integers."""
+def _library(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     pa.set_cpu_count(1)
+    return tokenizer
+
+
+def library_ids(path: str) -> Callable[[list[str]], list[bytes]]:
+    """Ids by the ``tokenizers`` library, as little-endian unsigned 32-bit integers."""
+    tokenizer = _library(path)
 
     def encode(texts: list[str]) -> list[bytes]:
         return [
@@ -187,11 +195,46 @@ def library_ids(path: str) -> Callable[[list[str]], list[bytes]]:
     return encode
 
 
+def marked_ids(path: str) -> Callable[[list[str]], list[bytes]]:
+    """Like ``library_ids``, for byte-level tokenizers whose last id of a word is marked as such.
+
+    A word of small Latin letters alone is one word to the tokenizer and needs no normalising.
+    Such words go through the library many at a time; their marked ends tell them apart.
+    """
+    alone, joined = library_ids(path), _library(path)
+    from tokenizers import normalizers, pre_tokenizers
+
+    joined.normalizer = normalizers.Sequence([])
+    joined.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.Split("|", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
+    suffix = joined.model.end_of_word_suffix
+    ends = np.zeros(joined.get_vocab_size(), bool)
+    ends[[number for token, number in joined.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def encode(words: list[str]) -> list[bytes]:
+        values: list = [None] * len(words)
+        plain = [k for k, word in enumerate(words) if _SMALL_LETTERS(word)]
+        groups = [plain[k : k + _TOGETHER] for k in range(0, len(plain), _TOGETHER)]
+        texts = ["|".join([words[k] for k in group]) for group in groups]
+        for group, found in zip(groups, joined.encode_batch_fast(texts, add_special_tokens=False)):
+            ids, begin = np.array(found.ids, "<u4"), 0
+            raw = ids.tobytes()
+            for k, stop in zip(group, (ends[ids].nonzero()[0] * 4 + 4).tolist(), strict=True):
+                values[k], begin = raw[begin:stop], stop
+        left = [k for k, value in enumerate(values) if value is None]
+        for k, value in zip(left, alone([words[k] for k in left])):
+            values[k] = value
+        return values
+
+    return encode
+
+
 def spaced_words(path: str) -> WordTable:
     """For byte-level tokenizers of the library, where a blank belongs to the word after it."""
     return WordTable(library_ids(path))
 
 
 def bare_words(path: str) -> WordTable:
-    """For tokenizers of the library that fold case and drop blanks."""
-    return WordTable(library_ids(path), lead="", fold=True)
+    """For byte-level tokenizers of the library that fold case, drop blanks and mark ends of words."""
+    return WordTable(marked_ids(path), lead="", fold=True)

@@ -22,8 +22,8 @@ _EVERY, _WINDOW = 1024, 4096
 _EARLY = (0, 16, 64, 256, 512)
 _BITS_1, _BITS_2 = 10, 11
 _SEEN = (1 << _BITS_1) + (1 << _BITS_2)
-# An interval is cut into 2^20 parts, of which order 0 has at least 2^14; its own cut is 2^13.
-_CUT, _LEAST, _SLOT = 20, 14, 13
+# An interval is cut into 2^18 parts, of which order 0 has at least 2^13; its own cut is 2^13.
+_CUT, _LEAST, _SLOT = 18, 13, 13
 # Intervals have 24 to 56 bits; 32 of them leave at a time, and a carry waits in bit 56 until then.
 _RENORM, _TOP = 1 << 24, 1 << 56
 
@@ -47,7 +47,7 @@ class _Model:
         self.n, self.one, self.two, self.lane = n, self.one[:n], self.two[:n], self.lane[:n]
         self.row, self.row_1 = self.lane << 4, self.lane * _SEEN
         self.row_2 = self.row_1 + (1 << _BITS_1)
-        self.at, self.zero = np.empty((2, n), np.int64), np.zeros(n, np.uint64)
+        self.at, self.zero = np.empty((2, n), np.int64), np.zeros(n, np.uint32)
 
     def estimate(self, at_step: int, done: np.ndarray) -> None:
         """Shares and frequencies anew; ``done`` are the ids of every block in the window."""
@@ -58,8 +58,8 @@ class _Model:
         neither, first, second, _ = self.tally.reshape(-1, 4).T
         whole = (neither + first + second) * 8 + 16
         share = (1 << _CUT) - (1 << _LEAST)
-        self.share_2 = (share * (second * 8 + 1) // whole).astype(np.uint64)
-        self.share_12 = self.share_2 + (share * (first * 8 + 1) // whole).astype(np.uint64)
+        self.share_2 = (share * (second * 8 + 1) // whole).astype(np.uint32)
+        self.share_12 = self.share_2 + (share * (first * 8 + 1) // whole).astype(np.uint32)
 
         ranked = np.sort(done, axis=1)
         fresh = np.ones((n, step), bool)
@@ -79,14 +79,14 @@ class _Model:
         self.sizes[place] = size
         self.sizes[self.ends] = slots - np.bincount(lane, weights=size, minlength=n).astype(np.int64)
         starts = (np.cumsum(self.sizes) - self.sizes) & (slots - 1)
-        self.names = np.full(len(self.sizes), self.vocabulary, np.int64)
+        self.names = np.full(len(self.sizes), self.vocabulary, np.int32)
         self.names[place] = ranked.ravel()[at]
-        self.entries = (self.names << 32 | starts << 16 | self.sizes).astype(np.uint64)
+        self.entries = (starts << 16 | self.sizes).astype(np.uint32)
 
-    def entries_of(self, ids: np.ndarray) -> np.ndarray:
-        """The entries of the blocks' next ``ids``, a row a step."""
-        found = np.empty(ids.shape, np.uint64)
-        table = np.zeros(self.vocabulary, np.uint64)
+    def entries_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of the blocks' next ``ids`` and whether they are not seen yet, a row a step."""
+        found = np.empty(ids.shape, np.uint32)
+        table = np.zeros(self.vocabulary + 1, np.uint32)
         begin = 0
         for lane, end in enumerate(self.ends.tolist()):
             names = self.names[begin:end]
@@ -94,7 +94,9 @@ class _Model:
             table.take(ids[lane], out=found[lane], mode="clip")
             table[names] = 0
             begin = end + 1
-        return np.ascontiguousarray(np.where(found == 0, self.entries[self.ends][:, None], found).T)
+        unseen = found == 0
+        found = np.where(unseen, self.entries[self.ends][:, None], found)
+        return np.ascontiguousarray(found.T), np.ascontiguousarray(unseen.T)
 
     def entry_by_slot(self) -> np.ndarray:
         """The entry that each slot of a block lies in, counted from the block's first."""
@@ -114,7 +116,7 @@ class _Model:
 
     def interval(self, entry, right_2, right_1):
         """Start and size of the part that the ids have."""
-        start = entry >> 16 & 0xFFFF
+        start = entry >> 16
         stop = self.rest * (start + (entry & 0xFFFF))
         stop >>= _SLOT
         stop += self.upto_1
@@ -179,7 +181,7 @@ def _code(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
         if step in places:
             model.estimate(step, ids[:n, max(0, step - _WINDOW) : step])
             first, stop = step, places[step]
-            entries = model.entries_of(ids[:n, step:stop])
+            entries, new = model.entries_of(ids[:n, step:stop])
             by_step = np.ascontiguousarray(ids[:n, step:stop].T)
         now, entry = by_step[step - first, :n], entries[step - first, :n]
         model.predict()
@@ -189,12 +191,11 @@ def _code(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
         start, size = model.interval(entry, right_2, right_1)
         own_span = span[:n]
         own_span >>= _CUT
-        start *= own_span
-        low[:n] += start
+        low[:n] += start * own_span
         own_span *= size
         if len(which := (own_span < _RENORM).nonzero()[0]):
             emit(which)
-        unseen = ((entry >= vocabulary << 32) & ~(right_2 | right_1)).nonzero()[0]
+        unseen = (new[step - first, :n] > (right_2 | right_1)).nonzero()[0]
         if len(unseen):
             unit = span[unseen] // vocabulary
             low[unseen] += now[unseen].astype(np.uint64) * unit
@@ -244,25 +245,22 @@ def _decode(coded: list[bytes], lengths: np.ndarray, vocabulary: int) -> list[np
         model.predict()
         own_left, own_span = left[:n], span[:n]
         own_span >>= _CUT
-        value = np.minimum(own_left // own_span, (1 << _CUT) - 1)
+        value = np.minimum(own_left // own_span, (1 << _CUT) - 1).astype(np.uint32)
         right_2 = value < model.upto_2
         right_1 = (value < model.upto_1) > right_2
-        # The last slot that starts at or below the value. The quotient of two integers this
-        # small is never rounded up to a whole number. Where order 0 was not used, any slot does.
+        # The last slot that starts at or below the value; where order 0 was not used, any does.
         value -= model.upto_1
         value += 1
         value <<= _SLOT
         value -= 1
-        slot = np.minimum((value / model.rest).astype(np.int64), last)
-        slot += first_slot[:n]
-        entry = model.entries.take(by_slot.take(slot, mode="clip") + model.begins[:n], mode="clip")
-        start, size = model.interval(entry, right_2, right_1)
-        start *= own_span
-        own_left -= start
+        slot = np.minimum(value // model.rest, last) + first_slot[:n]
+        at = by_slot.take(slot, mode="clip") + model.begins[:n]
+        start, size = model.interval(model.entries.take(at, mode="clip"), right_2, right_1)
+        own_left -= start * own_span
         own_span *= size
         if len(which := (own_span < _RENORM).nonzero()[0]):
             read(which)
-        now = np.where(right_1, model.guesses[0], (entry >> 32).astype(np.int32))
+        now = np.where(right_1, model.guesses[0], model.names.take(at, mode="clip"))
         now = np.where(right_2, model.guesses[1], now)
         unseen = (now == vocabulary).nonzero()[0]
         if len(unseen):
