@@ -228,7 +228,7 @@ def near_duplicates(
     group: int = GROUP,
 ) -> DataFrame:
     """Per row: doc_id, class_id, class_size, group_id, n_links, near_classes, n_grams, class_head,
-    text_mark.
+    text_mark, group_node.
 
     Documents with equal sets of ``size``-word n-grams (words between ASCII blanks) are one
     class, named after its smallest id. Classes link when the Jaccard similarity of their
@@ -236,7 +236,8 @@ def near_duplicates(
     a pair at the threshold does with chance ``recall`` or more. ``n_links`` counts the other
     documents linked (those of the class too), ``near_classes`` the other classes, and
     ``group_id`` is the smallest id connected over any number of links. ``class_head`` marks
-    one row of each class, ``text_mark`` is a hash of the text.
+    one row of each class, ``text_mark`` is a hash of the text. Ids may repeat or be null, so
+    unlike groups can have one ``group_id``; ``group_node`` is a number of the group's own.
 
     Bands are shuffled by their hash as narrow rows. Classes that share bands form candidate
     groups; only these fetch their texts. A group of more than ``group`` n-grams is dealt into
@@ -312,6 +313,7 @@ def near_duplicates(
             "n_grams",
             (F.col("row") == F.col("node")).alias("class_head"),
             "text_mark",
+            F.col("group").alias("group_node"),
         )
     )
 
@@ -319,11 +321,16 @@ def near_duplicates(
 def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of the smallest id.
 
-    Documents without near duplicates stay; of rows repeated as they are, one stays.
+    Documents without near duplicates stay, also those that share an id or have none; of rows
+    repeated as they are, one stays. Of texts of one group and id, that of the smallest hash stays.
     """
+    largest = 9_223_372_036_854_775_807
     found = near_duplicates(docs, doc_id, text, **options)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("group_id")))
-    first = first.groupBy("group_id").agg(F.min("text_mark").alias("__mark")).withColumnRenamed("group_id", "__id")
-    marked = docs.withColumns({"__own": F.xxhash64(text_of(text)), "__doc": F.col(doc_id).cast("long")})
-    kept = marked.join(first, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")))
-    return kept.dropDuplicates(["__doc", "__own"]).select(*docs.columns)
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("group_node", "group_id")
+    first = first.agg(F.min("text_mark").alias("__own")).select(
+        F.coalesce("group_id", F.lit(largest)).alias("__doc"), "__own"
+    )
+    marked = docs.withColumns(
+        {"__own": F.xxhash64(text_of(text)), "__doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(largest))}
+    )
+    return marked.join(first, ["__doc", "__own"]).dropDuplicates(["__doc", "__own"]).select(*docs.columns)

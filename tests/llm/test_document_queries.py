@@ -331,6 +331,17 @@ def test_links_and_groups_equal_brute_force(documents, group):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({g for _, g in brute_links(rows).values()})
 
 
+def test_one_stays_of_every_group_whatever_its_ids(documents):
+    a, b, c, d = (" ".join(f"{name}{k}" for k in range(60)) for name in "abcd")
+    largest = 2**63 - 1
+    rows = [(None, a), (None, b), (None, f"{b} more"), (7, c), (7, d), (9, f"{d} more"), (largest, "e f g h i"), (None, c)]
+    kept = ngram_join.one_of_each_group(documents(*rows, rows[0], rows[3]), recall=0.99999).collect()
+    found = sorted(((r.doc_id, r.text.split()[0]) for r in kept), key=repr)
+    assert found == sorted([(None, "a0"), (None, "b0"), (7, "c0"), (7, "d0"), (largest, "e")], key=repr)
+    found = ngram_join.near_duplicates(documents(*rows), recall=0.99999).collect()
+    assert len({r.group_node for r in found}) == 5
+
+
 def test_bands_reach_the_recall():
     for similarity, recall in ((0.8, 0.999), (0.5, 0.99), (0.95, 0.99999)):
         bands, rows = ngram_join.bands_for(similarity, recall)
