@@ -1,9 +1,9 @@
 """Toxicity of texts whose disguised words are first restored over a noisy channel.
 
-A disguised word (leetspeak, spaced-out letters, marks put in, letters repeated) opens a lattice:
-every character offers the letters it may stand for, at the channel's cost, or nothing. Viterbi
-takes the path that is cheapest under the channel and a character language model of the corpus.
-The restored text is scored by a logistic model over hashed words and word beginnings.
+A word that may be disguised (leetspeak, spaced-out letters, marks put in, letters repeated) opens
+a lattice: every character offers the letters it may stand for, at the channel's cost, or nothing.
+Viterbi takes the path that is cheapest under the channel and a character language model of the
+corpus. A logistic model over hashed words and word beginnings scores the text with its readings.
 """
 
 from __future__ import annotations
@@ -35,15 +35,25 @@ LEET = {
 # Channel costs in nats: a stand-in character, a dropped repetition, a dropped mark, a mark that
 # parts words; a character that can stand in for a letter seldom is a mere mark.
 _STAND_IN, _REPEAT, _DROP, _PART, _MERE = 0.5, 0.5, 0.5, 1.5, 8.0
+# Plain words have figures or marks behind them, and a double letter, seldom several:
+# the cost of a letter of a pair is shared by the pairs of the word.
+_EDGE, _END, _PAIR = 4.0, 1.5, 9.0
 _SYMBOLS = 28
 _OTHER = 27
 
-_L, _S, _M = "A-Za-z", r"0134578@$!|+", r".*_~^\-"
-# Spaced-out letters; a stand-in inside or before a word; letters repeated; marks inside a word.
-_SPACED = rf"(?:^|[^{_L}0-9])(?:[{_L}{_S}][ {_M}]){{3,}}[{_L}{_S}](?:[^{_L}0-9]|$)"
-_THRICE = "|".join(f"{chr(k)}{chr(k)}{chr(k)}" for k in range(ord("a"), ord("z") + 1))
-_INSIDE = rf"[{_L}][{_S}]+[{_L}]|(?:^|\s)[{_S}]+[{_L}][{_L}]|(?i:{_THRICE})|[{_L}][{_M}]+[{_L}]"
-_SUSPECT = rf"{_SPACED}|{_INSIDE}"
+_L, _S, _M = "A-Za-z", "".join(f"\\{c}" if not c.isalnum() else c for c in LEET), r".*_~^\-"
+# What may part spaced-out letters: ASCII blanks and marks that are no stand-ins, and wide blanks and dots.
+_GAP = "".join(f"\\x{k:02x}" for k in range(128) if not chr(k).isalnum() and chr(k) not in LEET)
+_GAP += "\x85\xa0\xb7\u2000-\u206f\u3000\ufeff"
+# Spaced-out letters; a stand-in beside a letter; a letter repeated; marks inside a word.
+_SPACED = rf"(?:[{_L}{_S}][{_GAP}]+){{2,}}[{_L}{_S}]"
+_BESIDE = rf"[{_L}][{_S}]|[{_S}][{_L}]|[{_L}][{_M}]+[{_L}]"
+_TWICE = "|".join(chr(k) * 2 for k in range(ord("a"), ord("z") + 1))
+_SUSPECT = rf"(?:^|[^{_L}0-9]){_SPACED}(?:[^{_L}0-9]|$)|{_BESIDE}|(?i:{_TWICE})"
+# The same for Python, without what stands around spaced-out letters.
+_STRETCH = re.compile(rf"(?<![{_L}0-9]){_SPACED}(?![{_L}0-9])|{_BESIDE}|(?i:([a-z])\1)")
+_RUN = re.compile(r"([a-z])\1+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def _symbols() -> np.ndarray:
@@ -96,32 +106,44 @@ class Restorer:
 
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
-        self.suspect = re.compile(_SUSPECT)
-        self.memo = Recent(lambda words: [*map(self.word, words)], 100_000)
+        self.suspect = _STRETCH
+        self.memo = Recent(lambda words: [*map(self.changed, words)], 100_000)
+
+    def changed(self, word: str) -> str:
+        """The reading of a disguised word; empty if it has the words that stand there."""
+        stands = _LETTERS.findall(word.lower())
+        made = self.word(word) if stands else ""
+        return "" if made.split() == stands else made
 
     def word(self, word: str) -> str:
         """The cheapest reading of a disguised word: letters, and blanks where it is cut."""
         paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        before = ""
-        for char in word.lower():
+        before, word = "", word.lower()
+        last = max((k for k, char in enumerate(word) if char.isalpha()), default=len(word))
+        runs = [len(found.group()) for found in _RUN.finditer(word)]
+        pair = _PAIR / max(runs.count(2), 1)
+        for k, char in enumerate(word):
             options: list[tuple[int | None, str, float]] = []
             if "a" <= char <= "z":
                 options.append((ord(char) - 96, char, 0.0))
                 if char == before:
-                    options.append((None, "", _REPEAT))
+                    double = word[k + 1 : k + 2] != char and word[max(k - 2, 0) : k - 1] != char
+                    options.append((None, "", pair if double else _REPEAT))
             elif ord(char) >= 0x80 and char.isalpha():
                 options.append((_OTHER, char, 0.0))
             else:
                 letters = LEET.get(char, "")
-                mere = _MERE if letters else 0.0
+                mere = 0.0 if not letters else _MERE if k < last else _END if char == "!" else _EDGE
                 options += [(ord(letter) - 96, letter, _STAND_IN) for letter in letters]
                 options += [(0, " ", _PART + mere), (None, "", _DROP + mere)]
             before = char
             reached: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (cost, text) in paths.items():
                 for symbol, letter, price in options:
-                    if symbol is None or (symbol == 0 and b == 0):
-                        state, total, made = (a, b), cost + (price if symbol is None else 0.0), text
+                    if symbol == 0 and b == 0:
+                        continue
+                    if symbol is None:
+                        state, total, made = (a, b), cost + price, text
                     else:
                         state, total, made = (b, symbol), cost + price + self.costs[a][b][symbol], text + letter
                     if state not in reached or total < reached[state][0]:
@@ -131,7 +153,10 @@ class Restorer:
         return min(ended)[1]
 
     def text(self, text: str) -> str:
-        """``text`` with every suspicious stretch, widened to blanks, replaced by its reading."""
+        """``text`` with every suspicious stretch, widened to blanks, replaced by its reading.
+
+        A stretch without letters, or whose reading has the same words, stays as it is.
+        """
         parts, done = [], 0
         for found in self.suspect.finditer(text):
             start, stop = found.span()
@@ -141,8 +166,10 @@ class Restorer:
                 start -= 1
             while stop < len(text) and not text[stop].isspace():
                 stop += 1
-            parts += [text[done:start], " ", self.memo(text[start:stop].strip()), " "]
-            done = stop
+            made = self.memo(text[start:stop].strip())
+            if made:
+                parts += [text[done:start], " ", made, " "]
+                done = stop
         return "".join([*parts, text[done:]]) if parts else text
 
     def all(self, texts: pa.Array) -> pa.Array:
@@ -161,7 +188,10 @@ def restorer(costs: np.ndarray) -> Restorer:
 
 
 def _features(texts: pa.Array):
-    """(number of the text, hashed feature) of every word and word beginning, in text order."""
+    """(number of the text, hashed feature) of every word and word beginning, in text order.
+
+    A word with a letter repeated also counts as the word without the repetition.
+    """
     lower = np.arange(256, dtype=np.uint8)
     lower[ord("A") : ord("Z") + 1] += 32
     letter = np.zeros(256, bool)
@@ -171,6 +201,13 @@ def _features(texts: pa.Array):
         starts, ends, own = word_bounds(letter[data], bounds)
         spans = Spans(data)
         made = [(own, spans.hashes(starts, ends) >> np.uint64(64 - _BITS))]
+        again = np.append(False, (data[1:] == data[:-1]) & (data[1:] >= ord("a")) & (data[1:] <= ord("z")))[: len(data)]
+        again[starts] = False
+        place = np.append(0, np.cumsum(~again))
+        single = np.flatnonzero(place[ends] - place[starts] < ends - starts)
+        if len(single):
+            once = Spans(data[~again]).hashes(place[starts[single]], place[ends[single]])
+            made.append((own[single], once >> np.uint64(64 - _BITS)))
         for size in _PREFIXES:
             long = np.flatnonzero(ends - starts > size)
             salted = spans.hashes(starts[long], starts[long] + size) * np.uint64(2 * size + 1)
@@ -178,11 +215,17 @@ def _features(texts: pa.Array):
         yield first + np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made]).astype(np.int64)
 
 
+def _with(texts: pa.Array, restored: pa.Array) -> pa.Array:
+    """The texts, and behind those with a restored word the reading: neither hides the other's words."""
+    changed = pc.not_equal(texts, restored)
+    return pc.if_else(changed, pc.binary_join_element_wise(texts, restored, " "), texts)
+
+
 def _sample_batches(batches, costs: np.ndarray):
     read = restorer(costs)
     for batch in batches:
         texts = read.all(batch.column(1))
-        pairs = [own * (1 << _BITS) + feature for own, feature in _features(texts)]
+        pairs = [own * (1 << _BITS) + feature for own, feature in _features(_with(batch.column(1), texts))]
         pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
         ends = np.searchsorted(pairs >> _BITS, np.arange(len(texts) + 1))
         features = pa.ListArray.from_arrays(
@@ -297,7 +340,7 @@ def _score_batches(batches, model: Model, carry: bool):
         given = batch.column(1).fill_null("")
         texts = read.all(given)
         margin = np.full(len(texts), model.bias)
-        for own, feature in _features(texts):
+        for own, feature in _features(_with(given, texts)):
             found = np.flatnonzero(weights.take(feature))
             if len(found):
                 pairs = np.unique(own[found] * (1 << _BITS) + feature[found])

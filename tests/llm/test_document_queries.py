@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers as tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -390,6 +391,36 @@ def test_disguised_words_are_read(spark):
     assert reader.text(plain) == plain
 
 
+DISGUISED = [
+    "idio7", "(1diot", '"1diot"', ",1diot", "iddiioott", "i  d  i  o  t", "i\td\ti\to\tt", "i/d/i/o/t",
+    "i,d,i,o,t", "i, d, i, o, t",
+]
+
+
+def test_every_disguise_passes_the_gate(spark):
+    text = "the loser and the idiot with a moron or hag ass a rug garbage in the land " * 40
+    reader = toxicity.Restorer(toxicity.character_model(spark.createDataFrame([(text,)], "text string")))
+    pairs = [(disguised, "idiot") for disguised in DISGUISED]
+    pairs += [("a55", "ass"), ("a$$", "ass"), ("gar9age", "gargage"), ("9arbage", "garbage"), ("h a g", "hag")]
+    for disguised, plain in pairs:
+        given = f"the {disguised} and"
+        assert reader.text(given).split() == ["the", plain, "and"], disguised
+        assert reader.all(pa.array([given])).to_pylist() == [reader.text(given)], disguised
+    for plain in ("the idiot! and the land!", "see 12, 30, 7 and 9", "(garbage), the idiot7 and"):
+        assert reader.text(plain) == plain
+
+
+def test_every_disguise_counts_in_the_score(spark, documents):
+    words = ["the land and a moss hill by sea", "the idiot and a loser by sea"]
+    docs = documents(*[(k, f"{words[k % 2]} n{chr(97 + k % 23)}") for k in range(400)])
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(400)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    given = [*DISGUISED, "iddiot", "idiiot", "idiot!", "idiot7"]
+    rows = [(k, f"the {word} and") for k, word in enumerate(given)] + [(100, "the moss, hill! and")]
+    found = {r.doc_id: r.predicted for r in toxicity.score(documents(*rows), model).collect()}
+    assert found == {k: int(k < 100) for k, _ in rows}
+
+
 def test_toxicity_of_the_held_out_fold(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
