@@ -122,6 +122,41 @@ def normalised_items(items: Column) -> Column:
     )
 
 
+def whole_document(sealed: Column) -> Column:
+    """The sealed document itself as a Variant, with every key and value type."""
+    return F.try_variant_get(sealed, "$[0]", "variant")
+
+
+def generated_json(document: Column, questions: Column, pretty: bool = False) -> Column:
+    """The whole document as JSON text: answers as numbers, an absent explanation as ''.
+
+    The known keys come first, others by name behind them, of an item and of the document.
+    """
+    options = {"ignoreNullFields": "false", "pretty": str(pretty).lower()}
+    known = ["question", "options", "answer", "explanation"]
+    top = F.try_variant_get(document, "$", "map<string,variant>")
+    items = F.try_variant_get(document, "$.questions", "array<map<string,variant>>")
+    variant = lambda column: F.to_variant_object(F.array(column))
+    first = lambda column: F.variant_get(variant(column), "$[0]", "variant")
+
+    def whole(item: Column, question: Column) -> Column:
+        values = F.array(
+            item["question"],
+            item["options"],
+            first(question["answer"]),
+            F.coalesce(item["explanation"], first(F.lit(""))),
+        )
+        others = F.map_filter(item, lambda key, _: ~key.isin(known))
+        return F.map_concat(F.map_from_arrays(F.array(*map(F.lit, known)), values), others)
+
+    text = F.to_json(F.struct(F.zip_with(items, questions, whole).alias("questions")), options)
+    others = F.map_filter(top, lambda key, _: key != "questions")
+    # Without the brace, and the line feed before it, that ends the text.
+    open_text = F.substring(text, F.lit(1), F.length(text) - (2 if pretty else 1))
+    joined = F.concat(open_text, F.lit(","), F.substring(F.to_json(others, options), 2, 2**31 - 1))
+    return F.when(F.size(others) == 0, text).otherwise(joined)
+
+
 def decode_options(options_json: Column) -> Column:
     return F.from_json(options_json, "array<string>")
 

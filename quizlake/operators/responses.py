@@ -18,7 +18,7 @@ _WIDE = 1 << 32
 
 
 def judge_responses(responses: DataFrame) -> DataFrame:
-    """Status, message and, if ok, the normalised questions of every attempt."""
+    """Status, message and, if ok, the normalised questions and whole document of every attempt."""
     if responses.sparkSession.conf.get(_DUPLICATES, "false") != "true":
         raise RuntimeError(f"set {_DUPLICATES} to true: the last of duplicate keys counts")
     status = (
@@ -49,6 +49,7 @@ def judge_responses(responses: DataFrame) -> DataFrame:
             "status",
             message.alias("message"),
             F.when(F.col("status") == quiz_json.OK, quiz_json.normalised_items(F.col("_items"))).alias("questions"),
+            F.when(F.col("status") == quiz_json.OK, quiz_json.whole_document(F.col("_sealed"))).alias("generated"),
         )
     )
 
@@ -84,15 +85,15 @@ def first_valid(judged: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFram
 
 
 def curated_quizzes(responses: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """request_id, attempt, questions of every request that got a valid quiz.
+    """request_id, attempt, questions, generated of every request that got a valid quiz.
 
     The judged attempts are stored once: the winners are found on their narrow columns, and
-    the questions are read for winners only.
+    the questions are read for winners only. ``generated`` is the whole document as a Variant.
     """
     judged = judge_responses(responses).filter(F.col("status") == quiz_json.OK)
-    judged = store_once(judged.select("request_id", "attempt", "status", "questions"), "judged")
+    judged = store_once(judged.select("request_id", "attempt", "status", "questions", "generated"), "judged")
     chosen = first_valid(judged, max_attempts).select("request_id", "attempt")
-    return judged.join(chosen, ["request_id", "attempt"]).select("request_id", "attempt", "questions")
+    return judged.join(chosen, ["request_id", "attempt"]).select("request_id", "attempt", "questions", "generated")
 
 
 def curated_questions(curated: DataFrame) -> DataFrame:
@@ -105,10 +106,11 @@ def curated_questions(curated: DataFrame) -> DataFrame:
 def export_documents(curated: DataFrame, pretty: bool = False) -> DataFrame:
     """The downloadable JSON document of each generated quiz: no ids, as generated.
 
+    Other keys and the types of values stay; an answer is a number and an explanation is there.
     A document comes from one response cell, so no grouping is needed to rebuild it.
     """
-    options = {"ignoreNullFields": "false", "pretty": str(pretty).lower()}
-    return curated.select("request_id", F.to_json(F.struct("questions"), options).alias("document"))
+    document = quiz_json.generated_json(F.col("generated"), F.col("questions"), pretty)
+    return curated.select("request_id", document.alias("document"))
 
 
 def export_files(documents: DataFrame, headers: DataFrame) -> DataFrame:

@@ -239,6 +239,17 @@ def test_export_is_the_generated_document(spark, pretty):
     assert ("\n" in text) == pretty
 
 
+@pytest.mark.parametrize("pretty", [False, True])
+def test_export_keeps_every_key_and_type(spark, pretty):
+    item = {"question": 7, "options": [1, {"x": [None, 2.5]}, "c", None], "answer": " 2 ", "hint": {"h": [True]}}
+    source = {"title": "T \"x\"", "questions": [item, {**item, "explanation": 5}], "level": None}
+    curated = responses.curated_quizzes(frame(spark, [json.dumps(source)]))
+    text = responses.export_documents(curated, pretty).collect()[0]["document"]
+    first, second = ({**q, "answer": 2} for q in source["questions"])
+    assert json.loads(text) == {**source, "questions": [{**first, "explanation": ""}, second]}
+    assert ("\n" in text) == pretty
+
+
 def test_options_round_trip(spark):
     encoded = json.dumps(["a", "é", 'b"', ""])
     row = spark.createDataFrame([(encoded,)], "o string").select(
