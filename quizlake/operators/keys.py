@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quizlake.session import store_once
+
 # Numbering is done in groups of at most 2**SPAN_BITS rows.
 SPAN_BITS = 20
 
@@ -87,3 +91,37 @@ def number_within(
         )
         .drop("_span", "_in_span", "_before")
     )
+
+
+def rank_rows(
+    rows: DataFrame, order: Sequence[str | Column], number_column: str, group: Sequence[str] = ()
+) -> DataFrame:
+    """Number rows from 1 in ``order``, within ``group`` if given, as a window over all rows would.
+
+    A window sorts a whole group in one task. Here the rows are dealt out by ranges of
+    (group, order), every range is numbered by its own task, and the counts of a group's earlier
+    ranges are added: a table of one row per group and range. The ranges are drawn from a sample,
+    another one each time, so the dealt rows are stored once and everything is read from them.
+
+    Null sorts as ``order`` says, first by default; null group values are one group. Rows that tie
+    on all of ``order`` are numbered in any order and share a range: end ``order`` on a unique column.
+    """
+    ordered = [F.col(c) if isinstance(c, str) else c for c in order]
+    # A struct equals another with nulls in the same places, so null groups join too.
+    key = F.struct(*group) if group else F.struct(F.lit(0).alias("all"))
+    dealt = rows.repartitionByRange(*group, *ordered).withColumns({"_range": F.spark_partition_id(), "_group": key})
+    dealt = store_once(dealt, "ranges")
+    part = ["_range", "_group"]
+    earlier = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        dealt.groupBy(*part)
+        .agg(F.count("*").alias("_n"))
+        .select(*part, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    )
+    in_range = F.row_number().over(Window.partitionBy(*part).orderBy(*ordered))
+    return (
+        dealt.withColumn("_in_range", in_range)
+        .join(before, part)
+        .withColumn(number_column, (F.col("_before") + F.col("_in_range")).cast("bigint"))
+        .drop(*part, "_in_range", "_before")
+    )

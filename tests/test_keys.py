@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quizlake.operators.keys import assign_ids, number_within
+from quizlake.operators.keys import assign_ids, number_within, rank_rows
 
 
 def test_ids_are_dense_and_repeatable(spark):
@@ -58,3 +58,21 @@ def test_a_hot_key_is_numbered_by_many_groups(spark):
     spans = numbered.groupBy(F.shiftright("question_id", 6)).agg(F.count("*").alias("c"))
     assert spans.agg(F.max("c")).collect()[0][0] <= 64
     assert numbered.filter(F.col("n") != F.col("question_id") + 1).count() == 0
+
+
+def test_ranks_over_ranges_equal_one_sort(spark):
+    random.seed(5)
+    rows = [(k, random.choice([None, "a", "b"]) if k % 3 else "a", random.choice([None, 1, 2, 3])) for k in range(500)]
+    frame = spark.createDataFrame(rows, "id bigint, owner string, day int").repartition(5)
+    first = lambda value: (value is not None, value or 0)
+    expected, counts = {}, {}
+    for k, owner, day in sorted(rows, key=lambda r: (first(r[2]), r[0])):
+        counts[owner] = counts.get(owner, 0) + 1
+        expected[k] = counts[owner]
+    ranked = rank_rows(frame, ["day", "id"], "place", ["owner"])
+    assert ranked.columns == ["id", "owner", "day", "place"]
+    assert {r["id"]: r["place"] for r in ranked.collect()} == expected
+    newest = rank_rows(frame, [F.desc_nulls_last("day"), F.desc("id")], "place").collect()
+    in_order = sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), -r[0]))
+    assert {r["id"]: r["place"] for r in newest} == {r[0]: i + 1 for i, r in enumerate(in_order)}
+    assert rank_rows(frame.limit(0), ["id"], "place", ["owner"]).count() == 0
