@@ -42,6 +42,83 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+# The nodes of every tree, level by level; the trees' roots are the leaves of one more tree. A row's path holds
+# what stands before and behind it on each level. crc32 is counted bit by bit.
+_OP11 = """
+WITH RECURSIVE plain AS (
+  SELECT *, CAST(doc_id AS VARCHAR) AS id, CAST(n_chars AS VARCHAR) AS size,
+         list_reduce(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+                                    lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(i AS INT), 1)) AS BIGINT)),
+                     lambda crc, byte: list_reduce(range(8), lambda c, i: xor(c >> 1, (c & 1) * 3988292384), xor(crc, byte)),
+                     CAST(4294967295 AS BIGINT)) AS crc
+  FROM documents
+),
+texts AS (
+  SELECT *, CASE WHEN xor(crc, 4294967295) % 3 = 0
+                 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS altered
+  FROM plain
+),
+leaves AS (
+  SELECT doc_id, lang,
+         sha256(concat(coalesce(strlen(id) || ':' || id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                       coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(size) || ':' || size, '-'),
+                       coalesce(strlen(text) || ':' || text, '-'))) AS leaf,
+         sha256(concat(coalesce(strlen(id) || ':' || id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                       coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(size) || ':' || size, '-'),
+                       coalesce(strlen(altered) || ':' || altered, '-'))) AS altered_leaf
+  FROM texts
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves
+),
+nodes AS (
+  SELECT 0 AS level, lang, place, leaf AS node, count(*) OVER (PARTITION BY lang) AS n FROM placed
+  UNION ALL
+  SELECT level + 1, lang, place // 8, sha256(string_agg(node, '' ORDER BY place)), (any_value(n) + 7) // 8
+  FROM nodes WHERE n > 1 GROUP BY level, lang, place // 8
+),
+around AS (
+  SELECT *, coalesce(string_agg(node, '' ORDER BY place) OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+         coalesce(string_agg(node, '' ORDER BY place) OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM nodes WINDOW run AS (PARTITION BY level, lang, place // 8 ORDER BY place)
+),
+subroots AS (
+  SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM nodes WHERE n = 1
+),
+tops AS (
+  SELECT 0 AS level, place, subroot AS node, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 8, sha256(string_agg(node, '' ORDER BY place)), (any_value(n) + 7) // 8
+  FROM tops WHERE n > 1 GROUP BY level, place // 8
+),
+above AS (
+  SELECT *, coalesce(string_agg(node, '' ORDER BY place) OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+         coalesce(string_agg(node, '' ORDER BY place) OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM tops WINDOW run AS (PARTITION BY level, place // 8 ORDER BY place)
+),
+steps AS (
+  SELECT p.lang, p.place, a.level, a.before, a.after FROM placed p
+  JOIN around a ON a.lang IS NOT DISTINCT FROM p.lang AND a.place = p.place // CAST(pow(8, a.level) AS BIGINT) AND a.n > 1
+  UNION ALL
+  SELECT p.lang, p.place, 1000 + a.level, a.before, a.after FROM placed p
+  JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang
+  JOIN above a ON a.place = s.place // CAST(pow(8, a.level) AS BIGINT) AND a.n > 1
+),
+paths AS (
+  SELECT lang, place, list(before ORDER BY level) AS befores, list(after ORDER BY level) AS afters,
+         string_agg(before || after, '' ORDER BY level) AS proof
+  FROM steps GROUP BY lang, place
+),
+folded AS (
+  SELECT p.*, s.subroot, (SELECT node FROM tops WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+         list_reduce(range(1, coalesce(len(befores), 0) + 1),
+                     lambda node, i: sha256(befores[CAST(i AS BIGINT)] || node || afters[CAST(i AS BIGINT)]), altered_leaf) AS folded_root
+  FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang
+  LEFT JOIN paths t ON t.lang IS NOT DISTINCT FROM p.lang AND t.place = p.place
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
 
 def oracle_queries() -> dict[str, str]:
-    return {"op2_exact_dedup": _OP2, "op8_line_dedup": _OP8}
+    return {"op2_exact_dedup": _OP2, "op8_line_dedup": _OP8, "op11_merkle_manifest": _OP11}

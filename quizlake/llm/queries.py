@@ -15,11 +15,13 @@ from quizlake.llm import (
     language_id,
     license_scan,
     line_dedup,
+    merkle,
     ngram_join,
     packing,
     token_files,
     toxicity,
 )
+from quizlake.llm.columns import lower_ascii
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +92,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, tokenizers.PATTERN)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    text = F.when(tampered, lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    found = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", {"text": text})
+    return found.drop("siblings")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_toxicity,
@@ -102,5 +112,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_line_dedup,
         op9_license_scan,
         op10_byte_bpe,
+        op11_merkle_manifest,
     ]
     return {query.__name__: query for query in found}

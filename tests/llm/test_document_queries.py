@@ -52,7 +52,8 @@ def library(name):
 def test_sql_gives_the_same_rows(spark, name):
     frame = queries.registered()[name](spark, SMALL)
     with duckdb.connect() as engine:
-        engine.execute(f"CREATE VIEW documents AS FROM '{SMALL}/documents.parquet'")
+        for name_of_table in ("documents", "embeddings"):
+            engine.execute(f"CREATE VIEW {name_of_table} AS FROM '{SMALL}/{name_of_table}.parquet'")
         found = engine.execute(oracle.oracle_queries()[name])
         names = [column[0] for column in found.description]
         expected = sorted(found.fetchall(), key=repr)
