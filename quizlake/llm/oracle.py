@@ -119,6 +119,62 @@ folded AS (
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
 """
 
+_OP12 = """
+WITH whole AS (
+  SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.place, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND c.place <> q.place
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+# Two rounds of assignment and new entries, then the last assignment; part, entry and axis count from 0.
+_NEAREST = """
+  SELECT row, part, entry, away FROM (
+    SELECT c.row, c.part, b.entry, CAST(list_sum(list_transform(range(1, len(c.v) + 1), lambda i: (c.v[i] - b.v[i]) * (c.v[i] - b.v[i]))) AS BIGINT) AS away,
+           row_number() OVER (PARTITION BY c.row, c.part ORDER BY away, b.entry) AS place
+    FROM cut c JOIN {book} b USING (part))
+  WHERE place = 1
+"""
+_MEANS = """
+  SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM {book} b LEFT JOIN (
+    SELECT part, entry, list(total ORDER BY axis) AS v FROM (
+      SELECT part, entry, axis, CAST((sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS total
+      FROM (SELECT n.part, n.entry, unnest(c.v) AS x, generate_subscripts(c.v, 1) AS axis FROM {near} n JOIN cut c USING (row, part))
+      GROUP BY part, entry, axis)
+    GROUP BY part, entry) m USING (part, entry)
+"""
+_OP13 = f"""
+WITH whole AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS row, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+cut AS (
+  SELECT row, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS v
+  FROM (SELECT row, v, unnest(range(16)) AS part FROM whole)
+),
+book_0 AS (SELECT part, row AS entry, v FROM cut WHERE row < 64),
+near_0 AS ({_NEAREST.format(book="book_0")}),
+book_1 AS ({_MEANS.format(book="book_0", near="near_0")}),
+near_1 AS ({_NEAREST.format(book="book_1")}),
+book_2 AS ({_MEANS.format(book="book_1", near="near_1")}),
+near_2 AS ({_NEAREST.format(book="book_2")}),
+coded AS (
+  SELECT row, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(away) AS BIGINT) AS error FROM near_2 GROUP BY row
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM book_2) AS codebooks_sha256
+FROM coded JOIN whole USING (row)
+"""
+
 
 def oracle_queries() -> dict[str, str]:
-    return {"op2_exact_dedup": _OP2, "op8_line_dedup": _OP8, "op11_merkle_manifest": _OP11}
+    return {"op2_exact_dedup": _OP2, "op8_line_dedup": _OP8, "op11_merkle_manifest": _OP11, "op12_exact_topk": _OP12, "op13_vector_codes": _OP13}

@@ -19,7 +19,9 @@ from quizlake.llm import (
     ngram_join,
     packing,
     token_files,
+    topk_search,
     toxicity,
+    vector_codes,
 )
 from quizlake.llm.columns import lower_ascii
 
@@ -100,6 +102,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("siblings")
 
 
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_toxicity,
@@ -113,5 +123,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_license_scan,
         op10_byte_bpe,
         op11_merkle_manifest,
+        op12_exact_topk,
+        op13_vector_codes,
     ]
     return {query.__name__: query for query in found}
