@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quizlake.llm.vectors import matrix, whole_vectors
+from quizlake.session import store_once
 
 # Points in a leaf of the points' tree, children of an inner node, entries in a leaf of theirs.
 _LEAF, _FAN, _ENTRY_LEAF = 16, 4, 8
@@ -259,7 +260,7 @@ def encode(
     digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
     label_type = kept.schema["label"].dataType.simpleString()
     kind = f"vec_id {kept.schema['vec_id'].dataType.simpleString()}, label {label_type}, code string, error long"
-    coded = kept.mapInArrow(partial(_codes, books=books), kind)
+    coded = store_once(kept.mapInArrow(partial(_codes, books=books), kind), "vector-codes")
     # Summed up before the shuffle; a hot label is cut by AQE, as nothing but the result follows.
     by_label = coded.groupBy(F.col("label").alias("same")).agg(F.sum("error").alias("label_error"))
     return coded.join(by_label, F.col("label").eqNullSafe(F.col("same"))).select(
