@@ -84,16 +84,29 @@ def first_valid(judged: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFram
     )
 
 
-def curated_quizzes(responses: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """request_id, attempt, questions, generated of every request that got a valid quiz.
+def judged_payloads(responses: DataFrame, max_attempts: int = MAX_ATTEMPTS, whole: bool = True) -> DataFrame:
+    """What is stored of every attempt that counts: its status, and of a usable one its questions.
 
-    The judged attempts are stored once: the winners are found on their narrow columns, and
-    the questions are read for winners only. ``generated`` is the whole document as a Variant.
+    Nothing is filtered by the status here. Such a filter would be pushed below the steps of the
+    parse and repeat them in its condition, so a text would be parsed once per mention.
     """
-    judged = judge_responses(responses).filter(F.col("status") == quiz_json.OK)
-    judged = store_once(judged.select("request_id", "attempt", "status", "questions", "generated"), "judged")
-    chosen = first_valid(judged, max_attempts).select("request_id", "attempt")
-    return judged.join(chosen, ["request_id", "attempt"]).select("request_id", "attempt", "questions", "generated")
+    judged = judge_responses(responses.filter(F.col("attempt") <= max_attempts))
+    return judged.select("request_id", "attempt", "status", "questions", *(["generated"] if whole else []))
+
+
+def curated_quizzes(
+    responses: DataFrame, max_attempts: int = MAX_ATTEMPTS, whole: bool = True
+) -> DataFrame:
+    """request_id, attempt, questions of every request that got a valid quiz, and ``generated`` if ``whole``.
+
+    The judged attempts are stored once, which is the only parse. The winners are found on their
+    narrow columns, and the payload is read for usable attempts only, by a filter on the stored status.
+    ``generated`` is the whole document as a Variant, which only the export needs.
+    """
+    judged = store_once(judged_payloads(responses, max_attempts, whole), "judged")
+    chosen = first_valid(judged, max_attempts).filter(F.col("status") == READY)
+    usable = judged.filter(F.col("status") == quiz_json.OK).drop("status")
+    return usable.join(chosen.select("request_id", "attempt"), ["request_id", "attempt"])
 
 
 def curated_questions(curated: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def quizzes_from_responses(
     questions: DataFrame | None = None,
 ) -> SavedQuizzes:
     """Raw responses to new rows of quizzes and questions, both from one stored curated set."""
-    curated = store_once(responses.curated_quizzes(raw), "curated")
+    curated = store_once(responses.curated_quizzes(raw, whole=False), "curated")
     headers = store.quiz_headers(curated, requests, quizzes, run_time, questions)
     return SavedQuizzes(headers, store.question_rows(curated, headers, questions))
 

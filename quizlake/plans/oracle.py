@@ -485,9 +485,15 @@ def _needed(sql: str) -> list[str]:
     return [name for name in _CTES if name in found]
 
 
+# Read by several others of a statement: computed once.
+_SHARED = {"responses", "parsed", "items", "judged", "first_ok", "curated"}
+
+
 def oracle_queries() -> dict[str, str]:
     statements = {}
     for name, sql in _SQL.items():
-        ctes = ",\n".join(f"{cte} AS ({_CTES[cte]})" for cte in _needed(sql))
+        ctes = ",\n".join(
+            f"{cte} AS {'MATERIALIZED ' if cte in _SHARED else ''}({_CTES[cte]})" for cte in _needed(sql)
+        )
         statements[name] = f"WITH {ctes}\n{sql}" if ctes else sql
     return statements

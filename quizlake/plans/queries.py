@@ -326,9 +326,8 @@ def first_valid_attempt(data: QuizData) -> DataFrame:
 
 @_query
 def curated_questions(data: QuizData) -> DataFrame:
-    return responses.curated_questions(responses.curated_quizzes(data.responses())).withColumn(
-        "options", F.to_json("options")
-    )
+    curated = responses.curated_quizzes(data.responses(), whole=False)
+    return responses.curated_questions(curated).withColumn("options", F.to_json("options"))
 
 
 @_query

@@ -263,3 +263,18 @@ def test_curation_runs_no_python(spark):
     plan = initial_plan(responses.first_valid(responses.judge_responses(frame(spark, ["{}"]))))
     assert "Python" not in plan
     assert count(plan, "Exchange") == 1 and count(plan, "SortAggregate") == 0
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_curation_parses_each_text_once(spark, whole):
+    """Three parses, as in the judgement alone: the sealed one and two for texts that hold the seal."""
+    raw = spark.range(10).select(
+        F.col("id").alias("request_id"), F.lit(1).alias("attempt"), F.col("id").cast("string").alias("raw_text")
+    )
+    stored = responses.judged_payloads(raw, whole=whole)
+    assert "Generate" not in initial_plan(stored)
+    assert stored._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 3
+    curated = responses.curated_quizzes(raw, whole=whole)
+    plan = curated._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 0
+    assert ("generated" in curated.columns) == whole
