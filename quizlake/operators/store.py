@@ -120,12 +120,21 @@ def latest_submissions(submissions: DataFrame) -> DataFrame:
 def replace_answers(
     stored: DataFrame, batch: DataFrame, batch_submissions: DataFrame
 ) -> DataFrame:
-    """user_answers after a batch: per user and quiz the batch's last submission replaces all.
+    """user_answers after a batch, whole and without ids: the last submission per user and quiz replaces all.
 
     ``batch`` holds the graded answers of ``batch_submissions`` (submission_id, user_id,
     quiz_id, submitted_at). A submission of a quiz without questions also clears old answers.
+    Stored rows with submitted_at and submission_id stay if they are later; without, the batch counts as
+    later. ``answers.save_answers`` keeps the stored table, with ids, and rewrites what a batch touches.
     """
-    last = latest_submissions(batch_submissions).select("submission_id", "user_id", "quiz_id")
+    last = latest_submissions(batch_submissions).select("submission_id", "user_id", "quiz_id", "submitted_at")
+    if {"submitted_at", "submission_id"} <= set(stored.columns):
+        mark = F.struct("submitted_at", "submission_id")
+        known = stored.groupBy("user_id", "quiz_id").agg(F.max(mark).alias("_known"))
+        last = last.join(known, ["user_id", "quiz_id"], "left").filter(
+            F.col("_known").isNull() | (mark >= F.col("_known"))
+        )
+    last = last.select("submission_id", "user_id", "quiz_id")
     kept = stored.join(last, ["user_id", "quiz_id"], "left_anti")
     fresh = batch.join(last.select("submission_id"), "submission_id", "left_semi")
     columns = ["user_id", "quiz_id", "question_id", "user_answer", "is_correct"]

@@ -293,7 +293,16 @@ def _orphans(fk: str, child: str, key: str, column: str, step: int, parent: str,
 
 
 _CTES["answers"] = """
-SELECT *, question_id * 10 + submission_id % 10 AS answer_id FROM graded"""
+SELECT *, row_number() OVER (ORDER BY md5(concat(submission_id, '/', question_id)), submission_id, question_id) AS answer_id
+FROM graded"""
+
+_ANSWER_ORDER = "md5(concat(user_id, '/', quiz_id, '/', question_id)), user_id, quiz_id, question_id"
+
+# First attempts are numbered together, then the second attempts that replace some of them.
+_CTES["kept_answers"] = f"""
+SELECT attempt, row_number() OVER (ORDER BY attempt, {_ANSWER_ORDER}) AS answer_id,
+       user_id, quiz_id, question_id, user_answer, is_correct
+FROM (SELECT *, submission_id % 10 AS attempt FROM graded)"""
 
 _FK_AUDIT = "\nUNION ALL\n".join(
     _orphans(*link)
@@ -440,8 +449,12 @@ LEFT JOIN (
   FROM (SELECT DISTINCT user_id, module_name FROM wanted w WHERE module_name <> '' AND NOT EXISTS (
     SELECT 1 FROM modules m WHERE m.user_id = w.user_id AND m.module_name = w.module_name))) c
 ON c.user_id = w.user_id AND c.module_name = w.module_name""",
-    "answers_replace": """SELECT user_id, quiz_id, question_id, user_answer, is_correct FROM graded
-WHERE submission_id % 10 = CASE WHEN quiz_id % 5 = 0 THEN 2 ELSE 1 END""",
+    "answers_replace": """SELECT answer_id, user_id, quiz_id, question_id, user_answer, is_correct FROM kept_answers
+WHERE attempt = CASE WHEN quiz_id % 5 = 0 THEN 2 ELSE 1 END""",
+    "user_answers_table": f"""SELECT row_number() OVER (ORDER BY {_ANSWER_ORDER}) AS answer_id,
+  user_id, quiz_id, question_id, user_answer, is_correct FROM kept_answers
+WHERE attempt = CASE WHEN quiz_id % 5 = 0 THEN 2 ELSE 1 END""",
+    "performance_table": "SELECT * FROM performance",
     "fk_audit": _FK_AUDIT,
     "response_status": """SELECT request_id, attempt, status, CASE status
   WHEN 'invalid_json' THEN 'Invalid JSON from model'
@@ -459,7 +472,7 @@ FROM (SELECT request_id, arg_max(status, attempt) AS last_status FROM judged
 FROM first_ok f LEFT JOIN (SELECT request_id, string_agg(to_json({'question': question,
     'options': cast(options::json as varchar[]), 'answer': answer, 'explanation': explanation})::varchar,
     ',' ORDER BY position) AS body FROM curated GROUP BY request_id) d USING (request_id)""",
-    "saved_quizzes": "SELECT * FROM saved_headers",
+    "saved_quizzes": """SELECT quiz_id, user_id, module_id, "timestamp", notes_hash, difficulty FROM saved_headers""",
     "saved_questions": """SELECT (SELECT max(question_id) FROM questions) + row_number() OVER (
     ORDER BY substr(md5(cast(c.request_id as varchar)), 1, 3), c.position // 1048576,
              md5(cast(c.request_id as varchar)), c.request_id, c.position) AS question_id,

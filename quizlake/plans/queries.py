@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from quizlake.functions.text import fingerprint, strip
 from quizlake.operators import catalog, notes, progress, responses, scoring, store, users
+from quizlake.operators.answers import read_answers, save_answers
+from quizlake.operators.keys import assign_ids
 from quizlake.plans.derived import QuizData
-from quizlake.plans.journeys import SavedQuizzes, prompts_from_parts, quizzes_from_responses
-from quizlake.session import configure, scratch_path
+from quizlake.plans.journeys import prompts_from_parts, quizzes_from_responses
+from quizlake.session import configure, scratch_path, store_once
 from quizlake.sources import note_files, tables
 from quizlake.streaming import submissions as feed
 
@@ -43,6 +45,12 @@ def _performance(data: QuizData) -> DataFrame:
     return scoring.performance_rows(_scored(data))
 
 
+def _answers(data: QuizData) -> DataFrame:
+    return scoring.user_answer_rows(
+        scoring.grade_answers(data.submissions(), data.choices(), data.questions())
+    )
+
+
 def _gated(data: QuizData) -> DataFrame:
     return notes.gate_notes(data.notes())
 
@@ -50,27 +58,47 @@ def _gated(data: QuizData) -> DataFrame:
 # --- tables -------------------------------------------------------------------------------
 
 
+def _stored(data: QuizData, frame: DataFrame, name: str) -> DataFrame:
+    """One of the six tables as written to a store, bucketed by its key, and scanned."""
+    path = scratch_path(data.spark, name)
+    table = f"{name}_{path.rsplit('-', 1)[-1]}"
+    return tables.save_bucketed(frame, name, table, path, _buckets(data))
+
+
+def _buckets(data: QuizData) -> int:
+    return int(data.spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @_query
 def users_table(data: QuizData) -> DataFrame:
-    return tables.conform(data.users(), "users").select("user_id", "username", "email")
+    return _stored(data, data.users(), "users").select("user_id", "username", "email")
 
 
 @_query
 def modules_table(data: QuizData) -> DataFrame:
-    return tables.conform(data.modules(), "modules")
+    return _stored(data, data.modules(), "modules")
 
 
 @_query
 def quizzes_table(data: QuizData) -> DataFrame:
-    return tables.conform(data.quizzes(), "quizzes").drop("notes_hash")
+    return _stored(data, data.quizzes(), "quizzes").drop("notes_hash")
 
 
 @_query
 def questions_table(data: QuizData) -> DataFrame:
-    return (
-        tables.conform(data.questions(), "questions")
-        .withColumn("options", F.to_json("options"))
-    )
+    return _stored(data, data.questions(), "questions").withColumn("options", F.to_json("options"))
+
+
+@_query
+def user_answers_table(data: QuizData) -> DataFrame:
+    root = scratch_path(data.spark, "answers")
+    save_answers(_answers(data), data.submissions(), root, "all", _buckets(data))
+    return tables.conform(read_answers(data.spark, root), "user_answers")
+
+
+@_query
+def performance_table(data: QuizData) -> DataFrame:
+    return _stored(data, _performance(data), "performance")
 
 
 # --- scoring ------------------------------------------------------------------------------
@@ -271,11 +299,16 @@ def module_upsert(data: QuizData) -> DataFrame:
 
 @_query
 def answers_replace(data: QuizData) -> DataFrame:
-    graded = scoring.grade_answers(data.submissions(), data.choices(), data.questions())
-    answers = scoring.user_answer_rows(graded)
-    retaken = data.submissions().filter(F.col("quiz_id") % 5 == 0)
+    """First attempts saved, then all of the quizzes taken twice, then late copies of their first ones."""
+    root = scratch_path(data.spark, "answers")
+    answers, submissions = store_once(_answers(data), "graded"), data.submissions()
     first_time = F.col("submission_id") % 10 == 1
-    return store.replace_answers(answers.filter(first_time), answers, retaken)
+    retaken = F.col("quiz_id") % 5 == 0
+    save_answers(answers.filter(first_time), submissions.filter(first_time), root, "first", _buckets(data))
+    save_answers(answers.filter(retaken), submissions.filter(retaken), root, "retaken", _buckets(data))
+    late = first_time & retaken
+    save_answers(answers.filter(late), submissions.filter(late), root, "late", _buckets(data))
+    return tables.conform(read_answers(data.spark, root), "user_answers")
 
 
 @_query
@@ -287,10 +320,7 @@ def fk_audit(data: QuizData) -> DataFrame:
         damaged = F.when(F.col(by) % step == 0, key + 10**12).when(F.col(by) % step != 1, key)
         return frame.withColumn(column, damaged)
 
-    graded = scoring.grade_answers(data.submissions(), data.choices(), data.questions())
-    answers = scoring.user_answer_rows(graded).withColumn(
-        "answer_id", F.col("question_id") * 10 + F.col("submission_id") % 10
-    )
+    answers = assign_ids(_answers(data), "answer_id", ["submission_id", "question_id"])
     frames = {
         "users": data.users(),
         "modules": damage(data.modules(), "user_id", "module_id", 97),
@@ -335,7 +365,8 @@ def quiz_export(data: QuizData) -> DataFrame:
     return responses.export_documents(responses.curated_quizzes(data.responses()))
 
 
-def _saved(data: QuizData) -> SavedQuizzes:
+def _saved(data: QuizData) -> str:
+    """The store that a save of all curated responses, named by its run, leaves."""
     requests = data.questions().join(
         data.quizzes().select("quiz_id", "user_id", "module_id", "difficulty"), "quiz_id"
     ).select(
@@ -345,19 +376,21 @@ def _saved(data: QuizData) -> SavedQuizzes:
         fingerprint(F.col("question_text")).alias("notes_hash"),
         "difficulty",
     )
-    return quizzes_from_responses(
-        data.responses(), requests, RUN_TIME, data.quizzes(), data.questions()
-    )
+    new = quizzes_from_responses(data.responses(), requests, RUN_TIME, data.quizzes(), data.questions())
+    root = scratch_path(data.spark, "store")
+    tables.commit_quizzes(new.quizzes, new.questions, root, "curated")
+    return root
 
 
 @_query
 def saved_quizzes(data: QuizData) -> DataFrame:
-    return _saved(data).quizzes
+    return tables.read_committed(data.spark, _saved(data), "quizzes")
 
 
 @_query
 def saved_questions(data: QuizData) -> DataFrame:
-    return _saved(data).questions.withColumn("options", F.to_json("options"))
+    saved = tables.read_committed(data.spark, _saved(data), "questions")
+    return saved.withColumn("options", F.to_json("options"))
 
 
 # --- the submission feed ------------------------------------------------------------------------
@@ -377,11 +410,10 @@ def _fed(data: QuizData, events: DataFrame, on_missing: str) -> str:
     spark = data.spark
     root = scratch_path(spark, "submission-feed")
     events.write.parquet(f"{root}/events")
-    tables.write_table(data.quizzes(), root, "quizzes")
-    tables.write_table(data.questions(), root, "questions")
+    known = _stored(data, data.quizzes(), "quizzes"), _stored(data, data.questions(), "questions")
     feed.start_scoring(
         feed.submission_stream(spark, f"{root}/events"),
-        lambda: (tables.read_table(spark, root, "quizzes"), tables.read_table(spark, root, "questions")),
+        lambda: known,
         f"{root}/out",
         f"{root}/progress",
         on_missing=on_missing,
