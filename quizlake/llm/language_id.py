@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quizlake.llm.arrays import chunks, give_back
+from quizlake.llm.columns import others_of
 from quizlake.llm.pieces import kept_in_worker
 
 UNKNOWN = "und"
@@ -216,22 +218,22 @@ def predict(
 
     Only the text decides. A text that is null or has no letter is ``und`` with score 0, as
     is every text if no language was learned. ``ambiguous`` marks a best language with less
-    than ``ambiguous_below`` of the score. Empty tables give no rows. With ``carry`` every row also
-    brings its text as ``text`` and its other columns in the struct ``others``.
+    than ``ambiguous_below`` of the score. Repeated rows and ids are rows each; texts are read whole,
+    however long. Empty tables give no rows. Other columns, whatever their names, are ignored;
+    with ``carry`` every row also brings its text as ``text`` and the others in the struct ``others``.
     """
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    others = [F.col(name) for name in docs.columns if name != text]
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         (F.col(text) if carry else F.when(lettered, F.col(text))).alias("text"),
         lettered.alias("lettered"),
-        *([F.struct(*others).alias("others")] if carry else []),
+        *([others_of(docs, text)] if carry else []),
     )
     own = rows.columns if carry else ["doc_id", "lettered"]
     if model.langs:
-        kinds = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in own)
-        predict_batches = partial(_predict_batches, model=model, carry=carry)
-        rows = rows.mapInArrow(predict_batches, f"{kinds}, best string, second string, share double")
+        kinds = StructType([rows.schema[name] for name in own])
+        kinds = kinds.add("best", "string").add("second", "string").add("share", "double")
+        rows = rows.mapInArrow(partial(_predict_batches, model=model, carry=carry), kinds)
     else:
         nothing = {"lettered": F.lit(False), "share": F.lit(0.0)}
         rows = rows.withColumns(nothing | {name: F.lit(None).cast("string") for name in ("best", "second")})

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlake.llm.columns import BLANKS, lower_ascii, text_of
+from quizlake.llm.columns import BLANKS, carried, lower_ascii, named, others_of, text_of
 from quizlake.session import scratch_path, store_once
 
 KEY = ["hash_1", "hash_2"]
@@ -75,16 +75,20 @@ class LineRuns:
         return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
 
 
-def _documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _documents(docs: DataFrame, doc_id: str, text: str, *more: Column) -> DataFrame:
     raw = text_of(text)
-    ident = F.coalesce(F.col(doc_id).cast("long"), F.lit(_SMALLEST))
-    return docs.withColumns({"__id": ident, "__mark": F.xxhash64(raw), "__lines": F.split(raw, "\n", -1)})
+    return docs.select(
+        F.coalesce(named(doc_id).cast("long"), F.lit(_SMALLEST)).alias("id"),
+        F.xxhash64(raw).alias("mark"),
+        F.split(raw, "\n", -1).alias("lines"),
+        *more,
+    )
 
 
 def line_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 40) -> DataFrame:
     """Every line whose key has ``min_chars`` code points: document, place and 128-bit key hash."""
     rows = _documents(docs, doc_id, text).select(
-        F.col("__id").alias("doc_id"), F.col("__mark").alias("mark"), F.posexplode("__lines").alias("place", "line")
+        F.col("id").alias("doc_id"), "mark", F.posexplode("lines").alias("place", "line")
     )
     keyed = rows.select("doc_id", "mark", "place", lower_ascii(F.btrim("line", F.lit(BLANKS))).alias("key"))
     return keyed.filter(F.char_length("key") >= min_chars).select(
@@ -100,16 +104,19 @@ def drop_repeated_lines(
     min_docs: int = 5,
     batches: int = 4,
     fanout: int = 3,
+    carry: bool = False,
 ) -> DataFrame:
     """``docs`` without its repeated lines, plus ``n_lines``, ``n_dropped`` and the new text.
 
     A line's key is the line without blanks at its ends, A-Z lower-cased. Keys of at least
     ``min_chars`` code points that ``min_docs`` documents hold stay only in the document of
     the largest id; there all its copies stay. The columns added are ``kept_text``,
-    ``n_lines`` (before) and ``n_dropped``; the others pass through.
+    ``n_lines`` (before) and ``n_dropped``; the others pass through, but for columns of these
+    three names, which give way. With ``carry`` nothing gives way: a row has the three, its ``text``
+    and its other columns in the struct ``others``.
 
-    Null and empty texts are one empty line. A null id counts as the smallest. Rows of one id
-    are one document. An empty table gives no rows.
+    Null and empty texts are one empty line; texts of any length are split whole. A null id counts as
+    the smallest. Rows of one id are one document. An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = store_once(line_rows(docs, doc_id, text, min_chars), "lines")
@@ -126,24 +133,28 @@ def drop_repeated_lines(
     dropped = (
         rows.join(repeated, KEY)
         .filter(F.col("doc_id") != F.col("keeper"))
-        .groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
-        .agg(F.collect_set("place").alias("__dropped"))
+        .groupBy(F.col("doc_id").alias("id"), "mark")
+        .agg(F.collect_set("place").alias("gone"))
     )
-    whole = F.sequence(F.lit(0), F.size("__lines") - 1)
-    kept = F.transform(F.col("__kept"), lambda place: F.get(F.col("__lines"), place))
-    return (
-        _documents(docs, doc_id, text)
-        .join(dropped, ["__id", "__mark"], "left")
-        .withColumn("__kept", F.when(F.col("__dropped").isNull(), whole).otherwise(F.array_except(whole, F.col("__dropped"))))
-        .withColumns(
-            {
-                "kept_text": F.when(F.col("__dropped").isNull(), text_of(text)).otherwise(F.array_join(kept, "\n")),
-                "n_lines": F.size("__lines").cast("long"),
-                "n_dropped": (F.size("__lines") - F.size("__kept")).cast("long"),
-            }
+    whole = F.sequence(F.lit(0), F.size("lines") - 1)
+    kept = F.transform(F.col("stays"), lambda place: F.get(F.col("lines"), place))
+    out = (
+        _documents(docs, doc_id, text, named(text).alias("text"), others_of(docs, text))
+        .join(dropped, ["id", "mark"], "left")
+        .withColumn("stays", F.when(F.col("gone").isNull(), whole).otherwise(F.array_except(whole, F.col("gone"))))
+        .select(
+            "text",
+            "others",
+            F.when(F.col("gone").isNull(), text_of("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+            F.size("lines").cast("long").alias("n_lines"),
+            (F.size("lines") - F.size("stays")).cast("long").alias("n_dropped"),
         )
-        .drop("__id", "__mark", "__lines", "__dropped", "__kept")
     )
+    if carry:
+        return out
+    added = ["kept_text", "n_lines", "n_dropped"]
+    passed = [column for name, column in zip(docs.columns, carried(docs, text)) if name not in added]
+    return out.select(*passed, *added)
 
 
 def _cuts(rows: DataFrame, batches: int) -> list[int]:

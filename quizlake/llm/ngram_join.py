@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quizlake.llm.arrays import Spans, chunks, give_back, mixed, word_bounds
-from quizlake.llm.columns import text_of
+from quizlake.llm.columns import carried, named, others_of, text_of
 from quizlake.llm.pieces import kept_in_worker
 from quizlake.session import cut_lineage, store_once
 
@@ -323,6 +323,8 @@ def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     Documents without near duplicates stay, also those that share an id or have none; of rows
     repeated as they are, one stays. Of texts of one group and id, that of the smallest hash stays.
+    Texts are compared whole, however long; null and empty ones are one class. An empty table gives
+    no rows. All columns come back as they were, whatever their names.
     """
     largest = 9_223_372_036_854_775_807
     found = near_duplicates(docs, doc_id, text, **options)
@@ -330,7 +332,11 @@ def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     first = first.agg(F.min("text_mark").alias("__own")).select(
         F.coalesce("group_id", F.lit(largest)).alias("__doc"), "__own"
     )
-    marked = docs.withColumns(
-        {"__own": F.xxhash64(text_of(text)), "__doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(largest))}
+    marked = docs.select(
+        F.xxhash64(text_of(text)).alias("__own"),
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(largest)).alias("__doc"),
+        named(text).alias("text"),
+        others_of(docs, text),
     )
-    return marked.join(first, ["__doc", "__own"]).dropDuplicates(["__doc", "__own"]).select(*docs.columns)
+    kept = marked.join(first, ["__doc", "__own"]).dropDuplicates(["__doc", "__own"])
+    return kept.select(*carried(docs, text))

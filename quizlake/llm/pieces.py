@@ -32,8 +32,9 @@ _TOGETHER = 64
 _ENTRIES = 100_000
 # Small letters of Latin-1.
 _SMALL_LETTERS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
-# A letter or digit of the Latin blocks at the end.
-_WORD_END = r"[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]\z"
+# A letter or digit of the Latin blocks at the end. U+0130 is left out: in small letters it ends in
+# a combining dot, which belongs to the mark behind it.
+_WORD_END = r"[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]\z"
 
 
 def worker_state() -> dict:
@@ -95,11 +96,14 @@ class WordTable:
         self.words, self.marks = Recent(self._words), Recent(encode, 10_000)
 
     def _words(self, words: list[str]) -> list:
-        """Encodings of words as they stand in a cut text: marked, or behind their blank."""
+        """Encodings of words as they stand in a cut text: marked, or behind their blank.
+
+        Without a lead ``cut`` marks nothing, so a control character in front is the text's own.
+        """
+        if not self.lead:
+            return self.encode(words)
         marked = (_START, _LINE)
         values = self.encode([word[1:] if word[:1] in marked else self.lead + word for word in words])
-        if not self.lead:
-            return values
         return [self.join(self.line, v) if w[:1] == _LINE else v for w, v in zip(words, values)]
 
     def of(self, words: pa.Array) -> list:

@@ -17,8 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quizlake.llm.arrays import Spans, chunks, give_back, word_bounds
+from quizlake.llm.columns import others_of
 from quizlake.llm.language_id import held_out
 from quizlake.llm.pieces import Recent, kept_in_worker
 from quizlake.session import store_once
@@ -361,20 +363,18 @@ def score(
     """Per row: doc_id, score, predicted (1 from one half on), and whether a word was restored.
 
     Only the text decides. Null texts count as empty; empty texts get the model's bias. Rows
-    pass one by one, repeated ones too; an empty table gives no rows. With
-    ``carry`` every row also brings its text as ``text`` and its other columns in ``others``.
+    pass one by one, repeated ones too; texts are read whole, however long. An empty table
+    gives no rows. Other columns, whatever their names, are ignored; with ``carry`` every row also
+    brings its text as ``text`` and the others in the struct ``others``.
     """
-    others = [F.col(name) for name in docs.columns if name != text]
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(text).alias("text"),
-        *([F.struct(*others).alias("others")] if carry else []),
+        *([others_of(docs, text)] if carry else []),
     )
     own = rows.columns if carry else ["doc_id"]
-    kinds = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in own)
-    scored = rows.mapInArrow(
-        partial(_score_batches, model=model, carry=carry), f"{kinds}, score double, restored boolean"
-    )
+    kinds = StructType([rows.schema[name] for name in own]).add("score", "double").add("restored", "boolean")
+    scored = rows.mapInArrow(partial(_score_batches, model=model, carry=carry), kinds)
     return scored.select(
         "doc_id",
         "score",

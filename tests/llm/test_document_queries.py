@@ -28,6 +28,7 @@ from quizlake.llm import (
     ngram_join,
     oracle,
     packing,
+    pieces,
     queries,
     range_coder,
     token_files,
@@ -475,3 +476,59 @@ def test_pipeline_stages(spark):
     links = brute_links(sorted(texts.items()))
     assert all(count == 0 for count, _ in links.values())
     assert os.path.exists(f"{SMALL}/labels.parquet")
+
+
+# Cases of the second round
+
+
+HARD = st.text(
+    st.sampled_from("aAzZ09 \n\t.,;:!?|$%*&#'\"-_ßéÉİıŉǅΣσςſKÅ日本\x00\x01\x02\x7f\x85\xa0\u0300\u0307\u0338\u200b\u2028\ufeff\U0001f600<>"),
+    max_size=24,
+)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(HARD | st.text(max_size=12), min_size=1, max_size=40))
+def test_word_tables_give_the_ids_of_the_library(texts):
+    texts = texts + ["ALİ.", "\x02word", "\nİ!! \x02", "word\u0307. x", "İ\u0307,"]
+    for name, make in (("word_bpe_49k.json", pieces.bare_words), ("byte_bpe_50k.json", pieces.spaced_words)):
+        ids = _tables.setdefault(name, (make(tokenizers.path(name)), library(name)))
+        found = []
+        for flat, ends in ids[0].ids(pa.array(texts, pa.string())):
+            found += [part.tolist() for part in np.split(flat, ends)[:-1]]
+        assert found == [ids[1](text) for text in texts], name
+
+
+_tables = {}
+
+
+def test_stages_keep_every_column_whatever_its_name(spark, odd_documents, tmp_path):
+    """Columns named like those of the operators, with dots, and the stages' own names for them."""
+    clashing = ["a.b", "n_lines", "n_dropped", "kept_text", "others", "lang_pred", "score", "predicted", "ambiguous",
+                "restored", "id", "mark", "lines", "gone", "stays", "__own", "__doc", "group_id", "lettered", "b c"]
+    docs = odd_documents
+    for name in clashing:
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    rows = [(k, k % 2, int(k == 4)) for k in range(1, 9)]
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    given = {(row.doc_id, row.text) for row in docs.select("doc_id", "text").collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns and found.dtypes == docs.dtypes, name
+        for row in found.collect():
+            values = row.asDict()
+            assert (row.doc_id, row.text) in given, name
+            assert all(values[clash] == f"own {clash}" for clash in clashing), name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert packed.select("doc_id").distinct().count() == len({doc_id for doc_id, _ in given})
+
+
+def test_lines_go_and_columns_of_the_same_names_stay(spark, documents):
+    line = "This very line is longer than forty code points"
+    docs = documents(*[(k, f"own {k}\n{line}") for k in range(6)]).withColumn("n_dropped", F.lit("user")).withColumn("kept_text", F.lit("u"))
+    found = {row.doc_id: row for row in corpus_pipeline.without_repeated_lines(spark, docs, "").collect()}
+    assert found[5].text == f"own 5\n{line}" and found[0].text == "own 0" and found[0].n_chars == 5
+    assert {(row.n_dropped, row.kept_text) for row in found.values()} == {("user", "u")}
+    plain = line_dedup.drop_repeated_lines(docs)
+    assert plain.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept_text", "n_lines", "n_dropped"]
+    assert sorted(row.n_dropped for row in plain.collect()) == [0, 1, 1, 1, 1, 1]
