@@ -100,3 +100,10 @@ def test_joins_on_the_key_move_no_stored_rows(bucketed, sql_settings, rows_of):
     totals = plan[plan.index("count(1)") :]
     assert "Exchange" not in totals[: totals.index("FileScan")]
     assert rows_of(scored) == rows_of(scoring.score_submissions(data.submissions(), data.choices(), data.questions()))
+
+
+def test_unions_of_bucketed_tables_are_grouped_right(bucketed):
+    _, stored, _ = bucketed
+    n = stored["quizzes"].count()
+    both = stored["quizzes"].select("quiz_id").unionByName(stored["quizzes"].select("quiz_id"))
+    assert both.groupBy("quiz_id").count().filter("count = 2").count() == n
