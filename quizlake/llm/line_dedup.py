@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,9 +13,23 @@ from quizlake.llm.columns import BLANKS, carried, lower_ascii, named, others_of,
 from quizlake.session import scratch_path, store_once
 
 KEY = ["hash_1", "hash_2"]
+# Lines that a bucket of all runs together may hold, as long as there are not too many buckets.
+_BUCKET_LINES, _MOST_BUCKETS = 500_000, 100_000
 _SMALLEST = -9_223_372_036_854_775_808
 
 
+@contextmanager
+def sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """Trust the order in which the one file of a bucket was written."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @dataclass
 class LineRuns:
     """Line hashes in sorted runs, level by level.
@@ -23,20 +39,36 @@ class LineRuns:
     so the first document to bring a line is the largest holding it. When a level has
     ``fanout`` runs they are merged into one run of the next level, so ``n`` batches leave
     about ``fanout * log(n)`` runs and each row is rewritten ``log(n)`` times.
+
+    Runs are tables bucketed and sorted by the hash, all into the same number of buckets, as is a batch
+    once its lines are counted. So a batch is merged with every run, and runs with each other,
+    bucket by bucket as they lie: nothing of a run is shuffled or sorted again.
     """
 
     spark: SparkSession
     fanout: int = 3
+    buckets: int = 8
     levels: list[list[DataFrame]] = field(default_factory=list)
+    tables: list[str] = field(default_factory=list)
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def _write(self, rows: DataFrame, level: int) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        ordered = rows.select(*KEY, "n_docs", "keeper").repartition(*KEY).sortWithinPartitions(*KEY)
-        self.levels[level].append(store_once(ordered, f"line-run-{level}"))
+    def _table(self, rows: DataFrame) -> DataFrame:
+        """``rows`` as a bucketed and sorted table. Rows that come out of a merge lie in their buckets already."""
+        path = scratch_path(self.spark, "line-run")
+        table = f"line_run_{path.rsplit('-', 1)[-1]}"
+        rows.write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(table)
+        self.tables.append(table)
+        return self.spark.table(table)
+
+    def merge(self, batch: DataFrame) -> DataFrame:
+        """A counted batch beside all runs: a line that none of them holds is kept by its largest document."""
+        known = F.lit(False)
+        for number, run in enumerate(self.runs()):
+            batch = batch.join(run.select(*KEY, F.lit(True).alias(f"in_{number}")), KEY, "left")
+            known = known | F.col(f"in_{number}").isNotNull()
+        return batch.select(*KEY, "n_docs", F.when(~known, F.col("largest")).alias("keeper"))
 
     def add(self, batch: DataFrame) -> None:
         """Add a batch of (hash_1, hash_2, doc_id), all its ids below those of earlier batches."""
@@ -45,34 +77,37 @@ class LineRuns:
                 F.count("*").alias("n_docs"), F.max("doc_id").alias("largest")
             )
         )
-        if known := self.runs():
-            seen = known[0].select(*KEY)
-            for run in known[1:]:
-                seen = seen.unionByName(run.select(*KEY))
-            counted = store_once(counted, "line-batch")
-            new = counted.join(seen, KEY, "left_anti").withColumn("keeper", F.col("largest"))
-            again = counted.join(seen, KEY, "left_semi").withColumn("keeper", F.lit(None).cast("long"))
-            counted = new.unionByName(again)
-        else:
-            counted = counted.withColumn("keeper", F.col("largest"))
-        self._write(counted, 0)
-        self._compact()
-
-    def _compact(self) -> None:
-        level = 0
-        while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
-            merged = self.merged(self.levels[level])
+        with sorted_buckets(self.spark):
+            counted = self._table(counted.repartition(self.buckets, *KEY))
+            merged = self.merge(counted)
+            self._append(self._table(merged) if self.runs() else merged, 0)
+
+    def _append(self, run: DataFrame, level: int) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(run)
+        if len(self.levels[level]) >= self.fanout:
+            merged = self._table(self.merged(self.levels[level]))
             self.levels[level] = []
-            self._write(merged, level + 1)
-            level += 1
+            self._append(merged, level + 1)
 
     def merged(self, runs: list[DataFrame] | None = None) -> DataFrame:
-        """One row per line hash over ``runs``, by default all of them."""
-        runs = self.runs() if runs is None else runs
-        rows = runs[0]
-        for run in runs[1:]:
-            rows = rows.unionByName(run)
-        return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+        """One row per line hash over ``runs``, by default all of them; two at a time, each pair as it lies."""
+        first, *others = self.runs() if runs is None else runs
+        for number, run in enumerate(others, 1):
+            other = run.select(*KEY, F.col("n_docs").alias("more"), F.col("keeper").alias("other"))
+            n_docs = F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))
+            keeper = F.greatest("keeper", "other")  # of both, at most one is not null
+            first = first.join(other, KEY, "full_outer").select(*KEY, n_docs.alias("n_docs"), keeper.alias("keeper"))
+            if number < len(others):
+                first = self._table(first)
+        return first
+
+    def forget(self) -> None:
+        """Take the runs' names from the catalog; their files lie in the scratch folder."""
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.levels, self.tables = [], []
 
 
 def _documents(docs: DataFrame, doc_id: str, text: str, *more: Column) -> DataFrame:
@@ -121,7 +156,7 @@ def drop_repeated_lines(
     spark = docs.sparkSession
     rows = store_once(line_rows(docs, doc_id, text, min_chars), "lines")
     cuts = _cuts(rows, batches)
-    runs = LineRuns(spark, fanout)
+    runs = LineRuns(spark, fanout, min(max(8, rows.count() // _BUCKET_LINES), _MOST_BUCKETS))
     for upper, lower in zip([None, *cuts], [*cuts, None]):
         batch = rows
         if upper is not None:
@@ -129,7 +164,11 @@ def drop_repeated_lines(
         if lower is not None:
             batch = batch.filter(F.col("doc_id") > lower)
         runs.add(batch)
-    repeated = runs.merged().filter(F.col("n_docs") >= min_docs).select(*KEY, "keeper")
+    # As a table of its own, so that the join below meets nothing but scans and a hot line can be cut.
+    with sorted_buckets(spark):
+        repeated = runs.merged().filter(F.col("n_docs") >= min_docs).select(*KEY, "keeper")
+        repeated = store_once(repeated, "repeated-lines")
+    runs.forget()
     dropped = (
         rows.join(repeated, KEY)
         .filter(F.col("doc_id") != F.col("keeper"))

@@ -97,6 +97,27 @@ def test_runs_are_levelled_and_exact(spark):
     }
 
 
+def test_runs_are_merged_as_they_lie(spark):
+    """No run, and no counted batch, is shuffled or sorted again."""
+    runs = line_dedup.LineRuns(spark, fanout=9, buckets=4)
+    for low in (200, 100):
+        runs.add(spark.range(low, low + 150).selectExpr("id % 170 hash_1", "id hash_2", "id doc_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with line_dedup.sorted_buckets(spark):
+            rows = spark.range(50).selectExpr("id hash_1", "id hash_2", "1L n_docs", "id largest")
+            counted = runs._table(rows.repartition(4, "hash_1", "hash_2"))
+            merge, compact = (f._jdf.queryExecution().executedPlan().toString() for f in (runs.merge(counted), runs.merged()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert merge.count("SortMergeJoin") == 2 and compact.count("SortMergeJoin") == 1
+    for plan in (merge, compact):
+        assert "Exchange" not in plan and "Sort [" not in plan
+    tables = list(runs.tables)
+    runs.forget()
+    assert tables and not any(spark.catalog.tableExists(table) for table in tables)
+
+
 def test_lines_leave_all_but_the_largest_document(documents):
     line = "This very line is longer than forty code points"
     rows = [(k, f"own {k}\n  {line.upper() if k % 2 else line}\nshort") for k in range(6)]
