@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizlake.functions.text import iso_seconds
-from quizlake.operators.keys import number_within
+from quizlake.operators.keys import number_within, rank_rows
 
 # List lengths.
 QUIZZES_LISTED = 50
@@ -39,6 +39,11 @@ def quiz_list(
     )
 
 
+def in_listed_order(listed: DataFrame, *order: str | Column) -> DataFrame:
+    """A list that one user is shown, with every row's place in it from 1."""
+    return rank_rows(listed, order, "place")
+
+
 def latest_quizzes(quizzes: DataFrame, per_module: int = QUIZZES_LISTED) -> DataFrame:
     """The newest quizzes of every module, with their place in the list from 1.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizlake.functions.text import (
@@ -10,7 +10,9 @@ from quizlake.functions.text import (
     fingerprint,
     preview,
     strip,
+    strip_left,
     strip_or_empty,
+    strip_right,
     thousands,
 )
 
@@ -45,6 +47,10 @@ NOTES:
 {notes}
 """
 
+# Pieces that the parts of a note are dealt into before its head is picked.
+PIECES = 64
+
+
 def note_route(file_name: Column) -> Column:
     """Which extractor a file goes to, by lower-cased extension; anything unknown is text."""
     name = F.lower(file_name)
@@ -69,15 +75,70 @@ def assemble_notes(parts: DataFrame) -> DataFrame:
     )
 
 
+def note_heads(parts: DataFrame, limit: int = PROMPT_CHARS) -> DataFrame:
+    """The first ``limit`` characters of every assembled note, and the length of the whole: note_id, text, n_chars.
+
+    The same as ``assemble_notes`` cut short, for readers that need no more, without the whole note in a
+    cell. Blanks at the note's ends are stripped, so it begins in its first part that is not
+    blank and ends in its last; its length is a sum over the parts between. Every part brings a
+    character at least, the line feed before the next, so only the ``limit`` parts behind the first can matter:
+    they are picked within salted pieces of a note first, then by a running length over what is left,
+    at most ``limit`` parts a piece.
+    """
+    part = F.coalesce(F.col("text"), F.lit("")).alias("text")
+    size = F.length("text")
+    lead, trail = size - F.length(strip_left(F.col("text"))), size - F.length(strip_right(F.col("text")))
+    measured = parts.select("note_id", "part_no", part).withColumns(
+        {"size": size.cast("bigint"), "blank": strip(F.col("text")) == ""}
+    )
+    ends = measured.groupBy("note_id").agg(
+        F.min(F.when(~F.col("blank"), F.struct("part_no", lead.alias("cut")))).alias("first"),
+        F.max(F.when(~F.col("blank"), F.struct("part_no", trail.alias("cut")))).alias("last"),
+    )
+    # A note's ends meet its parts in a join, which AQE cuts for a note of very many parts.
+    inside = measured.join(ends.filter(F.col("first").isNotNull()), "note_id").filter(
+        F.col("part_no").between(F.col("first.part_no"), F.col("last.part_no"))
+    )
+    lengths = inside.groupBy("note_id", "first", "last").agg(
+        (F.sum(F.col("size") + 1) - 1).alias("n_chars")
+    ).select("note_id", (F.col("n_chars") - F.col("first.cut") - F.col("last.cut")).alias("n_chars"))
+    in_piece = Window.partitionBy("note_id", "piece").orderBy("part_no")
+    in_order = Window.partitionBy("note_id").orderBy("part_no")
+    before = F.sum(F.col("size") + 1).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    # What the blanks in front take away is read on top of the limit.
+    heads = (
+        inside.select("note_id", "part_no", "size", F.col("first.cut").alias("cut"), "text")
+        .withColumn("piece", F.pmod("part_no", F.lit(PIECES)))
+        .repartition("note_id", "piece")  # or a window would stay where the join left the whole note
+        .withColumn("place", F.row_number().over(in_piece))
+        .filter(F.col("place") <= limit)
+        .withColumn("room", limit + F.col("cut") - F.coalesce(before, F.lit(0)))
+        .filter(F.col("room") > 0)
+        .select("note_id", F.struct("part_no", F.substring(F.col("text"), F.lit(1), F.least("room", "size").cast("int")).alias("text")).alias("part"))
+        .groupBy("note_id")
+        .agg(F.array_sort(F.collect_list("part")).alias("parts"))
+        .select("note_id", F.array_join(F.col("parts.text"), "\n").alias("text"))
+    )
+    shown = F.substring(strip_left(F.coalesce("text", F.lit(""))), 1, limit)
+    # The end of a note is stripped where it is in sight.
+    whole = F.coalesce("n_chars", F.lit(0).cast("bigint"))
+    found = ends.select("note_id").join(lengths, "note_id", "left").join(heads, "note_id", "left")
+    return found.select(
+        "note_id", F.substring(shown, F.lit(1), F.least(whole, F.lit(limit)).cast("int")).alias("text"), whole.alias("n_chars")
+    )
+
+
 def gate_notes(notes: DataFrame) -> DataFrame:
     """Route, cleaned text, status and message per note; nothing is dropped.
 
-    ``notes`` has note_id, file_name, text and, if an extractor ran, extract_error.
+    ``notes`` has note_id, file_name, text and, if an extractor ran, extract_error. Where it has n_chars,
+    text may be the head of a cleaned note of that length.
     """
+    whole = F.col("n_chars") if "n_chars" in notes.columns else F.lit(None).cast("bigint")
     error = F.col("extract_error") if "extract_error" in notes.columns else F.lit(None).cast("string")
     status = (
         F.when(error.isNotNull(), FAILED)
-        .when((F.col("route") == PDF) & (F.length("text") < PDF_MIN_CHARS), SCANNED)
+        .when((F.col("route") == PDF) & (F.coalesce("n_chars", F.length("text")) < PDF_MIN_CHARS), SCANNED)
         .when(F.col("text") == "", EMPTY)
         .otherwise(OK)
     )
@@ -86,8 +147,10 @@ def gate_notes(notes: DataFrame) -> DataFrame:
             "note_id",
             "file_name",
             note_route(F.col("file_name")).alias("route"),
-            strip_or_empty(F.col("text")).alias("text"),
+            # A head is clean already, and what it ends in may be the middle of its note.
+            F.when(whole.isNotNull(), F.col("text")).otherwise(strip_or_empty(F.col("text"))).alias("text"),
             error.alias("extract_error"),
+            whole.alias("n_chars"),
         )
         .withColumn("status", status)
         .select(
@@ -121,6 +184,17 @@ def fingerprint_notes(notes: DataFrame) -> DataFrame:
     return notes.select("note_id", fingerprint(F.col("text")).alias("notes_hash"))
 
 
+def duplicate_notes(notes: DataFrame) -> DataFrame:
+    """Every note with the smallest id of the notes of the same text, and how many they are.
+
+    Ids are counted by fingerprint before the shuffle; texts do not travel, and the notes of a text that
+    a third of all share meet a table of one row per fingerprint, a join that AQE cuts.
+    """
+    marked = fingerprint_notes(notes)
+    groups = marked.groupBy("notes_hash").agg(F.min("note_id").alias("first_note_id"), F.count("*").alias("copies"))
+    return marked.join(groups, "notes_hash").select("note_id", "first_note_id", "copies")
+
+
 def preview_notes(notes: DataFrame) -> DataFrame:
     size = F.length("text")
     return notes.select(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quizlake.functions.text import iso_minutes, percent_text
+from quizlake.operators.keys import rank_rows
 
 # The column headings of the history report.
 HISTORY_HEADINGS = {
@@ -47,16 +48,30 @@ def trend(performance: DataFrame) -> DataFrame:
     ).orderBy("user_id", "module_id", "timestamp", "performance_id")
 
 
+def placed(performance: DataFrame) -> DataFrame:
+    """Attempts with their place in time from 1 within user and module, a null time first.
+
+    The order is data here, for readers that get rows in any order. No user's attempts are sorted in
+    one task: places are counted over ranges.
+    """
+    return rank_rows(performance, ["timestamp", "performance_id"], "place", ["user_id", "module_id"])
+
+
+def trend_places(performance: DataFrame) -> DataFrame:
+    """The points of ``trend`` with their places along the line."""
+    return placed(performance).select("user_id", "module_id", "place", "performance_id", "timestamp", "percentage")
+
+
 def history(performance: DataFrame) -> DataFrame:
-    """The history report with minute precision and display headings, in the order of ``trend``.
+    """The history report with minute precision and display headings, each attempt with its place.
 
     The attempt's id stays as the key, since minutes alone do not tell attempts apart.
     """
-    ordered = performance.orderBy("user_id", "module_id", "timestamp", "performance_id")
-    return ordered.select(
+    return placed(performance).select(
         "user_id",
         "module_id",
         "performance_id",
+        "place",
         iso_minutes(F.col("timestamp")).alias("timestamp"),
         "score",
         "total",

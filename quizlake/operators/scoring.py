@@ -17,6 +17,7 @@ from quizlake.functions.text import percent_text
 
 # Fixed values.
 UNANSWERED = -1
+OPTIONS = 4
 
 
 def percentage(score: Column, total: Column) -> Column:
@@ -178,3 +179,24 @@ def result_lines(scored: DataFrame) -> DataFrame:
             percent_text(F.col("percentage")).alias("percent"),
         ).withColumn("result_line", line)
     )
+
+
+def question_difficulty(answers: DataFrame, questions: DataFrame) -> DataFrame:
+    """Per question: answers given, share of them right, and the share of each option in list order.
+
+    ``answers`` has question_id, user_answer and is_correct. One pass of conditional counts, added up
+    before the shuffle, so no option becomes a row; a question nobody answered has null shares.
+    An open question counts as answered wrong and as no option.
+    """
+    options = range(OPTIONS)
+    counts = [F.count_if(F.col("user_answer") == option).alias(f"_option_{option}") for option in options]
+    found = answers.groupBy("question_id").agg(
+        F.count("*").alias("answers"), F.sum("is_correct").alias("_right"), *counts
+    )
+    share = lambda n: F.try_divide(n, F.col("answers"))
+    return questions.select("question_id").join(found, "question_id", "left").select(
+        "question_id",
+        F.coalesce("answers", F.lit(0)).alias("answers"),
+        share(F.col("_right")).alias("share_correct"),
+        F.array(*[share(F.col(f"_option_{option}")) for option in options]).alias("option_shares"),
+    )

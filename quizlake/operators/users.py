@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizlake.functions.text import ascii_lower, is_email, strip_or_empty
@@ -53,11 +53,52 @@ def resolve_identifiers(lookups: DataFrame, users: DataFrame) -> DataFrame:
     return resolved.unionByName(blank)
 
 
-def _first_on_both_keys(open_rows: DataFrame) -> DataFrame:
-    """Rows no earlier undecided row can block: the first of their name and of their email."""
-    by_name = open_rows.groupBy("username").agg(F.min("seq").alias("seq"))
-    by_email = open_rows.groupBy("email").agg(F.min("seq").alias("seq"))
-    return by_name.join(by_email, "seq").select("seq", "username", "email")
+def _first_two(open_rows: DataFrame, key: str) -> DataFrame:
+    """Of every key its two earliest rows, and whom the later one follows; a hot key is limited before the shuffle."""
+    in_order = Window.partitionBy(key).orderBy("seq")
+    return (
+        open_rows.select("seq", key)
+        .withColumns({f"{key}_place": F.row_number().over(in_order), f"{key}_rival": F.min("seq").over(in_order)})
+        .filter(F.col(f"{key}_place") <= 2)
+        .drop(key)
+    )
+
+
+def _links(open_rows: DataFrame) -> DataFrame:
+    """Rows with at most one earlier rival: seq, the rival as ``to`` (null for none), and ``odd``.
+
+    A row without an earlier rival is accepted. A row with one is accepted if that rival is not.
+    """
+    both = _first_two(open_rows, "username").join(_first_two(open_rows, "email"), "seq")
+    by_name, by_email = F.col("username_place") == 2, F.col("email_place") == 2
+    two_rivals = by_name & by_email & (F.col("username_rival") != F.col("email_rival"))
+    to = F.when(by_name, F.col("username_rival")).when(by_email, F.col("email_rival"))
+    return both.filter(~two_rivals).select("seq", to.alias("to")).withColumn("odd", F.col("to").isNotNull())
+
+
+def _settled(links: DataFrame) -> DataFrame:
+    """seq of the rows that the links decide to accept.
+
+    Each step lets every link follow the link it points at, so a chain of n rivals takes log(n)
+    steps. What ends at a row without a rival is accepted after an even number of links; what ends at
+    a row with several rivals stays open.
+    """
+    while True:
+        ahead = links.filter(F.col("to").isNotNull()).select(
+            F.col("seq").alias("to"), F.col("to").alias("further"), F.col("odd").alias("odd_ahead")
+        )
+        if not links.join(ahead, "to", "left_semi").limit(1).count():
+            break
+        links = cut_lineage(
+            links.join(ahead, "to", "left").select(
+                "seq",
+                F.coalesce("further", "to").alias("to"),
+                (F.col("odd") != F.coalesce("odd_ahead", F.lit(False))).alias("odd"),
+            )
+        )
+    roots = links.filter(F.col("to").isNull()).select("seq")
+    even = links.filter(~F.col("odd") & F.col("to").isNotNull())
+    return roots.unionByName(even.join(roots.select(F.col("seq").alias("to")), "to", "left_semi").select("seq"))
 
 
 def _without_keys_of(rows: DataFrame, taken: DataFrame) -> DataFrame:
@@ -69,14 +110,16 @@ def _without_keys_of(rows: DataFrame, taken: DataFrame) -> DataFrame:
 def _accept(open_rows: DataFrame) -> DataFrame:
     """The rows a one-by-one insert would accept.
 
-    Each round accepts what is first on both keys and drops what that blocks; a row that was
-    itself dropped blocks nobody. Every round decides at least the earliest open row of each
-    cluster of rivals, so the number of rounds follows the longest chain of rivals.
+    Each round settles all rows that depend on one earlier rival at most, directly or along a
+    chain, accepts what that decides and drops what it blocks; a row that was itself dropped blocks nobody.
+    A chain, however long, is settled in one round of log(length) steps; every round decides at
+    least the earliest open row of each cluster of rivals.
     """
     open_rows = cut_lineage(open_rows.select("seq", "username", "email"))
     accepted = []
     while open_rows.limit(1).count():
-        winners = cut_lineage(_first_on_both_keys(open_rows))
+        chosen = _settled(cut_lineage(_links(open_rows)))
+        winners = cut_lineage(open_rows.join(chosen, "seq", "left_semi"))
         accepted.append(winners)
         open_rows = cut_lineage(
             _without_keys_of(open_rows, winners).select("seq", "username", "email")

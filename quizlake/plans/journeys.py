@@ -11,11 +11,12 @@ from quizlake.session import store_once
 
 
 def prompts_from_parts(parts: DataFrame, files: DataFrame, settings: DataFrame) -> DataFrame:
-    """Note parts to prompts: assemble, gate, join the request settings, fill the template.
+    """Note parts to prompts: head of the note, gate, join the request settings, fill the template.
 
-    ``files`` has note_id and file_name, ``settings`` note_id, num_questions and difficulty.
+    ``files`` has note_id and file_name, ``settings`` note_id, num_questions and difficulty. A prompt
+    shows a note's head only, so no note is put together whole.
     """
-    gated = notes.gate_notes(files.join(notes.assemble_notes(parts), "note_id"))
+    gated = notes.gate_notes(files.join(notes.note_heads(parts), "note_id"))
     return notes.build_prompts(notes.accepted_notes(gated).join(settings, "note_id"))
 
 

@@ -379,7 +379,34 @@ FROM performance GROUP BY user_id, module_id""",
 FROM performance GROUP BY user_id, module_id""",
     "performance_trend": """SELECT user_id, module_id, performance_id, "timestamp", percentage
 FROM performance""",
+    "trend_places": """SELECT user_id, module_id, row_number() OVER (PARTITION BY user_id, module_id
+    ORDER BY "timestamp" NULLS FIRST, performance_id NULLS FIRST) AS place, performance_id, "timestamp", percentage
+FROM performance""",
+    "module_list": """SELECT module_id, module_name, row_number() OVER (ORDER BY module_name NULLS FIRST) AS place
+FROM modules WHERE user_id = (SELECT min(user_id) FROM modules)""",
+    "quiz_list": """SELECT quiz_id, "timestamp", difficulty, row_number() OVER (ORDER BY quiz_id DESC) AS place
+FROM quizzes JOIN (SELECT user_id, module_id FROM quizzes ORDER BY quiz_id DESC LIMIT 1) USING (user_id, module_id)
+ORDER BY quiz_id DESC LIMIT 2""",
+    "loaded_quiz": """SELECT z.quiz_id, z.difficulty, z."timestamp",
+  concat('[', coalesce(d.body, ''), ']') AS questions
+FROM quizzes z LEFT JOIN (SELECT quiz_id, string_agg(to_json({'question_id': question_id,
+    'question': question_text, 'options': cast(options::json as varchar[]),
+    'answer': correct_answer, 'explanation': coalesce(explanation, '')})::varchar, ','
+    ORDER BY question_id) AS body FROM questions GROUP BY quiz_id) d USING (quiz_id)
+WHERE z.quiz_id = (SELECT max(quiz_id) FROM quizzes)""",
+    "question_difficulty": """SELECT question_id, count(g.submission_id) AS answers,
+  sum(g.is_correct) / nullif(count(g.submission_id), 0)::double AS share_correct,
+  CASE WHEN count(g.submission_id) > 0 THEN concat_ws(' ', format('{:.6f}', count(*) FILTER (g.user_answer = 0) / nullif(count(g.submission_id), 0)::double),
+    format('{:.6f}', count(*) FILTER (g.user_answer = 1) / nullif(count(g.submission_id), 0)::double),
+    format('{:.6f}', count(*) FILTER (g.user_answer = 2) / nullif(count(g.submission_id), 0)::double),
+    format('{:.6f}', count(*) FILTER (g.user_answer = 3) / nullif(count(g.submission_id), 0)::double)) END AS option_shares
+FROM questions q LEFT JOIN (SELECT question_id, submission_id, user_answer, is_correct FROM graded) g USING (question_id)
+GROUP BY question_id""",
+    "duplicate_notes": """SELECT note_id, min(note_id) OVER same AS first_note_id, count(*) OVER same AS copies
+FROM good_notes WINDOW same AS (PARTITION BY text)""",
     "performance_history": """SELECT user_id, module_id, performance_id,
+  row_number() OVER (PARTITION BY user_id, module_id
+    ORDER BY "timestamp" NULLS FIRST, performance_id NULLS FIRST) AS place,
   strftime("timestamp", '%Y-%m-%d %H:%M') AS "Date & Time", score AS "Score", total AS "Total",
   percentage AS "Percentage (%)" FROM performance""",
     "performance_sql": """SELECT user_id, module_id, "timestamp", score, total, percentage

@@ -165,6 +165,11 @@ def performance_history(data: QuizData) -> DataFrame:
     return progress.history(_performance(data))
 
 
+@_query
+def trend_places(data: QuizData) -> DataFrame:
+    return progress.trend_places(_performance(data))
+
+
 @_query
 def performance_sql(data: QuizData) -> DataFrame:
     return tables.query(
@@ -189,6 +194,39 @@ def module_quizzes(data: QuizData) -> DataFrame:
     return catalog.latest_quizzes(data.quizzes())
 
 
+@_query
+def module_list(data: QuizData) -> DataFrame:
+    """The list that the first user is shown, looked up in the stored modules."""
+    modules = _stored(data, data.modules(), "modules")
+    user_id = modules.agg(F.min("user_id")).first()[0]
+    return catalog.in_listed_order(catalog.module_list(modules, user_id), "module_name")
+
+
+@_query
+def quiz_list(data: QuizData) -> DataFrame:
+    """The newest quizzes of the module that holds the newest quiz, at most two, and their places."""
+    quizzes = _stored(data, data.quizzes(), "quizzes")
+    user_id, module_id = quizzes.agg(F.max_by(F.struct("user_id", "module_id"), "quiz_id")).first()[0]
+    listed = catalog.quiz_list(quizzes, user_id, module_id, 2)
+    return catalog.in_listed_order(listed, F.desc("quiz_id"))
+
+
+@_query
+def loaded_quiz(data: QuizData) -> DataFrame:
+    """The newest quiz, looked up in stored tables whose other buckets are not read."""
+    quizzes = _stored(data, data.quizzes(), "quizzes")
+    questions = _stored(data, data.questions(), "questions")
+    newest = quizzes.agg(F.max("quiz_id")).first()[0]
+    return catalog.load_quiz(quizzes, questions, newest).withColumn("questions", F.to_json("questions"))
+
+
+@_query
+def question_difficulty(data: QuizData) -> DataFrame:
+    found = scoring.question_difficulty(_answers(data), data.questions())
+    rounded = F.transform("option_shares", lambda share: F.format_string("%.6f", share))
+    return found.withColumn("option_shares", F.when(F.col("answers") > 0, F.array_join(rounded, " ")))
+
+
 @_query
 def modules_per_user(data: QuizData) -> DataFrame:
     return catalog.modules_per_user(data.modules(), LIST_LENGTH)
@@ -241,6 +279,11 @@ def note_fingerprints(data: QuizData) -> DataFrame:
     return notes.fingerprint_notes(notes.accepted_notes(_gated(data)))
 
 
+@_query
+def duplicate_notes(data: QuizData) -> DataFrame:
+    return notes.duplicate_notes(notes.accepted_notes(_gated(data)))
+
+
 @_query
 def note_previews(data: QuizData) -> DataFrame:
     return notes.preview_notes(notes.accepted_notes(_gated(data)))

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from quizlake.operators import notes
 from quizlake.plans.journeys import prompts_from_parts
 from quizlake.sources.note_files import notes_from_files, read_note_files, with_empty_files
+from tests.plans import initial_plan
 
 PARTS = "note_id bigint, part_no bigint, text string"
 
@@ -118,3 +120,19 @@ def test_parts_to_prompts(spark):
     got = prompts_from_parts(parts, files, settings).collect()
     assert [r["note_id"] for r in got] == [1]
     assert got[0]["prompt"].endswith("NOTES:\none\ntwo\n")
+
+
+def test_heads_equal_whole_notes_cut_short(spark):
+    """Blank parts and blanks at both ends, empty notes, and a note of a third of all parts."""
+    pick = random.Random(9)
+    texts = ["", " ", "\n\t", None, "a", " b ", "word", "  two words\u00a0", "x" * 7]
+    rows = [(n, p, pick.choice(texts)) for n in range(120) for p in range(pick.randrange(0, 14))]
+    rows += [(500, p, "y" * (p % 5)) for p in range(400)] + [(501, 0, "z" * 1000), (501, 1, None), (502, 3, None)]
+    pick.shuffle(rows)
+    parts = spark.createDataFrame(rows, "note_id bigint, part_no int, text string").repartition(5)
+    whole = {r.note_id: r.text for r in notes.assemble_notes(parts).collect()}
+    for limit in (1, 6, 25):
+        heads = notes.note_heads(parts, limit)
+        found = {r.note_id: (r.text, r.n_chars) for r in heads.collect()}
+        assert found == {n: (text[:limit], len(text)) for n, text in whole.items()}
+        assert re.search(r"hashpartitioning\(note_id#\d+L, piece", initial_plan(heads))

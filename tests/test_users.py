@@ -112,3 +112,17 @@ def test_import_has_no_nested_loop(spark):
     batch = spark.createDataFrame([(1, "b", "b@x.org")], BATCH)
     plan = final_plan(users.import_users(batch, people))
     assert count(plan, "BroadcastNestedLoopJoin") == count(plan, "CartesianProduct") == 0
+
+
+def test_a_long_chain_of_rivals_takes_few_rounds(spark, monkeypatch):
+    """Every row shares its name with the row before and its email with the one behind, or the other way."""
+    n = 10_000
+    batch = [(k, f"n{k // 2}", f"e{(k + 1) // 2}@x.org") for k in range(n)]
+    frame = spark.createDataFrame(batch, BATCH)
+    rounds = []
+    cut = users.cut_lineage
+    monkeypatch.setattr(users, "cut_lineage", lambda frame: rounds.append(1) or cut(frame))
+    verdicts = users.import_users(frame, spark.createDataFrame([], USERS))
+    got = {r["seq"]: r["message"] for r in verdicts.collect()}
+    assert len(rounds) < 20
+    assert got == one_by_one(batch, [])
