@@ -81,9 +81,9 @@ def note_heads(parts: DataFrame, limit: int = PROMPT_CHARS) -> DataFrame:
     The same as ``assemble_notes`` cut short, for readers that need no more, without the whole note in a
     cell. Blanks at the note's ends are stripped, so it begins in its first part that is not
     blank and ends in its last; its length is a sum over the parts between. Every part brings a
-    character at least, the line feed before the next, so only the ``limit`` parts behind the first can matter:
+    character at least, the line feed before the next, so only the first ``limit`` + 1 of them can matter:
     they are picked within salted pieces of a note first, then by a running length over what is left,
-    at most ``limit`` parts a piece.
+    at most so many parts a piece.
     """
     part = F.coalesce(F.col("text"), F.lit("")).alias("text")
     size = F.length("text")
@@ -111,9 +111,9 @@ def note_heads(parts: DataFrame, limit: int = PROMPT_CHARS) -> DataFrame:
         .withColumn("piece", F.pmod("part_no", F.lit(PIECES)))
         .repartition("note_id", "piece")  # or a window would stay where the join left the whole note
         .withColumn("place", F.row_number().over(in_piece))
-        .filter(F.col("place") <= limit)
+        .filter(F.col("place") <= limit + 1)
         .withColumn("room", limit + F.col("cut") - F.coalesce(before, F.lit(0)))
-        .filter(F.col("room") > 0)
+        .filter(F.col("room") >= 0)  # one that begins just behind the limit still brings its line feed
         .select("note_id", F.struct("part_no", F.substring(F.col("text"), F.lit(1), F.least("room", "size").cast("int")).alias("text")).alias("part"))
         .groupBy("note_id")
         .agg(F.array_sort(F.collect_list("part")).alias("parts"))
