@@ -436,6 +436,13 @@ FROM quizzes z LEFT JOIN (SELECT quiz_id, string_agg(to_json({'question_id': que
     "notes_assembled": f"""SELECT conv_id AS note_id, trim(string_agg(
   CASE WHEN (conv_id*7 + turn) % 9 <> 0 THEN text ELSE '' END, chr(10) ORDER BY turn), {_BLANK}) AS text
 FROM conversations GROUP BY conv_id""",
+    "note_files": f"""SELECT file_name, route,
+  CASE WHEN route = 'pdf' THEN 'scanned_or_empty' WHEN route <> 'text' OR text = '' THEN 'empty' ELSE 'ok' END AS status,
+  sha256(CASE WHEN route = 'text' THEN text ELSE '' END) AS text_hash,
+  CASE WHEN route = 'rtf' THEN sha256(concat(raw, chr(10))) END AS markup_hash,
+  CASE WHEN route NOT IN ('text', 'rtf') THEN cast(strlen(raw) + 1 + CASE WHEN note_id % 3 = 0 THEN 2 ELSE 0 END as int) END AS n_bytes
+FROM (SELECT note_id, file_name, coalesce(text, '') AS raw, trim(coalesce(text, ''), {_BLANK}) AS text,
+  replace(regexp_extract(lower(file_name), '[.]([a-z]+)$', 1), 'txt', 'text') AS route FROM raw_notes)""",
     "note_gate": """SELECT note_id, file_name, route, sha256(text) AS text, status, message FROM gated""",
     "notes_quarantined": """SELECT note_id, file_name, route, status, message FROM gated
 WHERE status <> 'ok'""",

@@ -14,7 +14,8 @@ from quizlake.operators.keys import assign_ids
 from quizlake.plans.derived import QuizData
 from quizlake.plans.journeys import prompts_from_parts, quizzes_from_responses
 from quizlake.session import configure, scratch_path, store_once
-from quizlake.sources import note_files, tables
+from quizlake.sources import note_files as note_files_source
+from quizlake.sources import tables
 from quizlake.streaming import submissions as feed
 
 RUN_TIME = "2024-01-01T00:00:00"
@@ -297,10 +298,32 @@ def notes_decoded(data: QuizData) -> DataFrame:
     files = data.notes().select(
         "note_id", F.when(F.col("note_id") % 3 == 0, broken).otherwise(content).alias("content")
     )
-    decoded = strip(note_files.decode_dropping_bad_bytes(F.col("content")))
+    decoded = strip(note_files_source.decode_dropping_bad_bytes(F.col("content")))
     return files.select("note_id", decoded.alias("text"))
 
 
+@_query
+def note_files(data: QuizData) -> DataFrame:
+    """Notes written as files of all extensions, some with bytes that are not UTF-8, read, routed and gated."""
+    content = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    broken = F.concat(F.unhex(F.lit("FF")), content, F.unhex(F.lit("C3")))
+    path = scratch_path(data.spark, "note-files")
+    written = data.notes().select(
+        "file_name", F.when(F.col("note_id") % 3 == 0, broken).otherwise(content).alias("content")
+    )
+    note_files_source.write_files(written, path)
+    found = note_files_source.notes_from_files(note_files_source.read_written_files(data.spark, path))
+    gated = notes.gate_notes(found.withColumn("note_id", F.col("file_name")))
+    kept = found.select(
+        F.col("file_name").alias("note_id"),
+        F.sha2("markup", 256).alias("markup_hash"),
+        F.octet_length("content").alias("n_bytes"),
+    )
+    return gated.join(kept, "note_id").select(
+        "file_name", "route", "status", fingerprint(F.col("text")).alias("text_hash"), "markup_hash", "n_bytes"
+    )
+
+
 @_query
 def prompts(data: QuizData) -> DataFrame:
     return notes.build_prompts(data.prompt_requests())

@@ -39,6 +39,31 @@ def read_note_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_files(rows: DataFrame, path: str) -> None:
+    """Every row (file_name, content as bytes) as a file, named by its folder ``file_name=<name>``.
+
+    Content ends in a line feed, as the text writer ends a line. Tasks write the files side by side, and
+    each task puts its own in place, as a driver that moves them one by one would be the bottleneck.
+    The number of tasks is fixed: files cost by their number, which AQE does not see.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (
+        rows.select("file_name", F.col("content").cast("string").alias("value"))
+        .repartition(tasks, "file_name")
+        .write.mode("errorifexists")
+        .partitionBy("file_name")
+        .option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        .text(path)
+    )
+
+
+def read_written_files(spark: SparkSession, path: str) -> DataFrame:
+    """path and content of files that ``write_files`` wrote, their path ending in the file's name."""
+    return read_note_files(spark, path).withColumn(
+        "path", F.regexp_replace("path", "/file_name=([^/]*)/[^/]*$", "/$1")
+    )
+
+
 def with_empty_files(files: DataFrame, uploads: DataFrame) -> DataFrame:
     """``files`` plus an empty file for every path of the upload log that was not listed."""
     unlisted = uploads.select("path").join(files.select("path"), "path", "left_anti")

@@ -9,7 +9,7 @@ from quizlake.plans.queries import registered
 from tests.plans import count, initial_plan
 
 FOLDER = "/root/testdata/sf0.001"
-NEEDS_PYTHON = {"notes_decoded"}
+NEEDS_PYTHON = {"notes_decoded", "note_files"}
 EAGER = {"streamed_attempts"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given tables not present")

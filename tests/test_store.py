@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quizlake import schemas
 from quizlake.operators import catalog, responses, scoring, store
 from quizlake.plans.journeys import quizzes_from_responses
-from quizlake.sources import tables
+from quizlake.sources import note_files, tables
 from tests.plans import initial_plan
 
 NOW = "2024-05-01T09:30:15"
@@ -212,3 +212,18 @@ def test_export_files(spark, tmp_path):
     line = spark.read.json(str(tmp_path / "out")).collect()[0]
     assert line["file_name"] == "quiz_42.json"
     assert json.loads(line["document"])["questions"][0]["question"] == "é"
+
+
+def test_one_indented_file_a_quiz(spark, tmp_path):
+    raw = spark.createDataFrame([(1, 1, quiz_json("é", "b")), (2, 1, quiz_json()), (3, 1, "no")], schemas.RESPONSES)
+    headers = spark.createDataFrame([(1, 42), (2, 43)], "request_id bigint, quiz_id bigint")
+    documents = responses.export_documents(responses.curated_quizzes(raw), pretty=True)
+    files = responses.export_files(documents, headers).withColumnRenamed("document", "content")
+    note_files.write_files(files, str(tmp_path / "out"))
+    found = {
+        row.path.rsplit("/", 1)[-1]: bytes(row.content).decode()
+        for row in note_files.read_written_files(spark, str(tmp_path / "out")).collect()
+    }
+    assert found.keys() == {"quiz_42.json", "quiz_43.json"}
+    assert [q["question"] for q in json.loads(found["quiz_42.json"])["questions"]] == ["é", "b"]
+    assert "\n  " in found["quiz_42.json"] and json.loads(found["quiz_43.json"]) == {"questions": []}
