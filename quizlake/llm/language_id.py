@@ -26,6 +26,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def drawn(doc_id: Column, share: Column) -> Column:
+    """Whether the hash of an id falls into ``share`` of its range."""
+    return (share >= 1) | (F.xxhash64(doc_id).cast("double") / 2.0**64 + 0.5 < share)
+
+
 def _folded() -> np.ndarray:
     """Bytes with A-Z lower-cased and every other ASCII byte that is no letter as a blank."""
     fold = np.arange(256, dtype=np.uint32)
@@ -76,6 +81,16 @@ def _count_batches(batches, langs: list[str]):
     )
 
 
+def _least_distance(code: np.ndarray, block: int = 1_000) -> int:
+    """In how many bits the two closest rows differ."""
+    whole, least = code.astype(np.float32), code.shape[1]
+    for start in range(0, len(code), block):
+        apart = (code.shape[1] - whole[start : start + block] @ whole.T) / 2
+        apart[np.arange(len(apart)), start + np.arange(len(apart))] = code.shape[1]
+        least = min(least, int(apart.min()))
+    return least
+
+
 def codewords(n: int, seed: int = 7, tries: int = 200) -> np.ndarray:
     """A row of +1/-1 bits per language: every split up to five languages, else random ones.
 
@@ -92,8 +107,7 @@ def codewords(n: int, seed: int = 7, tries: int = 200) -> np.ndarray:
     for _ in range(tries):
         code = random.choice(np.array([-1, 1], np.int8), (n, width))
         code = code[:, np.abs(code.sum(axis=0)) < n]
-        apart = (code[:, None, :] != code[None, :, :]).sum(axis=2) if n <= 200 else np.full((n, n), 1)
-        apart = int(apart[~np.eye(n, dtype=bool)].min())
+        apart = _least_distance(code)
         if apart > distance:
             best, distance = code, apart
     return best
@@ -131,9 +145,8 @@ def train(
         return Model([], codes, np.zeros((wide, 0), np.float32), np.zeros(0))
     share = F.lit(0.0)
     for name, n in sizes.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, train_docs / n))).otherwise(share)
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000
-    sample = rows.filter(chosen & F.col("text").isNotNull()).select("lang", "text")
+        share = F.when(F.col("lang") == name, F.lit(train_docs / n)).otherwise(share)
+    sample = rows.filter(drawn(F.col("doc_id"), share) & F.col("text").isNotNull()).select("lang", "text")
     counted = sample.mapInArrow(partial(_count_batches, langs=langs), "lang int, place int, n long")
     table = counted.groupBy("lang", "place").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(langs), wide))
