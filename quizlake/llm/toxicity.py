@@ -3,12 +3,13 @@
 A word that may be disguised (leetspeak, spaced-out letters, marks put in, letters repeated) opens
 a lattice: every character offers the letters it may stand for, at the channel's cost, or nothing.
 Viterbi takes the path that is cheapest under the channel and a character language model of the
-corpus. A logistic model over hashed words and word beginnings scores the text with its readings.
+corpus. A logistic model over hashed words and word beginnings scores the restored text alone.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 from functools import partial
 
@@ -19,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quizlake.llm.arrays import Spans, chunks, give_back, word_bounds
+from quizlake.llm.arrays import Spans, chunks, give_back, mixed, word_bounds
 from quizlake.llm.columns import others_of
-from quizlake.llm.language_id import held_out
+from quizlake.llm.language_id import drawn, held_out
 from quizlake.llm.pieces import Recent, kept_in_worker
 from quizlake.session import store_once
 
@@ -40,8 +41,11 @@ _STAND_IN, _REPEAT, _DROP, _PART, _MERE = 0.5, 0.5, 0.5, 1.5, 8.0
 # Plain words have figures or marks behind them, and a double letter, seldom several:
 # the cost of a letter of a pair is shared by the pairs of the word.
 _EDGE, _END, _PAIR = 4.0, 1.5, 9.0
-_SYMBOLS = 28
-_OTHER = 27
+# Symbols of the character model: blank 0, a to z 1 to 26, any other letter its code point. Blanks and
+# a to z are counted exactly, n-grams with other letters in this many slots by their length.
+_PLAIN = 27
+_SLOTS = {1: 1 << 16, 2: 1 << 18, 3: 1 << 20}
+_SMOOTH = 20
 
 _L, _S, _M = "A-Za-z", "".join(f"\\{c}" if not c.isalnum() else c for c in LEET), r".*_~^\-"
 # What may part spaced-out letters: ASCII blanks and marks that are no stand-ins, and wide blanks and dots.
@@ -58,56 +62,107 @@ _RUN = re.compile(r"([a-z])\1+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def _symbol(char: str) -> int:
+    """The symbol of a character: a letter's lower form; -1 for a combining mark, which is passed over."""
+    low = char.lower()[0]
+    if "a" <= low <= "z":
+        return ord(low) - 96
+    return ord(low) if low >= "\x80" and low.isalpha() else -1 if unicodedata.category(char)[0] == "M" else 0
+
+
 def _symbols() -> np.ndarray:
-    """Bytes to symbols: blank 0, letters 1 to 26, any other character 27, its further bytes 255."""
-    table = np.zeros(256, np.uint8)
-    for low in ("a", "A"):
-        table[ord(low) : ord(low) + 26] = np.arange(1, 27)
-    table[0x80:0xC0] = 255
-    table[0xC0:] = _OTHER
+    """Symbols of all code points."""
+    table = np.zeros(0x110000, np.int32)
+    table[:0x34000] = [_symbol(chr(code)) for code in range(0x34000)]
     return table
 
 
-_SYMBOL = _symbols()
+def _starts(order: int) -> tuple[int, int]:
+    """Where the exact counts and the slots of n-grams of ``order`` begin."""
+    start = sum(_PLAIN**k + _SLOTS[k] for k in range(1, order))
+    return start, start + _PLAIN**order
+
+
+def _places(grams: list[np.ndarray]) -> np.ndarray:
+    """Where the n-grams, given as one array of symbols a position, are counted."""
+    exact, slots = _starts(len(grams))
+    own = np.zeros(len(grams[0]), np.int64)
+    other = np.flatnonzero(np.maximum.reduce(grams) >= _PLAIN)
+    code = np.zeros(len(other), np.uint64)
+    for symbols in grams:
+        own = own * _PLAIN + symbols
+        code = code << np.uint64(21) | symbols[other].astype(np.uint64)
+    own[other] = slots - exact + (mixed(code) % np.uint64(_SLOTS[len(grams)])).astype(np.int64)
+    return exact + own
 
 
-def _count_trigrams(batches):
-    """Per task: counts of symbol trigrams, runs of blanks as one, every text between blanks."""
-    totals = np.zeros(_SYMBOLS**3, np.int64)
+def _count_grams(batches):
+    """Per task: counts of n-grams of symbols, runs of blanks as one, every text between blanks."""
+    table = kept_in_worker(("symbols",), _symbols)
+    totals = np.zeros(_starts(3)[1] + _SLOTS[3], np.int64)
     for batch in batches:
         for _, data, bounds in chunks(batch.column(0)):
-            symbols = np.insert(_SYMBOL[data], bounds, 0).astype(np.int32)
-            symbols = symbols[symbols != 255]
+            raw = np.insert(data, bounds, 32).tobytes().decode("utf-8", "replace")
+            symbols = table[np.frombuffer(raw.encode("utf-32-le"), np.uint32)]
+            symbols = symbols[symbols >= 0]
             symbols = symbols[np.insert((symbols[1:] != 0) | (symbols[:-1] != 0), 0, True)]
-            if len(symbols) > 2:
-                codes = (symbols[:-2] * _SYMBOLS + symbols[1:-1]) * _SYMBOLS + symbols[2:]
-                totals += np.bincount(codes, minlength=len(totals))
+            for order in _SLOTS:
+                if len(symbols) >= order:
+                    places = _places([symbols[k : len(symbols) - order + 1 + k] for k in range(order)])
+                    exact, slots = _starts(order)
+                    totals[exact:slots] += np.bincount(places[places < slots] - exact, minlength=slots - exact)
+                    np.add.at(totals, places[places >= slots], 1)
     found = np.flatnonzero(totals)
-    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(totals[found])], ["code", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(totals[found])], ["place", "n"])
 
 
-def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Costs (negative log probabilities) of a symbol after two others, over all of ``docs``.
-
-    Spark sums the trigram counts of every text; the table has 28^3 rows whatever the corpus.
+@dataclass
+class Characters:
+    """Counts of the n-grams of a corpus: ``places`` ascending, and the costs among blanks and a to z."""
+
+    places: np.ndarray
+    counts: np.ndarray
+
+    def __post_init__(self):
+        self.letters = max(int((self.places < _starts(2)[0]).sum()), 1)
+        self.total = float(self.counts[self.places < _starts(2)[0]].sum())
+        a, b, c = (axis.ravel() for axis in np.indices((_PLAIN,) * 3))
+        self.plain = self.costs(a, b, c).reshape((_PLAIN,) * 3)
+
+    def counted(self, *grams: np.ndarray) -> np.ndarray:
+        places = _places(list(grams))
+        at = np.minimum(np.searchsorted(self.places, places), len(self.places) - 1)
+        return np.where(self.places[at] == places, self.counts[at], 0.0) if len(self.places) else np.zeros(len(places))
+
+    def costs(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Negative log probabilities of symbols ``c`` after ``a`` and ``b``, smoothed by shorter contexts."""
+        alone = (self.counted(c) + 1) / (self.total + self.letters + 1)
+        after_one = (self.counted(b, c) + _SMOOTH * alone) / (self.counted(b) + _SMOOTH)
+        after_two = (self.counted(a, b, c) + _SMOOTH * after_one) / (self.counted(a, b) + _SMOOTH)
+        return np.maximum(-np.log(after_two), 0.0)
+
+
+def character_model(docs: DataFrame, text: str = "text") -> Characters:
+    """Counts of one, two and three symbols in a row over every text of ``docs``.
+
+    The alphabet is that of the corpus: every letter of any script is a symbol of its own. Spark sums the
+    counts; n-grams of blanks and a to z are counted exactly, the others in hashed slots, so that at most
+    1.4 million counts reach the driver and the tasks whatever the corpus. Null texts are left out;
+    without texts every symbol costs the same.
     """
     rows = docs.select(F.col(text).cast("string").alias("text")).filter(F.col("text").isNotNull())
-    counted = rows.mapInArrow(_count_trigrams, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(_SYMBOLS**3)
-    counts[counted["code"].to_numpy()] = counted["n"].to_numpy()
-    three = counts.reshape(_SYMBOLS, _SYMBOLS, _SYMBOLS)
-    two, one = three.sum(axis=0), three.sum(axis=(0, 1))
-    base = (one + 1) / (one.sum() + _SYMBOLS)
-    after_one = (two + 20 * base) / (two.sum(axis=1, keepdims=True) + 20)
-    after_two = (three + 20 * after_one[None]) / (three.sum(axis=2, keepdims=True) + 20)
-    return -np.log(after_two)
+    counted = rows.mapInArrow(_count_grams, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    counted = counted.sort_values("place")
+    return Characters(counted["place"].to_numpy(np.int32), counted["n"].to_numpy(np.float64))
 
 
 class Restorer:
     """Restores disguised words of texts under a character model."""
 
-    def __init__(self, costs: np.ndarray):
-        self.costs = costs.tolist()
+    def __init__(self, characters: Characters):
+        self.characters = characters
+        self.plain = characters.plain.tolist()
+        self.others: dict[tuple[int, int, int], float] = {}
         self.suspect = _STRETCH
         self.memo = Recent(lambda words: [*map(self.changed, words)], 100_000)
 
@@ -117,10 +172,20 @@ class Restorer:
         made = self.word(word) if stands else ""
         return "" if made.split() == stands else made
 
-    def word(self, word: str) -> str:
-        """The cheapest reading of a disguised word: letters, and blanks where it is cut."""
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        before, word = "", word.lower()
+    def cost(self, a: int, b: int, c: int) -> float:
+        """What symbol ``c`` costs after ``a`` and ``b``."""
+        if a < _PLAIN and b < _PLAIN and c < _PLAIN:
+            return self.plain[a][b][c]
+        if (a, b, c) not in self.others:
+            if len(self.others) >= 100_000:
+                self.others.clear()
+            self.others[a, b, c] = float(self.characters.costs(*(np.array([k]) for k in (a, b, c)))[0])
+        return self.others[a, b, c]
+
+    @staticmethod
+    def lattice(word: str) -> list[list[tuple[int | None, str, float]]]:
+        """For every character of a word what it may stand for: symbol (none if dropped), text, channel's cost."""
+        before, word, offered = "", word.lower(), []
         last = max((k for k, char in enumerate(word) if char.isalpha()), default=len(word))
         runs = [len(found.group()) for found in _RUN.finditer(word)]
         pair = _PAIR / max(runs.count(2), 1)
@@ -132,13 +197,20 @@ class Restorer:
                     double = word[k + 1 : k + 2] != char and word[max(k - 2, 0) : k - 1] != char
                     options.append((None, "", pair if double else _REPEAT))
             elif ord(char) >= 0x80 and char.isalpha():
-                options.append((_OTHER, char, 0.0))
+                options.append((ord(char), char, 0.0))
             else:
                 letters = LEET.get(char, "")
                 mere = 0.0 if not letters else _MERE if k < last else _END if char == "!" else _EDGE
                 options += [(ord(letter) - 96, letter, _STAND_IN) for letter in letters]
                 options += [(0, " ", _PART + mere), (None, "", _DROP + mere)]
             before = char
+            offered.append(options)
+        return offered
+
+    def word(self, word: str) -> str:
+        """The cheapest reading of a disguised word: letters, and blanks where it is cut."""
+        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        for options in self.lattice(word):
             reached: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (cost, text) in paths.items():
                 for symbol, letter, price in options:
@@ -147,11 +219,11 @@ class Restorer:
                     if symbol is None:
                         state, total, made = (a, b), cost + price, text
                     else:
-                        state, total, made = (b, symbol), cost + price + self.costs[a][b][symbol], text + letter
+                        state, total, made = (b, symbol), cost + price + self.cost(a, b, symbol), text + letter
                     if state not in reached or total < reached[state][0]:
                         reached[state] = (total, made)
             paths = reached
-        ended = [(cost + (self.costs[a][b][0] if b else 0.0), text) for (a, b), (cost, text) in paths.items()]
+        ended = [(cost + (self.cost(a, b, 0) if b else 0.0), text) for (a, b), (cost, text) in paths.items()]
         return min(ended)[1]
 
     def text(self, text: str) -> str:
@@ -185,14 +257,16 @@ class Restorer:
         return pc.replace_with_mask(texts, mask, made)
 
 
-def restorer(costs: np.ndarray) -> Restorer:
-    return kept_in_worker(("restorer", hash(costs.tobytes())), lambda: Restorer(costs))
+def restorer(characters: Characters) -> Restorer:
+    mark = hash((characters.places.tobytes(), characters.counts.tobytes()))
+    return kept_in_worker(("restorer", mark), lambda: Restorer(characters))
 
 
 def _features(texts: pa.Array):
     """(number of the text, hashed feature) of every word and word beginning, in text order.
 
-    A word with a letter repeated also counts as the word without the repetition.
+    A word with a letter repeated also counts as the word without the repetition: of one double letter
+    the lattice cannot tell whether it belongs there.
     """
     lower = np.arange(256, dtype=np.uint8)
     lower[ord("A") : ord("Z") + 1] += 32
@@ -217,17 +291,11 @@ def _features(texts: pa.Array):
         yield first + np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made]).astype(np.int64)
 
 
-def _with(texts: pa.Array, restored: pa.Array) -> pa.Array:
-    """The texts, and behind those with a restored word the reading: neither hides the other's words."""
-    changed = pc.not_equal(texts, restored)
-    return pc.if_else(changed, pc.binary_join_element_wise(texts, restored, " "), texts)
-
-
-def _sample_batches(batches, costs: np.ndarray):
-    read = restorer(costs)
+def _sample_batches(batches, characters: Characters):
+    read = restorer(characters)
     for batch in batches:
         texts = read.all(batch.column(1))
-        pairs = [own * (1 << _BITS) + feature for own, feature in _features(_with(batch.column(1), texts))]
+        pairs = [own * (1 << _BITS) + feature for own, feature in _features(texts)]
         pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
         ends = np.searchsorted(pairs >> _BITS, np.arange(len(texts) + 1))
         features = pa.ListArray.from_arrays(
@@ -238,7 +306,7 @@ def _sample_batches(batches, costs: np.ndarray):
 
 @dataclass
 class Model:
-    costs: np.ndarray
+    characters: Characters
     features: np.ndarray
     weights: np.ndarray
     bias: float
@@ -256,10 +324,11 @@ def train(
 
     Labelled rows outside the held-out fold are drawn by a hash of the id. Candidate features
     are the ``features`` that tell the labels apart best by likelihood ratio, found by Spark
-    over the sample. Both numbers bound what reaches the driver. Without labels of both kinds
+    over the sample, of those that at least five toxic rows of it hold and at least one in two hundred,
+    and that toxic rows hold over three times as often. Both numbers bound what reaches the driver. Without labels of both kinds
     the model is the share of toxic labels, or one half.
     """
-    costs = character_model(docs, text)
+    characters = character_model(docs, text)
     known = (
         labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
         .filter(F.col("toxic").isin(0, 1) & F.col("label_id").isNotNull() & ~held_out(F.col("label_id")))
@@ -271,20 +340,20 @@ def train(
     none = np.zeros(0, np.int64)
     if len(sizes) < 2:
         share = (sizes.get(1, 0) + 0.5) / (n + 1)
-        return Model(costs, none, none.astype(float), float(np.log(share / (1 - share))))
-    drawn = known.filter(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < min(1.0, train_rows / n) * 1_000_000)
+        return Model(characters, none, none.astype(float), float(np.log(share / (1 - share))))
+    chosen_ids = known.filter(drawn(F.col("label_id"), F.lit(train_rows / n)))
     # At most about train_rows narrow rows: bounded by the parameter.
     rows = docs.select(F.col(doc_id).cast("long").alias("label_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sample = rows.join(F.broadcast(drawn), "label_id").select("toxic", "text")
+    sample = rows.join(F.broadcast(chosen_ids), "label_id").select("toxic", "text")
     sample = store_once(
-        sample.mapInArrow(partial(_sample_batches, costs=costs), "toxic int, features array<int>"), "toxic-sample"
+        sample.mapInArrow(partial(_sample_batches, characters=characters), "toxic int, features array<int>"), "toxic-sample"
     ).withColumn("row", F.monotonically_increasing_id())
     sample = store_once(sample, "toxic-rows")
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     ones, zeros = totals.get(1, 0), totals.get(0, 0)
     if not ones or not zeros:
         share = (ones + 0.5) / (ones + zeros + 1)
-        return Model(costs, none, none.astype(float), float(np.log(share / (1 - share))))
+        return Model(characters, none, none.astype(float), float(np.log(share / (1 - share))))
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     gain = F.abs(a * F.log(a / (ones + 1)) - a * F.log((a + b) / (ones + zeros + 2)))
     best = (
@@ -315,7 +384,7 @@ def train(
         labels_made.append(np.ones(len(own)))
     row, column, label = map(np.concatenate, (rows_made, columns_made, labels_made))
     weights, bias = _logistic(row, column, label, len(chosen))
-    return Model(costs, chosen, weights, bias)
+    return Model(characters, chosen, weights, bias)
 
 
 def _logistic(row, column, label, width: int, steps: int = 1000, rate: float = 0.1, penalty: float = 1e-5):
@@ -335,14 +404,14 @@ def _logistic(row, column, label, width: int, steps: int = 1000, rate: float = 0
 
 
 def _score_batches(batches, model: Model, carry: bool):
-    read = restorer(model.costs)
+    read = restorer(model.characters)
     weights = np.zeros(1 << _BITS)
     weights[model.features] = model.weights
     for batch in batches:
         given = batch.column(1).fill_null("")
         texts = read.all(given)
         margin = np.full(len(texts), model.bias)
-        for own, feature in _features(_with(given, texts)):
+        for own, feature in _features(texts):
             found = np.flatnonzero(weights.take(feature))
             if len(found):
                 pairs = np.unique(own[found] * (1 << _BITS) + feature[found])
