@@ -18,13 +18,15 @@ from quizlake.llm.pieces import kept_in_worker, spaced_words
 from quizlake.session import store_once
 
 _SHIFT = 44
+# Bytes of text encoded together.
+CHUNK = 6_000_000
 
 
-def _piece_batches(batches, path: str, end_id: int, capacity: int):
+def _piece_batches(batches, path: str, end_id: int, capacity: int, chunk: int):
     table = kept_in_worker(("spaced", path), partial(spaced_words, path))
     for batch in batches:
         doc_ids, rows, at = batch.column(0).to_pylist(), [], 0
-        for ids, ends in table.ids(batch.column(1)):
+        for ids, ends in table.ids(batch.column(1), chunk):
             first = 0
             for end in ends.tolist():
                 data = ids[first:end].tobytes() + end_id.to_bytes(4, "little")
@@ -44,16 +46,23 @@ def _piece_batches(batches, path: str, end_id: int, capacity: int):
 
 
 def token_pieces(
-    docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    path: str,
+    end_id: int = 0,
+    capacity: int = 2048,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """Documents as token pieces of at most ``capacity``: doc_id, piece, start, length, ids_crc32.
 
     The ids are those of the ``tokenizers`` library for the whole text, then ``end_id``. Only
-    longer documents are cut; the first piece takes what the full ones leave over.
+    longer documents are cut; the first piece takes what the full ones leave over. About ``chunk``
+    bytes of text are encoded together: fewer take less memory and more time, with the same result.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return rows.mapInArrow(partial(_piece_batches, path=path, end_id=end_id, capacity=capacity), schema)
+    return rows.mapInArrow(partial(_piece_batches, path=path, end_id=end_id, capacity=capacity, chunk=chunk), schema)
 
 
 def plan_packing(
@@ -179,6 +188,8 @@ def pack_pieces(
     return ranked.mapInPandas(partial(_place, slots=_slots(plan)), f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, **options) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, path: str, end_id: int = 0, capacity: int = 2048, chunk: int = CHUNK, **options
+) -> DataFrame:
     """``token_pieces`` of ``docs`` packed by ``pack_pieces``. Null texts are the end id alone."""
-    return pack_pieces(token_pieces(docs, path, end_id, capacity), capacity, **options)
+    return pack_pieces(token_pieces(docs, path, end_id, capacity, chunk=chunk), capacity, **options)

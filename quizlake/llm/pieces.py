@@ -123,10 +123,10 @@ class WordTable:
                 values[k] = self.join(values[k], tail)
         return values
 
-    def cut(self, texts: pa.Array) -> Iterator[tuple[pa.Array | None, pa.Array, list]]:
+    def cut(self, texts: pa.Array, most: int = _CHUNK) -> Iterator[tuple[pa.Array | None, pa.Array, list]]:
         """(offsets, word numbers, encodings) per chunk of texts, in order.
 
-        A chunk holds whole texts of about 6 MB together, or one longer text; texts that are
+        A chunk holds whole texts of about ``most`` bytes together, or one longer text; texts that are
         not cut come alone with offsets None and their own encoding.
         """
         if self.lead:
@@ -141,7 +141,7 @@ class WordTable:
                 start += 1
                 continue
             stop, held = start, 0
-            while stop < len(texts) and not uneven[stop] and (stop == start or held + sizes[stop] <= _CHUNK):
+            while stop < len(texts) and not uneven[stop] and (stop == start or held + sizes[stop] <= most):
                 held += sizes[stop]
                 stop += 1
             chunk = texts.slice(start, stop - start)
@@ -155,9 +155,9 @@ class WordTable:
             yield words.offsets, numbers.indices, self.of(numbers.dictionary)
             start = stop
 
-    def ids(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def ids(self, texts: pa.Array, most: int = _CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, end of each text in them) per chunk; for encodings of 4-byte ids."""
-        for offsets, numbers, encodings in self.cut(texts):
+        for offsets, numbers, encodings in self.cut(texts, most):
             flat = np.frombuffer(b"".join(encodings), "<u4")
             if offsets is None:
                 yield flat, np.array([len(flat)])

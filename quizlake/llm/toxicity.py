@@ -114,6 +114,7 @@ def _count_grams(batches):
                     np.add.at(totals, places[places >= slots], 1)
     found = np.flatnonzero(totals)
     yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(totals[found])], ["place", "n"])
+    give_back()
 
 
 @dataclass
