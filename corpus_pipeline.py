@@ -65,7 +65,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts count as empty, which is the end mark alone; repeated rows are packed each; an
     empty table gives no rows. Only doc_id and text are read, so other columns cannot clash.
     """
-    return packing.pack_documents(docs, tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, tokenizers.path("byte_bpe_50k.json"), chunk=2_000_000)
 
 
 STAGES = [
