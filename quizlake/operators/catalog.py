@@ -92,6 +92,7 @@ def default_quizzes(
 
 
 def quiz_labels(quizzes: DataFrame) -> DataFrame:
+    # Fixed values.
     label = F.concat(
         F.lit("Quiz #"),
         F.col("quiz_id").cast("string"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quizlake.session import store_once
@@ -19,32 +19,45 @@ def _shift_left_sum(bucket_columns: list[str], within: list[str]) -> Column:
     return F.coalesce(F.sum("_n").over(window), F.lit(0))
 
 
+def bucket_digits(spark: SparkSession) -> int:
+    """Hexadecimal digits for one bucket a shuffle partition or more, and 4,096 buckets at least.
+
+    Partitions are sized by the data, so a bucket holds no more rows than a partition should.
+    """
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    digits = 3
+    while 16**digits < partitions:
+        digits += 1
+    return digits
+
+
 def assign_ids(
     rows: DataFrame,
     id_column: str,
     key_columns: list[str],
     position_column: str | None = None,
     existing: DataFrame | None = None,
-    hex_digits: int = 3,
+    hex_digits: int | None = None,
     span_bits: int = SPAN_BITS,
 ) -> DataFrame:
     """Give each row ``max(existing) + 1, + 2, ...`` without gaps, and the same on every run.
 
     Rows are ranked by the MD5 of their key, so the first ``hex_digits`` digits cut them into
-    16**hex_digits even buckets (raise it with the data). Each bucket is numbered by its own
-    task; what precedes a bucket comes from a running sum over the bucket counts, a table of
+    16**hex_digits even buckets (``bucket_digits`` unless given). Each bucket is numbered by its
+    own task; what precedes a bucket comes from a running sum over the bucket counts, a table of
     at most 16**hex_digits rows times the number of position spans. Rows of one key keep the
     order of ``position_column`` and are cut into spans of 2**span_bits positions, so a key
     that holds a large share of the rows is numbered by many tasks.
 
     (key, position) must be unique; the ids are then independent of the partitioning, which a
-    recomputed task may change.
+    recomputed task may change, and of ``hex_digits`` while positions stay within one span.
     """
+    digits = hex_digits or bucket_digits(rows.sparkSession)
     text_key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key_columns]
     position = (F.col(position_column) if position_column else F.lit(0)).cast("bigint")
     keyed = (
         rows.withColumn("_hash", F.md5(F.concat_ws("/", *text_key)))
-        .withColumn("_bucket", F.substring("_hash", 1, hex_digits))
+        .withColumn("_bucket", F.substring("_hash", 1, digits))
         .withColumn("_span", F.shiftright(position, span_bits))
     )
     buckets = ["_bucket", "_span"]

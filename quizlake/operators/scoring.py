@@ -151,6 +151,7 @@ def review_lines(
 
 def grade_band(percent: Column) -> Column:
     """Decided on the unrounded percentage."""
+    # Fixed values.
     return (
         F.when(percent >= 90, "Outstanding!")
         .when(percent >= 75, "Great job!")

@@ -9,11 +9,12 @@ import re
 
 _MODULE = "(o_custkey*5 + cast(substr(o_orderpriority,1,1) as bigint) - 1)"
 
-# Python's str.strip() characters, as far as the derived texts use them.
+# Python's str.strip() characters, as far as the derived texts use them.
 _BLANK = r"concat(E' \t\n\r', chr(160), chr(12288))"
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# The prompt sent to the model.
 _PROMPT = """You are an expert quiz generator. Create <<N>> multiple-choice questions based ONLY on the provided notes.
 
 Difficulty level: <<D>>

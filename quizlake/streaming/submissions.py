@@ -26,6 +26,7 @@ from quizlake.operators.scoring import (
 from quizlake.operators.store import latest_submissions
 from quizlake.schemas import SUBMISSION_EVENTS
 
+# Why a form is refused.
 UNKNOWN_QUIZ = "Quiz not found"
 INCOMPLETE = "Please answer all questions. Missing: "
 

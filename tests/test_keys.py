@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quizlake.operators.keys import assign_ids, number_within, rank_rows
+from quizlake.operators.keys import assign_ids, bucket_digits, number_within, rank_rows
 
 
 def test_ids_are_dense_and_repeatable(spark):
@@ -37,6 +37,28 @@ def test_ids_of_a_hot_key_keep_their_order_across_spans(spark):
         assert ids == sorted(ids)
 
 
+def test_buckets_follow_the_shuffle_partitions(spark):
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    try:
+        for partitions, digits in ((1, 3), (4096, 3), (4097, 4), (65536, 4), (10**6, 5)):
+            spark.conf.set(name, partitions)
+            assert bucket_digits(spark) == digits
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_ids_do_not_depend_on_the_number_of_buckets(spark):
+    rows = [(k, p) for k in range(60) for p in range(k % 5 + 1)] + [(None, 0), (None, 1)]
+    batch = spark.createDataFrame(rows, "k int, p int")
+    runs = [
+        {(r["k"], r["p"]): r["id"] for r in assign_ids(batch, "id", ["k"], "p", hex_digits=digits).collect()}
+        for digits in (1, 2, None, 5)
+    ]
+    assert all(run == runs[0] for run in runs)
+    assert sorted(runs[0].values()) == list(range(1, len(rows) + 1))
+
+
 def test_numbers_within_a_key(spark):
     random.seed(5)
     ids = random.sample(range(10**17, 10**17 + 20_000), 3000)
