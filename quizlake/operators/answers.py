@@ -93,7 +93,8 @@ def _stage(answers: DataFrame, submissions: DataFrame, root: str, path: str, hig
     winners = store_once(last_wins(stored, batch), "answer-winners")
     kept = stored.join(winners, OWNER, "left_anti")
     given = answers.select("submission_id", "question_id", "user_answer", "is_correct")
-    fresh = winners.join(given, "submission_id", "left").withColumn("part", _part(parts))
+    # Numbered rows are counted and then numbered; what can be made anew from a row stays out of the exchange.
+    fresh = store_once(winners.drop("part").join(given, "submission_id", "left"), "answers-fresh")
     numbered = assign_ids(
         fresh.filter(F.col("question_id").isNotNull()),
         "answer_id",
@@ -102,5 +103,6 @@ def _stage(answers: DataFrame, submissions: DataFrame, root: str, path: str, hig
     )
     cleared = fresh.filter(F.col("question_id").isNull()).withColumn("answer_id", F.lit(None).cast("bigint"))
     columns = [f.name for f in kept.schema]
-    out = kept.unionByName(numbered.select(*columns)).unionByName(cleared.select(*columns))
+    added = numbered.unionByName(cleared).withColumn("part", _part(parts))
+    out = kept.unionByName(added.select(*columns))
     out.write.mode("overwrite").parquet(path)
