@@ -1,0 +1,86 @@
+"""What a query writes and deals out: files side by side, narrow exchanges, one parse and one exchange of payloads."""
+
+import glob
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from quizlake.operators import responses, store
+from quizlake.operators.keys import assign_blocks, assign_ids
+from quizlake.plans.derived import QuizData
+from quizlake.schemas import RESPONSES
+from quizlake.session import configure, store_bucketed
+from quizlake.sources import note_files
+
+GOOD = '{"questions":[{"question":"%s","options":["a","b","c","d"],"answer":1}]}'
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_note_files_need_no_folder_each(spark, tmp_path):
+    rows = [("a.txt", b"one"), ("b:c.txt", b"\xff"), ("_d.txt", None), ("twice.txt", b"x"), ("twice.txt", b"x"), (None, b"n")]
+    path = str(tmp_path / "out")
+    note_files.write_files(spark.createDataFrame(rows, "file_name string, content binary"), path)
+    found = note_files.read_written_files(spark, path).collect()
+    assert {row.path.rsplit("/", 1)[-1]: bytes(row.content) for row in found} == {
+        "a.txt": b"one\n", "b%3Ac.txt": b"\xff\n", "_d.txt": b"\n", "twice.txt": b"x\nx\n",
+        "__HIVE_DEFAULT_PARTITION__": b"n\n",
+    }
+    assert all(os.path.isfile(name) for name in glob.glob(f"{path}/*/file_name=*"))
+    assert not glob.glob(f"{path}/*/.unfinished*")
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        note_files.write_files(spark.createDataFrame(rows, "file_name string, content binary"), path)
+
+
+def test_numbering_deals_rows_out_once_and_without_their_hash(spark):
+    rows = spark.range(1000).repartition(7).select(F.col("id").alias("key"), F.lit("x").alias("rest"))
+    numbered = assign_ids(rows, "number", ["key"])
+    dealt = [line for line in plan_of(numbered).splitlines() if "Exchange hashpartitioning" in line and "_bucket" in line]
+    assert len(dealt) == 2  # the rows, and the counts of the buckets
+    exchanged = plan_of(numbered)[: plan_of(numbered).index("Exchange hashpartitioning")]
+    assert "md5" in exchanged  # made behind the exchange
+    assert sorted(row.number for row in numbered.collect()) == list(range(1, 1001))
+
+
+def test_blocks_number_as_single_rows_do(spark):
+    rows = spark.range(300).select(F.col("id").alias("request_id"), (F.col("id") % 4).cast("int").alias("n"))
+    positions = F.posexplode(F.array_repeat(F.lit(0), F.col("n"))).alias("position", "zero")
+    members = rows.filter("n > 0").select("request_id", positions)
+    single = {(r.request_id, r.position): r.number for r in assign_ids(members, "number", ["request_id"], "position").collect()}
+    places = {r.request_id: r.number for r in assign_ids(rows, "number", ["request_id"]).collect()}
+    blocks = assign_blocks(rows, "place", "before", "request_id", F.col("n")).collect()
+    assert {r.request_id: r.place for r in blocks} == places
+    made = {(r.request_id, k): r.before + k + 1 for r in blocks for k in range(r.request_id % 4)}
+    assert made == single
+
+
+def test_question_texts_are_not_dealt_out_by_number(spark):
+    raw = [(k, 1, GOOD % k) for k in range(40)]
+    curated = responses.curated_quizzes(spark.createDataFrame(raw, RESPONSES), whole=False)
+    ids = store_bucketed(store.quiz_ids(curated, None), "ids", "request_id")
+    made = store.question_rows(curated, ids, None, ids)
+    assert "Window" not in plan_of(made) and "Exchange hashpartitioning" not in plan_of(made)
+    assert sorted(row.question_id for row in made.collect()) == list(range(1, 41))
+
+
+def test_curation_parses_and_deals_out_once_and_takes_the_first_valid(spark):
+    raw = [(1, 1, "no"), (1, 2, GOOD % "x"), (1, 3, GOOD % "y"), (2, 1, "no"), (3, 4, GOOD % "late"), (None, 1, GOOD % "z"), (4, None, GOOD % "w")]
+    curated = responses.curated_quizzes(spark.createDataFrame(raw, RESPONSES), whole=False)
+    assert "Exchange" not in plan_of(curated.groupBy("request_id").count())
+    assert [(r.request_id, r.attempt, r.questions[0].question) for r in curated.collect()] == [(1, 2, "x")]
+
+
+def test_stored_lines_are_dealt_out_by_quiz(spark, tmp_path):
+    lines = spark.range(400).select(
+        (F.col("id") % 50).alias("l_orderkey"), (F.col("id") % 7).cast("int").alias("l_linenumber"),
+        F.col("id").alias("l_partkey"), (F.col("id") * 3).alias("l_suppkey"),
+    )
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    plain = QuizData(configure(spark), str(tmp_path))
+    stored = QuizData(spark, str(tmp_path)).with_stored_lines()
+    assert sorted(map(str, stored.questions().collect())) == sorted(map(str, plain.questions().collect()))
+    per_quiz = stored.questions().groupBy("quiz_id").count()
+    assert "Exchange" not in plan_of(per_quiz)
