@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quizlake import schemas
 from quizlake.functions import quiz_json
 from quizlake.operators import responses
+from quizlake.plans.queries import registered
 from tests.plans import count, initial_plan
 
 Q = '{"question":"q","options":["a","b","c","d"],"answer":0}'
@@ -278,3 +279,28 @@ def test_curation_parses_each_text_once(spark, whole):
     plan = curated._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 0
     assert ("generated" in curated.columns) == whole
+
+
+def test_one_reader_of_curated_responses_stores_nothing(spark, rows_of):
+    """The winners as the store has them, each text parsed once, without a store."""
+    good = '{"questions":[{"question":"%s","options":["a","b","c","d"],"answer":1}]}'
+    texts = [(1, 1, "no"), (1, 2, good % "x"), (1, 3, good % "y"), (2, 1, "no"), (3, 2, good % "z"), (3, 2, good % "w"), (3, 3, None)]
+    raw = spark.createDataFrame([*texts, (None, 1, good % "v"), (4, 4, good % "late")], "request_id long, attempt int, raw_text string")
+    lazy = responses.curated_quizzes(raw, whole=False, stored=False)
+    found = responses.curated_questions(lazy)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 3
+    assert "FileScan" not in initial_plan(found)
+    assert rows_of(found, "request_id", "question") == [(1, "x"), (3, "w"), (3, "z")]
+    stored = responses.curated_questions(responses.curated_quizzes(raw, whole=False))
+    assert rows_of(found, *found.columns) == rows_of(stored, *found.columns)
+
+
+def test_curated_queries_write_no_store(spark, monkeypatch, tmp_path):
+    def refuse(*args):
+        raise AssertionError("stored for a single reader")
+
+    monkeypatch.setattr(responses, "store_bucketed", refuse)
+    lines = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long"
+    spark.createDataFrame([(k, 1, k, k) for k in range(1, 17)], lines).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("curated_questions", "quiz_export"):
+        assert registered()[name](spark, str(tmp_path)).count() > 0
