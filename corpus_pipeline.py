@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quizlake.llm import language_id, line_dedup, ngram_join, packing, toxicity
 from quizlake.llm.columns import carried
-from quizlake.session import store_once
+from quizlake.session import limit_batches, store_once
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,6 +18,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     could be learned. Rows are judged one by one, repeated ones too; an empty table gives no
     rows. All columns come back as they were, whatever their names.
     """
+    limit_batches(spark)
     found = language_id.predict(docs, language_id.train(docs), carry=True)
     kept = found.filter((F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("ambiguous"))
     return kept.select(*carried(docs, "text"))
@@ -29,6 +30,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts count as empty and get the model's bias; repeated rows are judged each; an
     empty table gives no rows. All columns come back as they were, whatever their names.
     """
+    limit_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.score(docs, toxicity.train(docs, labels), carry=True)
     return scored.filter("predicted = 0").select(*carried(docs, "text"))
@@ -56,6 +58,7 @@ def one_near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Null and empty texts are one group; of repeated rows one stays. An empty table gives no rows.
     All columns come back as they were, whatever their names.
     """
+    limit_batches(spark)
     return ngram_join.one_of_each_group(docs)
 
 
@@ -65,6 +68,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts count as empty, which is the end mark alone; repeated rows are packed each; an
     empty table gives no rows. Only doc_id and text are read, so other columns cannot clash.
     """
+    limit_batches(spark)
     return packing.pack_documents(docs, tokenizers.path("byte_bpe_50k.json"), chunk=2_000_000)
 
 

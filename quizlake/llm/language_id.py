@@ -19,6 +19,8 @@ UNKNOWN = "und"
 ORDERS = (2, 3)
 BUCKETS = 1 << 14
 TRAIN_DOCS = 3_000
+# Bytes of text counted together; what is made of them takes about 60 times as much memory.
+_CHUNK = 250_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -63,12 +65,13 @@ def gram_places(data: np.ndarray, bounds: np.ndarray):
 
 def _count_batches(batches, langs: list[str]):
     """Per task: counts of every hashed n-gram by language."""
+    kept_in_worker(("language",), dict)
     wide = BUCKETS * len(ORDERS)
     totals = np.zeros(len(langs) * wide, np.int64)
     number = {lang: k for k, lang in enumerate(langs)}
     for batch in batches:
         own = np.array([number[lang] for lang in batch.column(0).to_pylist()], np.int64)
-        for first, data, bounds in chunks(batch.column(1)):
+        for first, data, bounds in chunks(batch.column(1), _CHUNK):
             text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             for places, whole in gram_places(data, bounds):
                 kept = np.flatnonzero(whole)
@@ -79,6 +82,7 @@ def _count_batches(batches, langs: list[str]):
         [pa.array((found // wide).astype(np.int32)), pa.array((found % wide).astype(np.int32)), pa.array(totals[found])],
         ["lang", "place", "n"],
     )
+    give_back()
 
 
 def _least_distance(code: np.ndarray, block: int = 1_000) -> int:
@@ -192,7 +196,7 @@ def _predict_batches(batches, model: Model, carry: bool):
         rest = [k for k in range(batch.num_columns) if carry or k != 1]
         margins = np.zeros((len(texts), model.codes.shape[1]))
         grams = np.zeros(len(texts))
-        for first, data, bounds in chunks(texts, 1_000_000):
+        for first, data, bounds in chunks(texts, _CHUNK):
             n = len(bounds) - 1
             filled = np.flatnonzero(np.diff(bounds))
             for places, whole in gram_places(data, bounds):

@@ -140,12 +140,15 @@ def _slots(plan: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
 
 
 def _place(frames, slots: dict[str, np.ndarray]):
+    # The tokenizer and its words are not needed any more.
+    kept_in_worker(("places",), dict)
     for frame in frames:
         key = (frame["length"].to_numpy() << _SHIFT) + frame["rank"].to_numpy()
         at = np.searchsorted(slots["key"], key, "right") - 1
         frame["sequence_id"] = slots["first"][at] + frame["rank"].to_numpy() - slots["rank"][at]
         frame["offset"] = slots["offset"][at]
         yield pd.DataFrame(frame.drop(columns="rank"))
+    give_back()
 
 
 def pack_pieces(

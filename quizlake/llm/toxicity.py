@@ -30,6 +30,8 @@ TRAIN_ROWS = 20_000
 FEATURES = 4_096
 _BITS = 20
 _PREFIXES = (4, 5, 6)
+# Bytes of text whose words are hashed together.
+_CHUNK = 250_000
 # Letters that a character may stand for.
 LEET = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g",
@@ -273,7 +275,7 @@ def _features(texts: pa.Array):
     lower[ord("A") : ord("Z") + 1] += 32
     letter = np.zeros(256, bool)
     letter[ord("a") : ord("z") + 1] = letter[0x80:] = True
-    for first, data, bounds in chunks(texts):
+    for first, data, bounds in chunks(texts, _CHUNK):
         data = lower[data]
         starts, ends, own = word_bounds(letter[data], bounds)
         spans = Spans(data)

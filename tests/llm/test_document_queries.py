@@ -553,3 +553,35 @@ def test_lines_go_and_columns_of_the_same_names_stay(spark, documents):
     plain = line_dedup.drop_repeated_lines(docs)
     assert plain.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept_text", "n_lines", "n_dropped"]
     assert sorted(row.n_dropped for row in plain.collect()) == [0, 1, 1, 1, 1, 1]
+
+
+def test_pipeline_sends_batches_of_bounded_bytes(spark, tmp_path):
+    """Every stage that hands texts to Python limits a batch by its bytes, not by its rows alone."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    text = F.repeat(F.concat(F.lit("the word "), F.col("id").cast("string"), F.lit(" ")), 400)
+    docs = spark.range(0, 3000, 1, 1).select(
+        F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"),
+        F.length(text).alias("n_chars"),
+    )
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    docs.select("doc_id").limit(0).withColumn("toxic", F.lit(0)).write.parquet(f"{tmp_path}/labels.parquet")
+    for stage in ("language_id", "toxicity", "ngram_join", "best_fit_packing"):
+        spark.conf.unset(name)
+        dict(corpus_pipeline.STAGES)[stage](spark, docs, str(tmp_path))
+        sent = [row.n for row in docs.mapInArrow(sizes, "n long").collect()]
+        assert sum(sent) > 16_000_000 and max(sent) < 6_000_000, stage
+    spark.conf.unset(name)
+
+
+def test_language_counts_and_places_free_what_a_worker_kept():
+    for used in (
+        lambda: list(language_id._count_batches([], ["en"])),
+        lambda: list(packing._place([], packing._slots([(1, [3])]))),
+    ):
+        pieces.kept_in_worker(("large",), dict)
+        used()
+        assert pieces.worker_state()["key"] != ("large",)
