@@ -585,3 +585,25 @@ def test_language_counts_and_places_free_what_a_worker_kept():
         pieces.kept_in_worker(("large",), dict)
         used()
         assert pieces.worker_state()["key"] != ("large",)
+
+
+def test_coder_foresees_what_the_model_learns(monkeypatch):
+    """States and guesses read off all ids at once are those of the model that learns id by id."""
+    random_ids = np.random.default_rng(3)
+    ids = np.concatenate([random_ids.integers(0, n, (7, 700)) for n in (2, 40, 3000)]).astype(np.int32)
+    states, right_2, right_1 = range_coder._foreseen(ids)
+    model = range_coder._Model(*ids.shape[:1], 3000, ids.shape[1])
+    model.estimate(0, ids[:, :0])
+    for step in range(ids.shape[1]):
+        now = ids[:, step]
+        model.predict()
+        hits = model.guesses == now
+        assert (states[:, step] == model.state).all()
+        assert (right_2[:, step] == hits[1]).all() and (right_1[:, step] == (hits[0] > hits[1])).all()
+        model.learn(step, now, hits, hits[1], hits[0] > hits[1])
+
+    blocks = [row[: 700 - 60 * k] for k, row in enumerate(ids[:11])] + [ids.ravel()[:9000]]
+    expected = [block.tolist() for block in blocks]
+    assert [found.tolist() for found in range_coder.decode_blocks(range_coder.encode_blocks(blocks, 3000), 3000)] == expected
+    monkeypatch.setattr(range_coder._Model, "learn", None)
+    range_coder.encode_blocks(blocks, 3000)
