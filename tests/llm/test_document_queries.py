@@ -607,3 +607,22 @@ def test_coder_foresees_what_the_model_learns(monkeypatch):
     assert [found.tolist() for found in range_coder.decode_blocks(range_coder.encode_blocks(blocks, 3000), 3000)] == expected
     monkeypatch.setattr(range_coder._Model, "learn", None)
     range_coder.encode_blocks(blocks, 3000)
+
+
+def test_bare_words_go_through_the_library_once_and_old_ones_are_forgotten():
+    path = tokenizers.path("word_bpe_49k.json")
+    table, encode, asked = pieces.BareWords(pieces.marked_ids(path), entries=500), library("word_bpe_49k.json"), []
+    by_library = table.encode
+    table.encode = lambda words: asked.append(words.to_pylist()) or by_library(words)
+    words = [f"{'' if k % 3 else 'É'}w{'abcdefgh'[k % 8]}{'xyzuv'[k % 5]}ß" for k in range(40)]
+    texts = [" ".join(words), " ".join(f"{word}." for word in words) + "\n!!", "", "ONE One one. oNE;; ..", " ".join(words).upper()]
+    for _ in range(3):
+        found = [part.tolist() for ids, ends in table.ids(pa.array(texts), 400) for part in np.split(ids, ends)[:-1]]
+        assert found == [encode(text) for text in texts]
+    once = sum(asked, [])
+    assert len(once) == len(set(once)) and not {f"{word}." for word in words} & {*once}
+    table.entries = 60
+    for k in range(200):
+        [*table.ids(pa.array([f"fresh{chr(97 + k % 26)}{chr(97 + k // 26)} one"]), 400)]
+    assert len(table.known) <= 60 and "one" in table.known.to_pylist()
+    assert [ids.tolist() for ids, _ in table.ids(pa.array(["one w\u00e9 ONE."]))] == [encode("one w\u00e9 ONE.")]
