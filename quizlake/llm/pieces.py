@@ -28,7 +28,7 @@ _OTHER_BLANKS = r"[\x00-\x09\x0b-\x1f\x85\xa0\x{1680}\x{180e}\x{2000}-\x{200b}\x
 # A text that has two blanks in a row, or one at either end, or an unusual one, is not cut.
 _UNEVEN = _OTHER_BLANKS + r"|[ \n][ \n]|\A[ \n]|[ \n]\z"
 _START, _LINE = "\x02", "\n"
-_CHUNK, _LARGE_CHUNK = 6_000_000, 10_000_000
+_CHUNK, _LARGE_CHUNK = 6_000_000, 20_000_000
 _TOGETHER = 32
 _ENTRIES = 100_000
 _KNOWN = 400_000

@@ -3,7 +3,7 @@
 A block's model starts empty and learns id by id. Order 2 and order 1 each predict the id last
 seen after the same two ids or one id, and remember whether their last two predictions there were
 right. Order 0 predicts by the frequencies of the last 4,096 ids of the block, with a share for
-ids not among them, which follow as they are. The three are mixed into one arithmetic-coding
+ids not among them, which stand in the block as they are. The three are mixed into one arithmetic-coding
 interval: how much of it order 2 and order 1 get is what such a state was worth so far in the
 block. These shares and the frequencies are counted anew at fixed places.
 
@@ -17,7 +17,7 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"ACM2"
+MAGIC = b"ACM3"
 _EVERY, _WINDOW = 1024, 4096
 _EARLY = (0, 16, 64, 256, 512)
 _BITS_1, _BITS_2 = 10, 11
@@ -26,8 +26,11 @@ _SEEN = (1 << _BITS_1) + (1 << _BITS_2)
 _CUT, _LEAST, _SLOT = 18, 13, 13
 # Intervals have 24 to 56 bits; 32 of them leave at a time, and a carry waits in bit 56 until then.
 _RENORM, _TOP = 1 << 24, 1 << 56
+# Bits of the last guess but one and of the last one, for order 1 and order 2.
+_OLDER, _NEWER = np.array([[2], [8]], np.int32), np.array([[1], [4]], np.int32)
+_NONE = np.uint32(0)
 # Blocks and steps of which a coder foresees the intervals together.
-_TOGETHER, _STEPS = 64, 64
+_TOGETHER, _STEPS = 16, 64
 
 
 class _Model:
@@ -35,12 +38,14 @@ class _Model:
 
     def __init__(self, count: int, vocabulary: int, longest: int):
         self.vocabulary, self.counted = vocabulary, 0
+        self.kind = np.uint16 if vocabulary < 1 << 16 else np.int32
         self.one = self.two = np.zeros(count, np.int32)
-        # The id last seen after a context and, in the two low bits, whether it was predicted:
-        # of every block those after one id, then those after two.
+        # The id last seen after a context and whether it was predicted, in bits 0 and 1 for
+        # order 1, in bits 2 and 3 for order 2: of every block those after one id, then those after two.
         self.after = np.zeros(count * _SEEN, np.int32)
         self.lane = np.arange(count)
         self.tally = np.zeros(count << 6, np.int64)
+        # Of every step and block the state and what had the id: 2 for order 2, 1 for order 1, else 0.
         self.marks = np.zeros((longest, count), np.uint8)
         self.shrink(count)
 
@@ -49,7 +54,7 @@ class _Model:
         self.n, self.one, self.two, self.lane = n, self.one[:n], self.two[:n], self.lane[:n]
         self.row, self.row_1 = self.lane << 4, self.lane * _SEEN
         self.row_2 = self.row_1 + (1 << _BITS_1)
-        self.at, self.zero = np.empty((2, n), np.int64), np.zeros(n, np.uint32)
+        self.at = np.empty((2, n), np.int64)
 
     def estimate(self, at_step: int, done: np.ndarray) -> None:
         """Shares and frequencies anew; ``done`` are the ids of every block in the window."""
@@ -63,30 +68,31 @@ class _Model:
         self.share_2 = (share * (second * 8 + 1) // whole).astype(np.uint32)
         self.share_12 = self.share_2 + (share * (first * 8 + 1) // whole).astype(np.uint32)
 
-        ranked = np.sort(done, axis=1)
-        fresh = np.ones((n, step), bool)
-        fresh[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
-        at = np.flatnonzero(fresh)
-        counts = np.diff(at, append=n * step)
-        lane = at // max(step, 1)
-        once = np.bincount(lane[counts == 1], minlength=n)
+        # A block's ids in order, then one entry for all ids not seen.
+        ranked = np.full((n, step + 1), self.vocabulary, self.kind)
+        ranked[:, :step] = done
+        ranked[:, :step].sort(axis=1, kind="stable")
+        fresh = np.ones((n, step + 2), bool)
+        np.not_equal(ranked[:, 1:], ranked[:, :-1], out=fresh[:, 1:-1])
+        once = np.count_nonzero(fresh[:, :step] & fresh[:, 1:-1], axis=1)
+        distinct = np.count_nonzero(fresh[:, :-1], axis=1)
+        at = np.flatnonzero(fresh[:, :-1])
+        self.ends = np.cumsum(distinct) - 1
+        self.begins = self.ends + 1 - distinct
         slots = 1 << _SLOT
         unseen = np.minimum(slots * (once + 1) // (step + 2) + 1, slots - step)
-        size = counts * (slots - unseen)[lane] // max(step, 1)
-        # A block's ids in order, then one entry for all ids not seen.
-        self.ends = np.cumsum(np.bincount(lane, minlength=n) + 1) - 1
-        self.begins = np.concatenate([[0], self.ends[:-1] + 1])
-        place = np.arange(len(at)) + lane
-        self.sizes = np.empty(len(at) + n, np.int64)
-        self.sizes[place] = size
-        self.sizes[self.ends] = slots - np.bincount(lane, weights=size, minlength=n).astype(np.int64)
-        starts = (np.cumsum(self.sizes) - self.sizes) & (slots - 1)
-        self.names = np.full(len(self.sizes), self.vocabulary, np.int32)
-        self.names[place] = ranked.ravel()[at]
-        self.entries = (starts << 16 | self.sizes).astype(np.uint32)
+        sizes = np.diff(at, append=n * (step + 1)).astype(np.uint32)
+        sizes *= np.repeat((slots - unseen).astype(np.uint32), distinct)
+        sizes //= np.uint32(max(step, 1))
+        sizes[self.ends] = 0
+        sizes[self.ends] = slots - np.add.reduceat(sizes, self.begins)
+        # All blocks' sizes together may leave 32 bits; starts are their sums within a block.
+        starts = (np.cumsum(sizes, dtype=np.uint32) - sizes) & np.uint32(slots - 1)
+        self.sizes, self.names = sizes, ranked.ravel()[at].astype(np.int32)
+        self.entries = (starts << 16) + starts + sizes
 
     def entries_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The entries of the blocks' next ``ids`` and whether they are not seen yet, a row a step."""
+        """The entries of the blocks' next ``ids``, a row a step, and whether they are not seen yet, a row a block."""
         found = np.empty(ids.shape, np.uint32)
         table = np.zeros(self.vocabulary + 1, np.uint32)
         begin = 0
@@ -98,7 +104,7 @@ class _Model:
             begin = end + 1
         unseen = found == 0
         found = np.where(unseen, self.entries[self.ends][:, None], found)
-        return np.ascontiguousarray(found.T), np.ascontiguousarray(unseen.T)
+        return np.ascontiguousarray(found.T), unseen
 
     def entry_by_slot(self) -> np.ndarray:
         """The entry that each slot of a block lies in, counted from the block's first."""
@@ -109,41 +115,39 @@ class _Model:
         np.add(self.one & ((1 << _BITS_1) - 1), self.row_1, out=self.at[0])
         np.add((self.one * 40503 + self.two) & ((1 << _BITS_2) - 1), self.row_2, out=self.at[1])
         self.last = self.after.take(self.at, mode="clip")
-        self.guesses = self.last >> 2
-        trust = self.last & 3
-        self.state = (trust[1] << 2) + trust[0]
-        at = self.row + self.state
-        self.upto_2, self.upto_1 = self.share_2.take(at, mode="clip"), self.share_12.take(at, mode="clip")
-        self.rest = (1 << _CUT) - self.upto_1
+        self.guesses = self.last >> 4
+        self.state = (self.last[0] | self.last[1]) & 15
+        self.share(self.state)
 
-    def intervals(self, entries, states, right_2, right_1):
-        """Starts and sizes of the parts that known ids have, a row a step."""
+    def share(self, states: np.ndarray) -> None:
         at = self.row + states
         self.upto_2, self.upto_1 = self.share_2.take(at, mode="clip"), self.share_12.take(at, mode="clip")
-        self.rest = (1 << _CUT) - self.upto_1
-        start, size = self.interval(entries, right_2, right_1)
-        return start.astype(np.uint64), size.astype(np.uint64)
+        self.rest = np.uint32(1 << _CUT) - self.upto_1
 
-    def interval(self, entry, right_2, right_1):
+    def interval(self, entry, right_2, right_1) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of the part that the ids have."""
-        start = entry >> 16
-        stop = self.rest * (start + (entry & 0xFFFF))
+        start, stop = entry >> 16, entry & 0xFFFF
+        stop *= self.rest
         stop >>= _SLOT
         stop += self.upto_1
         start *= self.rest
         start >>= _SLOT
         start += self.upto_1
-        start = np.where(right_2, self.zero, np.where(right_1, self.upto_2, start))
+        start = np.where(right_2, _NONE, np.where(right_1, self.upto_2, start))
         stop = np.where(right_2, self.upto_2, np.where(right_1, self.upto_1, stop))
         stop -= start
         return start, stop
 
     def learn(self, step: int, ids, hits, right_2, right_1) -> None:
-        seen = self.last << 1 & 2
-        seen += ids << 2
-        seen += hits
+        seen = self.last << 1
+        seen &= _OLDER
+        seen += ids << 4
+        seen += hits * _NEWER
         self.after[self.at] = seen
-        self.marks[step, : self.n] = (self.state << 2) + ((right_2.view(np.uint8) << 1) + right_1.view(np.uint8))
+        mark = self.marks[step, : self.n]
+        np.left_shift(self.state, 2, out=mark, casting="unsafe")
+        mark += right_2.view(np.uint8) << 1
+        mark += right_1.view(np.uint8)
         self.two, self.one = self.one, ids
 
 
@@ -165,7 +169,8 @@ def _known_before(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nda
     at first it guesses id 0. A row is a block.
     """
     order = np.argsort(keys, axis=1, kind="stable")
-    ranked, now = np.take_along_axis(keys, order, 1), np.take_along_axis(ids, order, 1)
+    order += (np.arange(len(keys)) * keys.shape[1])[:, None]
+    ranked, now = keys.take(order), ids.take(order)
     again = np.zeros(keys.shape, bool)
     again[:, 1:] = ranked[:, 1:] == ranked[:, :-1]
     hit = now == 0
@@ -173,10 +178,10 @@ def _known_before(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nda
     once, twice = np.zeros((2, *keys.shape), np.uint8)
     once[:, 1:] = hit[:, :-1] & again[:, 1:]
     twice[:, 1:] = once[:, :-1] & again[:, 1:]
-    found = np.empty((2, *keys.shape), np.uint8)
-    np.put_along_axis(found[0], order, hit.view(np.uint8), 1)
-    np.put_along_axis(found[1], order, once + (twice << 1), 1)
-    return found[0].view(bool), found[1]
+    found = np.empty(keys.size, np.uint8)
+    found[order.ravel()] = (hit + (once << 1) + (twice << 2)).ravel()
+    found = found.reshape(keys.shape)
+    return (found & 1).view(bool), found >> 1
 
 
 def _foreseen(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,6 +197,64 @@ def _foreseen(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (trust_2 << 2) + trust_1, right_2, right_1 & ~right_2
 
 
+def _spelling(vocabulary: int) -> tuple[int, int, int]:
+    """Values that an id above its low byte may have, how many of them make one number, bits of the number."""
+    values = (vocabulary - 1 >> 8) + 1
+    together = max(k for k in range(1, 9) if values**k <= 1 << 64)
+    return values, together, (values**together - 1).bit_length()
+
+
+def _spelled_places(counts: np.ndarray, together: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ids in whole units of eight numbers, and the first unit of every block, then of none."""
+    units = np.concatenate([[0], np.cumsum(-(-counts // (8 * together)))])
+    first = np.cumsum(counts) - counts
+    return np.arange(counts.sum()) + np.repeat(units[:-1] * 8 * together - first, counts), units
+
+
+def _spelled_size(count: int, vocabulary: int) -> int:
+    _, together, bits = _spelling(vocabulary)
+    return count + -(-(-(-count // together) * bits) // 8)
+
+
+def _spell(ids: np.ndarray, counts: np.ndarray, vocabulary: int) -> list[bytes]:
+    """Of every block its ids as they are: low bytes, then what is above them, some together as one number."""
+    values, together, bits = _spelling(vocabulary)
+    places, units = _spelled_places(counts, together)
+    upper = np.zeros((units[-1] * 8, together), np.uint64)
+    upper.ravel()[places] = ids >> 8
+    numbers = np.zeros(len(upper), "<u8")
+    for column in upper.T[::-1]:
+        numbers = numbers * np.uint64(values) + column
+    parted = np.unpackbits(numbers.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :bits]
+    packed, low = np.packbits(parted.ravel(), bitorder="little").tobytes(), (ids & 255).astype(np.uint8).tobytes()
+    spelled, at = [], 0
+    for count, unit in zip(counts.tolist(), (units * bits).tolist()):
+        spelled.append(low[at : at + count] + packed[unit : unit + _spelled_size(count, vocabulary) - count])
+        at += count
+    return spelled
+
+
+def _read_spelled(spelled: list[bytes], counts: np.ndarray, vocabulary: int) -> np.ndarray:
+    """The ids of all blocks, one block behind the other."""
+    values, together, bits = _spelling(vocabulary)
+    places, units = _spelled_places(counts, together)
+    low = b"".join([data[:count] for data, count in zip(spelled, counts.tolist())])
+    upper = b"".join(
+        [data[n:].ljust(size, b"\0") for data, n, size in zip(spelled, counts.tolist(), (np.diff(units) * bits).tolist())]
+    )
+    numbers = np.zeros((units[-1] * 8, 8), np.uint8)
+    if bits:
+        parted = np.unpackbits(np.frombuffer(upper, np.uint8), bitorder="little").reshape(-1, bits)
+        found = np.packbits(parted, axis=1, bitorder="little")
+        numbers[:, : found.shape[1]] = found
+    numbers = numbers.view("<u8").ravel()
+    above = np.empty((len(numbers), together), np.int32)
+    for k in range(together):
+        above[:, k] = numbers % np.uint64(values)
+        numbers //= np.uint64(values)
+    return (above.ravel()[places] << 8) + np.frombuffer(low, np.uint8)
+
+
 def _code(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     lengths = np.array([len(block) for block in blocks])
     order, sizes = _arranged(lengths)
@@ -200,16 +263,16 @@ def _code(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     for lane, k in enumerate(order):
         ids[lane, : lengths[k]] = blocks[k]
     model, places = _Model(count, vocabulary, longest), _places(longest)
-    states, right_2, right_1 = (np.empty((longest, count), kind) for kind in (np.uint8, bool, bool))
+    spelled = np.arange(longest) < sizes[:, None]
     # Some blocks at a time, which stay in the processor's cache.
     for lane in range(0, count, _TOGETHER):
         part = slice(lane, lane + _TOGETHER)
-        for whole, known in zip((states, right_2, right_1), _foreseen(ids[part])):
-            whole[:, part] = known.T
-    model.marks = (states << 2) + (right_2.view(np.uint8) << 1) + right_1.view(np.uint8)
+        states, right_2, right_1 = _foreseen(ids[part])
+        spelled[part] &= ~(right_2 | right_1)
+        model.marks[:, part] = ((states << 2) + (right_2.view(np.uint8) << 1) + right_1.view(np.uint8)).T
     low, span = np.zeros(count, np.uint64), np.full(count, _TOP, np.uint64)
-    # An id narrows its interval by less than 40 bits: words of 32 bits, behind one that takes no carry.
-    width = longest * 3 // 2 + 8
+    # An id narrows its interval by less than 20 bits: words of 32 bits, behind one that takes no carry.
+    width = longest * 5 // 8 + 8
     out, used = np.zeros(count * width, np.uint32), np.arange(count) * width + 1
 
     def emit(which):
@@ -220,7 +283,7 @@ def _code(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
                 back = back - 1
                 out[back] += 1
                 back = back[out[back] == 0]
-        out[at] = rest >> 24 & 0xFFFFFFFF
+        out[at] = rest >> 24
         used[which] = at + 1
         low[which] = (rest & (_RENORM - 1)) << 32
         span[which] <<= 32
@@ -231,13 +294,13 @@ def _code(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
         model.shrink(n)
         model.estimate(first, ids[:n, max(0, first - _WINDOW) : first])
         entries, new = model.entries_of(ids[:n, first:stop])
-        by_step = np.ascontiguousarray(ids[:n, first:stop].T)
+        spelled[:n, first:stop] &= new
         for begin in range(first, stop, _STEPS):
             end = min(begin + _STEPS, stop)
-            part, own = slice(begin - first, end - first), slice(begin, end)
-            said_2, said_1 = right_2[own, : model.n], right_1[own, : model.n]
-            starts, widths = model.intervals(entries[part], states[own, : model.n], said_2, said_1)
-            spelled = new[part] & ~(said_2 | said_1)
+            marks = model.marks[begin:end, : model.n]
+            model.share(marks >> 2)
+            starts, widths = model.interval(entries[begin - first : end - first], marks & 2, marks & 1)
+            starts, widths = starts.astype(np.uint64), widths.astype(np.uint64)
             for step in range(begin, end):
                 while sizes[n - 1] <= step:
                     n -= 1
@@ -247,42 +310,42 @@ def _code(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
                 own_span *= widths[row, :n]
                 if len(which := (own_span < _RENORM).nonzero()[0]):
                     emit(which)
-                unseen = spelled[row, :n].nonzero()[0]
-                if len(unseen):
-                    unit = span[unseen] // vocabulary
-                    low[unseen] += by_step[step - first, unseen].astype(np.uint64) * unit
-                    span[unseen] = unit
-                    if len(which := unseen[unit < _RENORM]):
-                        emit(which)
-    emit(np.arange(count))
+    # Of the interval the one value that ends in 24 zero bits: what follows it is zeros, as behind the words.
+    low += _RENORM - 1
+    low &= ~np.uint64(_RENORM - 1)
     emit(np.arange(count))
+    counts = spelled.sum(axis=1)
     coded: list[bytes] = [b""] * count
-    for lane, k in enumerate(order):
-        coded[k] = out[lane * width + 1 : used[lane]].astype("<u4").tobytes()
+    for lane, (k, own) in enumerate(zip(order, _spell(ids[spelled], counts, vocabulary))):
+        words = out[lane * width + 1 : used[lane]].astype("<u4")
+        coded[k] = np.array(counts[lane], "<u4").tobytes() + own + words.tobytes()
     return coded
 
 
 def _decode(coded: list[bytes], lengths: np.ndarray, vocabulary: int) -> list[np.ndarray]:
     order, sizes = _arranged(lengths)
     count, longest = len(coded), int(sizes[0])
-    width = max(len(data) for data in coded) // 4 + 3
+    counts = np.array([int.from_bytes(coded[k][:4], "little") for k in order])
+    begins = [4 + _spelled_size(size, vocabulary) for size in counts.tolist()]
+    spelled = _read_spelled([coded[k][4:begin] for k, begin in zip(order, begins)], counts, vocabulary)
+    next_spelled = np.cumsum(counts) - counts
+    width = max(len(coded[k]) - begin for k, begin in zip(order, begins)) // 4 + 3
     words = np.zeros((count, width), np.uint32)
-    for lane, k in enumerate(order):
-        got = np.frombuffer(coded[k], "<u4")
+    for lane, (k, begin) in enumerate(zip(order, begins)):
+        got = np.frombuffer(coded[k], "<u4", (len(coded[k]) - begin) // 4, begin)
         words[lane, : len(got)] = got
     model, places = _Model(count, vocabulary, longest), _places(longest)
     # Words as they come in: 24 bits of one and 8 of the next, after the first 56 bits.
     left = (words[:, 0].astype(np.uint64) << 24) | (words[:, 1] >> 8)
     words[:, :-1] = (words[:, :-1] << 24) | (words[:, 1:] >> 8)
     coming, next_word = words.ravel(), np.arange(count) * width + 1
-    final = next_word + width - 2
     span = np.full(count, _TOP, np.uint64)
     ids = np.zeros((longest, count), np.int32)
-    first_slot, last = np.arange(count) << _SLOT, (1 << _SLOT) - 1
+    first_slot, last, top = np.arange(count) << _SLOT, np.uint32((1 << _SLOT) - 1), np.uint64((1 << _CUT) - 1)
 
     def read(which):
         at = next_word[which]
-        left[which] = (left[which] << 32) | coming[np.minimum(at, final[which])]
+        left[which] = (left[which] << 32) | coming.take(at, mode="clip")
         next_word[which] = at + 1
         span[which] <<= 32
 
@@ -293,10 +356,12 @@ def _decode(coded: list[bytes], lengths: np.ndarray, vocabulary: int) -> list[np
         if step in places:
             model.estimate(step, np.ascontiguousarray(ids[max(0, step - _WINDOW) : step, :n].T))
             by_slot = model.entry_by_slot()
+            # An entry and its id side by side.
+            named = np.column_stack([model.entries, model.names.view(np.uint32)]).view(np.uint64).ravel()
         model.predict()
         own_left, own_span = left[:n], span[:n]
         own_span >>= _CUT
-        value = np.minimum(own_left // own_span, (1 << _CUT) - 1).astype(np.uint32)
+        value = np.minimum(own_left // own_span, top).astype(np.uint32)
         right_2 = value < model.upto_2
         right_1 = (value < model.upto_1) > right_2
         # The last slot that starts at or below the value; where order 0 was not used, any does.
@@ -304,24 +369,21 @@ def _decode(coded: list[bytes], lengths: np.ndarray, vocabulary: int) -> list[np
         value += 1
         value <<= _SLOT
         value -= 1
-        slot = np.minimum(value // model.rest, last) + first_slot[:n]
+        value //= model.rest
+        slot = np.minimum(value, last) + first_slot[:n]
         at = by_slot.take(slot, mode="clip") + model.begins[:n]
-        start, size = model.interval(model.entries.take(at, mode="clip"), right_2, right_1)
+        entry, name = named.take(at, mode="clip").view(np.uint32).reshape(n, 2).T
+        start, size = model.interval(entry, right_2, right_1)
         own_left -= start * own_span
         own_span *= size
         if len(which := (own_span < _RENORM).nonzero()[0]):
             read(which)
-        now = np.where(right_1, model.guesses[0], model.names.take(at, mode="clip"))
+        now = np.where(right_1, model.guesses[0], name.view(np.int32))
         now = np.where(right_2, model.guesses[1], now)
-        unseen = (now == vocabulary).nonzero()[0]
-        if len(unseen):
-            unit = span[unseen] // vocabulary
-            value = np.minimum(left[unseen] // unit, vocabulary - 1)
-            left[unseen] -= value * unit
-            span[unseen] = unit
-            if len(which := unseen[unit < _RENORM]):
-                read(which)
-            now[unseen] = value
+        if len(which := (now == vocabulary).nonzero()[0]):
+            at = next_spelled[which]
+            now[which] = spelled.take(at, mode="clip")
+            next_spelled[which] = at + 1
         ids[step, :n] = now
         model.learn(step, now, model.guesses == now, right_2, right_1)
     by_lane = np.ascontiguousarray(ids.T)
