@@ -28,7 +28,12 @@ _CUT, _LEAST, _SLOT = 18, 13, 13
 _RENORM, _TOP = 1 << 24, 1 << 56
 # Bits of the last guess but one and of the last one, for order 1 and order 2.
 _OLDER, _NEWER = np.array([[2], [8]], np.int32), np.array([[1], [4]], np.int32)
-_NONE = np.uint32(0)
+# Constants as arrays, which numpy takes in sooner than numbers; each step has few blocks and many operations.
+_ONE, _FOUR, _FIFTEEN = (np.array(k, np.int32) for k in (1, 4, 15))
+_KEY_1, _KEY_2, _SPREAD = (np.array(k, np.int32) for k in ((1 << _BITS_1) - 1, (1 << _BITS_2) - 1, 40503))
+_SLOT_BITS, _LAST_SLOT = (np.array(k, np.uint32) for k in (_SLOT, (1 << _SLOT) - 1))
+_NOTHING, _HALF, _LOWER, _WHOLE = (np.array(k, np.uint32) for k in (0, 16, 0xFFFF, 1 << _CUT))
+_CUT_BITS, _SHORT = np.array(_CUT, np.uint64), np.array(_RENORM, np.uint64)
 # Blocks and steps of which a coder foresees the intervals together.
 _TOGETHER, _STEPS = 16, 64
 
@@ -112,41 +117,47 @@ class _Model:
         return np.repeat(own.astype(np.uint16), self.sizes)
 
     def predict(self) -> None:
-        np.add(self.one & ((1 << _BITS_1) - 1), self.row_1, out=self.at[0])
-        np.add((self.one * 40503 + self.two) & ((1 << _BITS_2) - 1), self.row_2, out=self.at[1])
+        np.add(self.one & _KEY_1, self.row_1, out=self.at[0])
+        key = self.one * _SPREAD
+        key += self.two
+        key &= _KEY_2
+        np.add(key, self.row_2, out=self.at[1])
         self.last = self.after.take(self.at, mode="clip")
-        self.guesses = self.last >> 4
-        self.state = (self.last[0] | self.last[1]) & 15
+        self.guesses = self.last >> _FOUR
+        self.state = ((self.last[0] | self.last[1]) & _FIFTEEN).astype(np.uint8)
         self.share(self.state)
 
     def share(self, states: np.ndarray) -> None:
         at = self.row + states
         self.upto_2, self.upto_1 = self.share_2.take(at, mode="clip"), self.share_12.take(at, mode="clip")
-        self.rest = np.uint32(1 << _CUT) - self.upto_1
+        self.rest = _WHOLE - self.upto_1
 
     def interval(self, entry, right_2, right_1) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of the part that the ids have."""
-        start, stop = entry >> 16, entry & 0xFFFF
-        stop *= self.rest
-        stop >>= _SLOT
-        stop += self.upto_1
-        start *= self.rest
-        start >>= _SLOT
-        start += self.upto_1
-        start = np.where(right_2, _NONE, np.where(right_1, self.upto_2, start))
-        stop = np.where(right_2, self.upto_2, np.where(right_1, self.upto_1, stop))
+        edges = np.empty((2, *entry.shape), np.uint32)
+        start, stop = edges
+        np.right_shift(entry, _HALF, out=start)
+        np.bitwise_and(entry, _LOWER, out=stop)
+        edges *= self.rest
+        edges >>= _SLOT_BITS
+        edges += self.upto_1
+        np.putmask(start, right_1, self.upto_2)
+        np.putmask(start, right_2, _NOTHING)
+        np.putmask(stop, right_1, self.upto_1)
+        np.putmask(stop, right_2, self.upto_2)
         stop -= start
         return start, stop
 
     def learn(self, step: int, ids, hits, right_2, right_1) -> None:
-        seen = self.last << 1
+        seen = self.last << _ONE
         seen &= _OLDER
-        seen += ids << 4
+        seen += ids << _FOUR
         seen += hits * _NEWER
         self.after[self.at] = seen
         mark = self.marks[step, : self.n]
-        np.left_shift(self.state, 2, out=mark, casting="unsafe")
-        mark += right_2.view(np.uint8) << 1
+        np.add(self.state, self.state, out=mark)
+        mark += right_2.view(np.uint8)
+        mark += mark
         mark += right_1.view(np.uint8)
         self.two, self.one = self.one, ids
 
@@ -299,16 +310,16 @@ def _code(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
             end = min(begin + _STEPS, stop)
             marks = model.marks[begin:end, : model.n]
             model.share(marks >> 2)
-            starts, widths = model.interval(entries[begin - first : end - first], marks & 2, marks & 1)
+            starts, widths = model.interval(entries[begin - first : end - first], (marks & 2) > 0, (marks & 1) > 0)
             starts, widths = starts.astype(np.uint64), widths.astype(np.uint64)
             for step in range(begin, end):
                 while sizes[n - 1] <= step:
                     n -= 1
                 row, own_span = step - begin, span[:n]
-                own_span >>= _CUT
+                own_span >>= _CUT_BITS
                 low[:n] += starts[row, :n] * own_span
                 own_span *= widths[row, :n]
-                if len(which := (own_span < _RENORM).nonzero()[0]):
+                if len(which := (own_span < _SHORT).nonzero()[0]):
                     emit(which)
     # Of the interval the one value that ends in 24 zero bits: what follows it is zeros, as behind the words.
     low += _RENORM - 1
@@ -340,8 +351,8 @@ def _decode(coded: list[bytes], lengths: np.ndarray, vocabulary: int) -> list[np
     words[:, :-1] = (words[:, :-1] << 24) | (words[:, 1:] >> 8)
     coming, next_word = words.ravel(), np.arange(count) * width + 1
     span = np.full(count, _TOP, np.uint64)
-    ids = np.zeros((longest, count), np.int32)
-    first_slot, last, top = np.arange(count) << _SLOT, np.uint32((1 << _SLOT) - 1), np.uint64((1 << _CUT) - 1)
+    ids, by_lane, known = np.zeros((longest, count), np.int32), np.zeros((count, longest), model.kind), 0
+    first_slot, unseen = np.arange(count) << _SLOT, np.array(vocabulary, np.int32)
 
     def read(which):
         at = next_word[which]
@@ -354,39 +365,40 @@ def _decode(coded: list[bytes], lengths: np.ndarray, vocabulary: int) -> list[np
             model.shrink(model.n - 1)
         n = model.n
         if step in places:
-            model.estimate(step, np.ascontiguousarray(ids[max(0, step - _WINDOW) : step, :n].T))
+            by_lane[:, known:step], known = ids[known:step].T, step
+            model.estimate(step, by_lane[:n, max(0, step - _WINDOW) : step])
             by_slot = model.entry_by_slot()
             # An entry and its id side by side.
             named = np.column_stack([model.entries, model.names.view(np.uint32)]).view(np.uint64).ravel()
         model.predict()
         own_left, own_span = left[:n], span[:n]
-        own_span >>= _CUT
-        value = np.minimum(own_left // own_span, top).astype(np.uint32)
+        own_span >>= _CUT_BITS
+        value = (own_left // own_span).astype(np.uint32)
         right_2 = value < model.upto_2
         right_1 = (value < model.upto_1) > right_2
         # The last slot that starts at or below the value; where order 0 was not used, any does.
         value -= model.upto_1
-        value += 1
-        value <<= _SLOT
-        value -= 1
+        value <<= _SLOT_BITS
+        value |= _LAST_SLOT
         value //= model.rest
-        slot = np.minimum(value, last) + first_slot[:n]
+        slot = np.minimum(value, _LAST_SLOT) + first_slot[:n]
         at = by_slot.take(slot, mode="clip") + model.begins[:n]
         entry, name = named.take(at, mode="clip").view(np.uint32).reshape(n, 2).T
         start, size = model.interval(entry, right_2, right_1)
         own_left -= start * own_span
         own_span *= size
-        if len(which := (own_span < _RENORM).nonzero()[0]):
+        if len(which := (own_span < _SHORT).nonzero()[0]):
             read(which)
-        now = np.where(right_1, model.guesses[0], name.view(np.int32))
-        now = np.where(right_2, model.guesses[1], now)
-        if len(which := (now == vocabulary).nonzero()[0]):
+        now = ids[step, :n]
+        now[:] = name.view(np.int32)
+        np.putmask(now, right_1, model.guesses[0])
+        np.putmask(now, right_2, model.guesses[1])
+        if len(which := (now == unseen).nonzero()[0]):
             at = next_spelled[which]
             now[which] = spelled.take(at, mode="clip")
             next_spelled[which] = at + 1
-        ids[step, :n] = now
         model.learn(step, now, model.guesses == now, right_2, right_1)
-    by_lane = np.ascontiguousarray(ids.T)
+    by_lane[:, known:] = ids[known:].T
     decoded: list[np.ndarray] = [by_lane[0, :0]] * count
     for lane, k in enumerate(order):
         decoded[k] = by_lane[lane, : lengths[k]]

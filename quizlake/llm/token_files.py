@@ -44,37 +44,52 @@ def _power(k: int) -> int:
     return _times(_power(k - 1), _power(k - 1)) if k else 1 << 23
 
 
-def _crc_moved(crc: int, n_bytes: int) -> int:
-    """What ``crc`` adds to the checksum when ``n_bytes`` follow: times x^(8n) in the CRC's field."""
+@lru_cache(4096)
+def _shift(n_bytes: int) -> int:
+    """x to the power of 8 times ``n_bytes``."""
+    product = 1 << 31
     for k in range(n_bytes.bit_length()):
         if n_bytes >> k & 1:
-            crc = _times(_power(k), crc)
-    return crc
+            product = _times(_power(k), product)
+    return product
+
+
+def _crc_moved(crc: int, n_bytes: int) -> int:
+    """What ``crc`` adds to the checksum when ``n_bytes`` follow: times x^(8n) in the CRC's field."""
+    return _times(_shift(n_bytes), crc)
 
 
 def _pack_parts(batches, path: str, end_id: int, vocabulary: int, block: int, lanes: int):
     table = kept_in_worker(("bare", path), partial(bare_words, path))
     part = TaskContext.get().partitionId()
+    own_end = np.array([end_id], np.int32)
     state = {"held": [], "n_held": 0, "docs": [], "at": 0, "block": 0}
 
     def flush(final: bool):
-        """Code whole blocks; a document cut at a block's end stands in both."""
+        """Code ``lanes`` whole blocks, at the end all; a document cut at a block's end stands in both."""
         ids = np.concatenate(state["held"]) if state["held"] else np.zeros(0, np.int32)
-        n_blocks = -(-len(ids) // block) if final else len(ids) // block
+        n_blocks = -(-len(ids) // block) if final else lanes
         first = state["at"]
         stop = min(len(ids), n_blocks * block)
         pieces = [ids[k * block : min((k + 1) * block, stop)] for k in range(n_blocks)]
         docs = np.array(state["docs"], np.int64).reshape(-1, 4)
         begins, ends = docs[:, 2], docs[:, 2] + docs[:, 3]
+        lows = first + np.arange(n_blocks) * block
+        highs = np.minimum(lows + block, first + stop)
+        # A row for each document of each block.
+        low_doc = np.searchsorted(ends, lows, "right")
+        sizes = np.searchsorted(begins, highs) - low_doc
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        own = docs[np.arange(bounds[-1]) + np.repeat(low_doc - bounds[:-1], sizes)]
+        low, high = np.repeat(lows, sizes), np.repeat(highs, sizes)
+        before = np.maximum(low - own[:, 2], 0)
+        inside = np.minimum(own[:, 2] + own[:, 3], high) - np.maximum(own[:, 2], low)
+        indices = np.column_stack([own[:, 0], own[:, 1], own[:, 2], before, inside, own[:, 3]]).astype("<i8")
         rows = []
         for k, data in enumerate(encode_blocks(pieces, vocabulary) if pieces else []):
-            low, high = first + k * block, first + k * block + len(pieces[k])
-            own = docs[np.searchsorted(ends, low, "right") : np.searchsorted(begins, high)]
-            before = np.maximum(low - own[:, 2], 0)
-            inside = np.minimum(own[:, 2] + own[:, 3], high) - np.maximum(own[:, 2], low)
-            index = np.column_stack([own[:, 0], own[:, 1], own[:, 2], before, inside, own[:, 3]]).astype("<i8").tobytes()
+            index = indices[bounds[k] : bounds[k + 1]].tobytes()
             head = np.array([len(index), zlib.crc32(index)], "<u4").tobytes()
-            rows.append((part, state["block"] + k, low, len(pieces[k]), head + index + data))
+            rows.append((part, state["block"] + k, int(lows[k]), len(pieces[k]), head + index + data))
         state.update(held=[ids[stop:]], n_held=len(ids) - stop, at=first + stop, block=state["block"] + n_blocks)
         state["docs"] = [d for d in state["docs"] if d[2] + d[3] > state["at"]]
         columns = zip(*rows) if rows else [[]] * 5
@@ -91,11 +106,12 @@ def _pack_parts(batches, path: str, end_id: int, vocabulary: int, block: int, la
             for end in ends.tolist():
                 doc_id = doc_ids[at].as_py()
                 state["docs"].append((SMALLEST if doc_id is None else doc_id, doc_id is None, ended, end - begin + 1))
-                state["held"] += [ids[begin:end].astype(np.int32), np.array([end_id], np.int32)]
+                state["held"] += [ids[begin:end], own_end]
                 state["n_held"] += end - begin + 1
                 ended += end - begin + 1
                 begin, at = end, at + 1
-                if state["n_held"] >= block * lanes:
+                # Enough is left for the last blocks not to be few: a step costs much the same for few.
+                while state["n_held"] >= block * lanes * 3 // 2:
                     yield flush(False)
     yield flush(True)
 
@@ -132,8 +148,11 @@ def write_token_files(
 
 def _unpack(batches, vocabulary: int, lanes: int):
     for batch in batches:
-        for begin in range(0, batch.num_rows, lanes):
-            part = batch.slice(begin, lanes)
+        # Even slices of about that many blocks: a step costs much the same for few.
+        n_slices = max(1, (batch.num_rows + lanes // 2) // lanes)
+        size_of_slice = max(1, -(-batch.num_rows // n_slices))
+        for begin in range(0, batch.num_rows, size_of_slice):
+            part = batch.slice(begin, size_of_slice)
             rows, coded = [], []
             data = part.column(1).to_pylist()
             for record in data:

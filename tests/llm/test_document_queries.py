@@ -611,11 +611,12 @@ def test_coder_foresees_what_the_model_learns(monkeypatch):
 
 def test_bare_words_go_through_the_library_once_and_old_ones_are_forgotten():
     path = tokenizers.path("word_bpe_49k.json")
-    table, encode, asked = pieces.BareWords(pieces.marked_ids(path), entries=500), library("word_bpe_49k.json"), []
+    table, encode, asked = pieces.BareWords(pieces.marked_ids(path), entries=5000), library("word_bpe_49k.json"), []
     by_library = table.encode
     table.encode = lambda words: asked.append(words.to_pylist()) or by_library(words)
     words = [f"{'' if k % 3 else 'É'}w{'abcdefgh'[k % 8]}{'xyzuv'[k % 5]}ß" for k in range(40)]
     texts = [" ".join(words), " ".join(f"{word}." for word in words) + "\n!!", "", "ONE One one. oNE;; ..", " ".join(words).upper()]
+    texts.append(" ".join(chr(k) + mark for k in range(0xA0, 0x250) for mark in ("", "b", "B.", "\u0301")))
     for _ in range(3):
         found = [part.tolist() for ids, ends in table.ids(pa.array(texts), 400) for part in np.split(ids, ends)[:-1]]
         assert found == [encode(text) for text in texts]
@@ -626,3 +627,26 @@ def test_bare_words_go_through_the_library_once_and_old_ones_are_forgotten():
         [*table.ids(pa.array([f"fresh{chr(97 + k % 26)}{chr(97 + k // 26)} one"]), 400)]
     assert len(table.known) <= 60 and "one" in table.known.to_pylist()
     assert [ids.tolist() for ids, _ in table.ids(pa.array(["one w\u00e9 ONE."]))] == [encode("one w\u00e9 ONE.")]
+
+
+def test_blocks_are_decoded_in_even_slices(monkeypatch):
+    blocks = [np.arange(k, k + 20, dtype=np.int32) for k in range(11)]
+    head, sizes, decode = np.array([0, 0], "<u4").tobytes(), [], token_files.decode_blocks
+    data = [head + coded for coded in range_coder.encode_blocks(blocks, 300)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 11, pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
+    monkeypatch.setattr(token_files, "decode_blocks", lambda coded, n: sizes.append(len(coded)) or decode(coded, n))
+    assert not sum(found.num_rows for found in token_files._unpack([batch], 300, 5))
+    assert sizes == [6, 5]
+
+
+def test_ids_as_they_are_take_little_more_than_they_need():
+    for vocabulary in (1, 2, 200, 257, 300, 3000, 49_408, 70_000, 1 << 20):
+        counts = np.array([0, 1, 7, 8, 9, 63, 64, 65, 1000])
+        ids = np.random.default_rng(5).integers(0, vocabulary, counts.sum()).astype(np.int32)
+        ids[-1] = vocabulary - 1
+        spelled = range_coder._spell(ids, counts, vocabulary)
+        assert (range_coder._read_spelled(spelled, counts, vocabulary) == ids).all()
+        assert len(spelled[-1]) <= 1000 * (8.15 + np.log2((vocabulary - 1 >> 8) + 1)) / 8 + 9
+        cut = np.split(ids, np.cumsum(counts)[:-1])
+        coded = range_coder.encode_blocks(cut, vocabulary)
+        assert [found.tolist() for found in range_coder.decode_blocks(coded, vocabulary)] == [part.tolist() for part in cut]
