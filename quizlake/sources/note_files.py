@@ -20,6 +20,9 @@ from quizlake.operators.notes import RTF, TEXT, note_route
 _LOCAL = re.compile(r"(?:file:(?://)?)?(?P<folder>/(?!/).*)")
 # The characters that Spark escapes in the name of a partition's folder.
 _UNSAFE = re.compile(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""")
+# How the name of a written file begins, and the bytes that a task reads before it hands them on.
+_WRITTEN = "file_name="
+_BATCH_BYTES = 4 << 20
 
 
 @F.pandas_udf(StringType())
@@ -70,12 +73,12 @@ def _write_sorted(batches, folder: str):
             if own != name:
                 if file:
                     file.close()
-                    os.replace(part, f"{folder}/file_name={name}")
+                    os.replace(part, f"{folder}/{_WRITTEN}{name}")
                 name, file = own, open(part, "wb")
             file.write((content or b"") + b"\n")
     if file:
         file.close()
-        os.replace(part, f"{folder}/file_name={name}")
+        os.replace(part, f"{folder}/{_WRITTEN}{name}")
     yield pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["value"])
 
 
@@ -105,11 +108,47 @@ def write_files(rows: DataFrame, path: str) -> None:
     )
 
 
+def _read_folders(batches, root: str, names: list[str]):
+    """Per task: path and content of the files in the folders of the given places, a few megabytes a batch."""
+    paths, contents, size = [], [], 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
+    for places in batches:
+        for place in places.column(0).to_pylist():
+            folder = f"{root}/{names[place]}"
+            with os.scandir(folder) as entries:
+                for entry in entries:
+                    if not entry.name.startswith(_WRITTEN):
+                        continue
+                    with open(entry.path, "rb") as file:
+                        content = file.read()
+                    paths.append(f"file:{folder}/{entry.name}")
+                    contents.append(content)
+                    size += len(content) + len(entry.name)
+                    if size >= _BATCH_BYTES:
+                        yield batch()
+                        paths, contents, size = [], [], 0
+    yield batch()
+
+
 def read_written_files(spark: SparkSession, path: str) -> DataFrame:
-    """path and content of files that ``write_files`` wrote, their path ending in the file's name."""
-    return read_note_files(spark, path).withColumn(
-        "path", F.regexp_replace("path", "/file_name=([^/]*)(/[^/]*)?$", "/$1")
-    )
+    """path and content of files that ``write_files`` wrote, their path ending in the file's name.
+
+    In a folder of the local file system, the tasks list and read the folders that tasks wrote: the driver
+    knows these folders only. Elsewhere Spark's reader lists every file in the driver.
+    """
+    local = _LOCAL.match(path)
+    if local:
+        root = local["folder"].rstrip("/")
+        names = sorted(name for name in os.listdir(root) if name.startswith("task="))
+        # Of an RDD Spark knows no size: it does not take the files for as few bytes as the places.
+        places = spark.createDataFrame(spark.sparkContext.parallelize([(i,) for i in range(len(names))], max(len(names), 1)), "place int")
+        files = places.mapInArrow(partial(_read_folders, root=root, names=names), "path string, content binary")
+    else:
+        files = read_note_files(spark, path)
+    return files.withColumn("path", F.regexp_replace("path", "/file_name=([^/]*)(/[^/]*)?$", "/$1"))
 
 
 def with_empty_files(files: DataFrame, uploads: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import glob
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,28 @@ def test_stored_lines_are_dealt_out_by_quiz(spark, tmp_path):
     assert sorted(map(str, stored.questions().collect())) == sorted(map(str, plain.questions().collect()))
     per_quiz = stored.questions().groupBy("quiz_id").count()
     assert "Exchange" not in plan_of(per_quiz)
+
+
+def test_written_files_are_listed_by_tasks(spark, tmp_path):
+    """The driver knows the folders that tasks wrote, not the files; all of them are read, whatever they end in."""
+    path = str(tmp_path / "out")
+    rows = [(f"n{i}.txt", b"x" * i) for i in range(300)] + [("_a._COPYING_", b"late")]
+    note_files.write_files(spark.createDataFrame(rows, "file_name string, content binary"), path)
+    found = note_files.read_written_files(spark, f"file://{path}")
+    assert found.inputFiles() == [] and "Location" not in plan_of(found)
+    assert found.schema.simpleString() == "struct<path:string,content:binary>"
+    read = {row.path.rsplit("/", 1)[-1]: (row.path.startswith(f"file:{path}/task="), bytes(row.content)) for row in found.collect()}
+    assert read == {name: (True, content + b"\n") for name, content in rows}
+    none = str(tmp_path / "none")
+    note_files.write_files(spark.createDataFrame([], "file_name string, content binary"), none)
+    assert note_files.read_written_files(spark, none).collect() == []
+
+
+def test_files_are_read_in_bounded_batches(tmp_path, monkeypatch):
+    monkeypatch.setattr(note_files, "_BATCH_BYTES", 1000)
+    (tmp_path / "task=0").mkdir()
+    for i in range(20):
+        (tmp_path / "task=0" / f"file_name=n{i}").write_bytes(b"x" * 300)
+    places = [pa.RecordBatch.from_arrays([pa.array([0], pa.int32())], ["place"])]
+    batches = list(note_files._read_folders(places, str(tmp_path), ["task=0"]))
+    assert sum(batch.num_rows for batch in batches) == 20 and max(batch.num_rows for batch in batches) <= 4
