@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from quizlake import schemas
 from quizlake.functions import quiz_json
 from quizlake.operators import responses
+from quizlake.plans.derived import QuizData
 from quizlake.plans.queries import registered
 from tests.plans import count, initial_plan
 
@@ -304,3 +306,25 @@ def test_curated_queries_write_no_store(spark, monkeypatch, tmp_path):
     spark.createDataFrame([(k, 1, k, k) for k in range(1, 17)], lines).write.parquet(f"{tmp_path}/lineitem.parquet")
     for name in ("curated_questions", "quiz_export"):
         assert registered()[name](spark, str(tmp_path)).count() > 0
+
+
+LINES = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long"
+
+
+def test_code_of_the_response_texts_is_short_enough_to_be_compiled(spark, sql_settings, tmp_path):
+    """The JVM never compiles a method of more than 8,000 bytes: it would be interpreted row by row."""
+    spark.createDataFrame([(k, 1, k, k) for k in range(1, 17)], LINES).write.parquet(f"{tmp_path}/lineitem.parquet")
+    sql_settings(spark__sql__adaptive__enabled="false")
+    curated = responses.curated_quizzes(QuizData(spark, str(tmp_path)).responses(), stored=False)
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    code = debug.codegenString(curated._jdf.queryExecution().executedPlan())
+    sizes = [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_raw_texts_are_dealt_out_before_the_parse(spark):
+    raw = spark.createDataFrame([(1, 1, "no"), (1, 2, '{"questions":[%s]}' % Q)], schemas.RESPONSES)
+    curated = responses.curated_quizzes(raw, stored=False)
+    plan = curated._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 3 and "parseJson" not in plan[plan.index("RepartitionByExpression") :]
+    assert initial_plan(curated).count("Exchange") == 1
