@@ -328,3 +328,32 @@ def test_raw_texts_are_dealt_out_before_the_parse(spark):
     plan = curated._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 3 and "parseJson" not in plan[plan.index("RepartitionByExpression") :]
     assert initial_plan(curated).count("Exchange") == 1
+
+
+def test_plain_documents_are_written_from_their_questions(spark):
+    """The same text as key by key, where keys, types and nulls differ as well as where they do not."""
+    options = ["a\n\"\\é/", "", None, "\u2028😀"]
+    plain = {"question": "q\tö", "options": options, "answer": 3, "explanation": "e"}
+    items = [
+        [plain],
+        [],
+        [plain, {**plain, "explanation": None}],
+        [{**plain, "question": None}, plain],
+        [{**plain, "options": [1, 2.5, True, {"x": [None]}]}],
+        [{**plain, "question": {"q": "x"}}, plain],
+        [{**plain, "explanation": 5}, plain],
+        [{**plain, "hint": "h"}, plain],
+        [{**plain, "options": [None] * 4}],
+    ]
+    documents = [{"questions": listed} for listed in items] + [{"questions": [plain], "title": "t"}]
+    sources = [json.dumps(d, ensure_ascii=False) for d in documents]
+    for answer in ('" 3 "', "3.2", "true"):
+        sources.append(sources[0].replace('"answer": 3', f'"answer": {answer}'))
+        documents.append({"questions": [{**plain, "answer": 1 if answer == "true" else 3}]})
+    short = {key: plain[key] for key in ("question", "options", "answer")}
+    sources.append(json.dumps({"questions": [short, plain]}))
+    documents.append({"questions": [{**short, "explanation": ""}, plain]})
+    exported = responses.export_documents(responses.curated_quizzes(frame(spark, sources), stored=False))
+    assert "schema_of_variant" in exported._jdf.queryExecution().optimizedPlan().toString().lower().replace("schemaofvariant", "schema_of_variant")
+    texts = [row.document for row in sorted(exported.collect())]
+    assert texts == [json.dumps(d, ensure_ascii=False, separators=(",", ":")) for d in documents]
