@@ -110,3 +110,10 @@ def test_files_are_read_in_bounded_batches(tmp_path, monkeypatch):
     places = [pa.RecordBatch.from_arrays([pa.array([0], pa.int32())], ["place"])]
     batches = list(note_files._read_folders(places, str(tmp_path), ["task=0"]))
     assert sum(batch.num_rows for batch in batches) == 20 and max(batch.num_rows for batch in batches) <= 4
+
+
+def test_numbering_quizzes_reads_no_texts(spark):
+    curated = responses.curated_quizzes(spark.createDataFrame([(k, 1, GOOD % k) for k in range(9)], RESPONSES), whole=False)
+    ids = store.quiz_ids(curated, None)
+    assert "question" not in plan_of(ids).replace("n_questions", "")
+    assert sorted((row.quiz_id, row.before) for row in ids.collect()) == [(k + 1, k) for k in range(9)]
